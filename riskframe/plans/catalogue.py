@@ -1,6 +1,7 @@
 """Imports every query module, which fills the catalogue."""
 
 from riskframe.plans import (  # noqa: F401
+    q_core,
     q_windows,
 )
 from riskframe.plans.sqlkit import ORACLES, QUERIES

@@ -26,6 +26,7 @@ def build_session(app: str = "riskframe", master: str | None = None, **conf: str
         builder = (
             builder.master(master)
             .config("spark.ui.enabled", "false")
+            .config("spark.ui.showConsoleProgress", "false")
             .config("spark.driver.memory", conf.pop("driver_memory", "12g"))
             .config("spark.sql.shuffle.partitions", conf.pop("shuffle_partitions", "8"))
         )

@@ -140,3 +140,66 @@ def preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
         (key % 4 == 0).alias("watchlist_only"),
         (key % 3 == 1).alias("daily_digest"),
     )
+
+
+def brand_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of the bar symbols: the percent rank of their 21-day volatility on each date."""
+    from riskframe.functions.numeric import risk_level
+    from riskframe.operators.cross_section import add_cross_ranks
+    from riskframe.operators.rolling import add_returns, add_volatility
+
+    df = add_volatility(add_returns(daily_bars(spark, sf_dir)), {"volatility_21d": (21, 10)})
+    df = add_cross_ranks(df, ["volatility_21d"]).dropna(subset=["volatility_21d_rank"])
+    score = F.col("volatility_21d_rank")
+    return df.select(
+        "symbol",
+        "date",
+        score.alias("risk_score"),
+        risk_level(score).alias("risk_level"),
+        F.when(score > 0.7, "High volatility").otherwise("Stable metrics").alias("risk_drivers"),
+        "volatility_21d",
+    )
+
+
+def brand_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored alerts: every High score, and every rise of more than 0.15 since the bar before."""
+    from riskframe.operators.rolling import by_symbol
+
+    scores = brand_scores(spark, sf_dir)
+    rise = F.col("risk_score") - F.lag("risk_score").over(by_symbol())
+    scores = scores.withColumn("_rise", rise)
+
+    def alert(rows: DataFrame, kind: str, severity: str) -> DataFrame:
+        return rows.select(
+            F.concat(F.lit(f"{kind}/"), "symbol", F.lit("/"), F.col("date").cast("string")).alias("alert_id"),
+            "symbol",
+            F.lit(kind).alias("alert_type"),
+            F.lit(severity).alias("severity"),
+            "risk_score",
+            "risk_level",
+            "risk_drivers",
+            F.col("date").alias("created_at"),
+        )
+
+    return alert(scores.where("risk_level = 'High'"), "high_risk", "HIGH").unionByName(
+        alert(scores.where("_rise > 0.15D"), "sudden_spike", "MEDIUM")
+    )
+
+
+def scored_news(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from riskframe.operators.news import score_articles
+
+    return score_articles(news(spark, sf_dir))
+
+
+def daily_news_sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from riskframe.operators.news import daily_sentiment
+
+    return daily_sentiment(scored_news(spark, sf_dir))
+
+
+def scored_universe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Latest brand scores with their recent news sentiment."""
+    from riskframe.operators.entities import latest_scores
+
+    return latest_scores(brand_scores(spark, sf_dir), daily_news_sentiment(spark, sf_dir), AS_OF)
