@@ -55,7 +55,7 @@ def driver_flags(vol: Column, drawdown: Column, sentiment: Column, liquidity: Co
 def signed_list(pairs: Column, plus: bool) -> Column:
     """``array<struct(name, value)>`` -> ``a (+0.123), b (+0.045)``, ``none`` when empty."""
     pattern = "%s (+%.3f)" if plus else "%s (%.3f)"
-    text = F.array_join(F.transform(pairs, lambda p: F.format_string(pattern, p["name"], p["value"])), ", ")
+    text = F.array_join(F.transform(pairs, lambda p: F.format_string(pattern, p["name"], p["value"] + HALF)), ", ")
     return F.coalesce(F.nullif(text, F.lit("")), F.lit("none"))
 
 

@@ -107,7 +107,7 @@ def entity_profile(
     max_alerts: int = 10,
     recent_alerts: int = 100,
 ) -> DataFrame:
-    """Everything the entity page shows, as rows (symbol, section, at, value, detail).
+    """Everything the entity page shows, as rows (symbol, section, stamp, value, detail).
 
     Sections stay rows instead of nested lists: a symbol with a very long
     history is never gathered into one value.
@@ -117,7 +117,7 @@ def entity_profile(
         return df.select(
             "symbol",
             F.lit(name).alias("section"),
-            at.cast("string").alias("at"),
+            at.cast("string").alias("stamp"),
             value.cast("double").alias("value"),
             detail.cast("string").alias("detail"),
         )

@@ -2,6 +2,8 @@
 
 from riskframe.plans import (  # noqa: F401
     q_core,
+    q_relational,
+    q_scalar,
     q_windows,
 )
 from riskframe.plans.sqlkit import ORACLES, QUERIES
