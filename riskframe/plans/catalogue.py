@@ -1,11 +1,6 @@
 """Imports every query module, which fills the catalogue."""
 
-from riskframe.plans import (  # noqa: F401
-    q_core,
-    q_relational,
-    q_scalar,
-    q_windows,
-)
+from riskframe.plans import q_windows, q_core, q_relational, q_scalar, q_analytics  # noqa: F401, I001
 from riskframe.plans.sqlkit import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
