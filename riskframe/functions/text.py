@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from riskframe.functions.numeric import as_col
+from riskframe.functions.numeric import as_col, let
 
 # Fixed values ---------------------------------------------------------------
 
@@ -147,31 +147,35 @@ def first_element(html: Column, open_tag: str, tag: str) -> Column:
 
 def article_body(html: Column | str, cap: int | None = 5000) -> Column:
     """Article text: ``<article>`` paragraphs, then known containers, then long body paragraphs."""
-    clean = drop_elements(as_col(html))
 
     def joined(fragment: Column, longer_than: int = 0) -> Column:
         return F.array_join(paragraphs(fragment, longer_than), " ")
 
-    best = joined(first_element(clean, "article", "article"))
     containers = [
-        *[rf'div[^>]*class="[^"]*\b{c}\b[^"]*"' for c in BODY_CLASSES],
-        'div[^>]*itemprop="articleBody"',
-        rf'div[^>]*class="[^"]*\b{CONTENT_BODY_CLASS}\b[^"]*"',
-        "main",
+        *[(rf'div[^>]*class="[^"]*\b{c}\b[^"]*"', "div") for c in BODY_CLASSES],
+        ('div[^>]*itemprop="articleBody"', "div"),
+        (rf'div[^>]*class="[^"]*\b{CONTENT_BODY_CLASS}\b[^"]*"', "div"),
+        ("main", "main"),
     ]
-    found = F.array(
-        *[joined(first_element(clean, c, "main" if c == "main" else "div")) for c in containers]
-    )
-    longest = F.aggregate(
-        found, F.lit(""), lambda a, x: F.when(F.length(x) > F.length(a), x).otherwise(a)
-    )
-    second = F.when(F.length(longest) > F.length(best), longest).otherwise(best)
-    text = (
-        F.when(F.length(best) >= 100, best)
-        .when(F.length(second) >= 100, second)
-        .otherwise(joined(first_element(clean, "body", "body"), 40))
-    )
-    return truncate(collapse_spaces(text), cap) if cap else collapse_spaces(text)
+
+    def from_containers(page: Column, best: Column) -> Column:
+        found = F.array(best, *[joined(first_element(page, open_tag, tag)) for open_tag, tag in containers])
+        return F.aggregate(found, F.lit(""), lambda a, x: F.when(F.length(x) > F.length(a), x).otherwise(a))
+
+    def fallback(page: Column, best: Column) -> Column:
+        return let(
+            from_containers(page, best),
+            lambda t: F.when(F.length(t) >= 100, t).otherwise(joined(first_element(page, "body", "body"), 40)),
+        )
+
+    def choose(page: Column) -> Column:
+        return let(
+            joined(first_element(page, "article", "article")),
+            lambda best: F.when(F.length(best) >= 100, best).otherwise(fallback(page, best)),
+        )
+
+    text = let(drop_elements(as_col(html)), choose)
+    return let(collapse_spaces(text), lambda t: truncate(t, cap)) if cap else collapse_spaces(text)
 
 
 # ---- sentiment -------------------------------------------------------------------
@@ -188,12 +192,19 @@ def lexicon_sentiment(text: Column | str, max_chars: int | None = None) -> Colum
     The whole text is read; a model with a length limit can set ``max_chars``.
     """
     t = as_col(text)
-    low = F.lower(F.substring(t, 1, max_chars) if max_chars else t)
-    good = word_count(low, POSITIVE_WORDS).cast("double")
-    bad = word_count(low, NEGATIVE_WORDS).cast("double")
-    hits = good + bad
-    scored = t.isNotNull() & (F.length(F.trim(t)) >= 10) & (hits > 0)
-    score = F.when(scored, (good - bad) / F.nullif(hits, F.lit(0.0))).otherwise(F.lit(0.0))
-    confidence = F.when(scored, hits / (hits + F.lit(1.0))).otherwise(F.lit(0.0))
-    label = F.when(score > 0, "positive").when(score < 0, "negative").otherwise("neutral")
-    return F.struct(score.alias("score"), confidence.alias("confidence"), label.alias("label"))
+
+    def verdict(c: Column) -> Column:
+        hits = c["good"] + c["bad"]
+        score = F.when(hits > 0, (c["good"] - c["bad"]) / F.nullif(hits, F.lit(0.0))).otherwise(F.lit(0.0))
+        label = F.when(c["good"] > c["bad"], "positive").when(c["good"] < c["bad"], "negative").otherwise("neutral")
+        return F.struct(score.alias("score"), (hits / (hits + F.lit(1.0))).alias("confidence"), label.alias("label"))
+
+    def counts(low: Column) -> Column:
+        long_enough = F.length(F.trim(low)) >= 10
+        return F.struct(
+            F.when(long_enough, word_count(low, POSITIVE_WORDS)).otherwise(0).cast("double").alias("good"),
+            F.when(long_enough, word_count(low, NEGATIVE_WORDS)).otherwise(0).cast("double").alias("bad"),
+        )
+
+    seen = F.coalesce(F.substring(t, 1, max_chars) if max_chars else t, F.lit(""))
+    return let(let(F.lower(seen), counts), verdict)

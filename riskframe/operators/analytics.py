@@ -17,6 +17,7 @@ from riskframe.operators.filters import min_history, valid_price
 from riskframe.operators.pairs import covariances, mirrored, pair_moments
 from riskframe.operators.rolling import add_returns, by_symbol
 from riskframe.operators.selection import every_nth
+from riskframe.scale import computed_once
 from riskframe.sources.market import within
 
 PERIODS = {"1w": 5, "1m": 21, "3m": 63, "6m": 126, "1y": 252}
@@ -266,15 +267,16 @@ def random_portfolios(bars: DataFrame, count: int = 5000, seed: int = 42, risk_f
     raw = F.transform(
         "symbols", lambda s: uniform(F.lit(str(seed)), F.col("portfolio").cast("string"), s)
     )
-    df = ids.withColumn("_raw", raw).withColumn("_sum", F.aggregate("_raw", F.lit(0.0), lambda a, x: a + x))
-    df = df.withColumn("weights", F.transform("_raw", lambda x: x / F.col("_sum"))).drop("_raw", "_sum")
+    df = computed_once(ids, "_raw", raw)
+    df = computed_once(df, "_sum", F.aggregate("_raw", F.lit(0.0), lambda a, x: a + x))
+    df = computed_once(df, "weights", F.transform("_raw", lambda x: x / F.col("_sum"))).drop("_raw", "_sum")
     return with_performance(df, risk_free)
 
 
 def equal_weight(bars: DataFrame, risk_free: float = 0.05) -> DataFrame:
     inputs = market_inputs(bars)
-    each = F.transform("symbols", lambda s: F.lit(1.0) / F.size("symbols"))
-    return with_performance(inputs.withColumn("weights", each), risk_free)
+    each = F.array_repeat(F.lit(1.0) / F.size("symbols"), F.size("symbols"))
+    return with_performance(computed_once(inputs, "weights", each), risk_free)
 
 
 def best_portfolios(portfolios: DataFrame) -> DataFrame:

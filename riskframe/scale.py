@@ -12,6 +12,16 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+def computed_once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a costly column that lambdas below read many times.
+
+    The optimiser merges neighbouring projections, which would copy the
+    expression into the lambda and evaluate it per element; it does not merge
+    through a generator.
+    """
+    return df.withColumn(name, F.explode(F.array(value)))
+
+
 # Buckets per factor e of magnitude. The bucket of a value never depends on the
 # data, so a retried task puts a row where its first attempt put it.
 BUCKETS_PER_E = 256.0

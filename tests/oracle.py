@@ -24,6 +24,9 @@ SAME = {
 }
 
 
+TIMES: dict[str, float] = {}
+
+
 def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
     con = duckdb.connect()
     for t in TABLES:
@@ -48,6 +51,9 @@ def canon(v):
 
 def compare(df, con, sql):
     """A list of differences between a Spark result and a SQL result; empty when equal."""
+    began = time.time()
+    rows = df.collect()
+    TIMES["spark"] = time.time() - began
     rel = con.sql(sql)
     problems = []
     spark_cols = sorted(df.columns)
@@ -59,7 +65,7 @@ def compare(df, con, sql):
         want = SAME.get(types[name])
         if want is not None and want != str(duck_type):
             problems.append(f"type of {name}: {types[name]} vs {duck_type}")
-    left = sorted(tuple(canon(r[c]) for c in spark_cols) for r in map(lambda r: r.asDict(True), df.collect()))
+    left = sorted(tuple(canon(r[c]) for c in spark_cols) for r in (row.asDict(True) for row in rows))
     pos = [rel.columns.index(c) for c in duck_cols]
     right = sorted(tuple(canon(r[i]) for i in pos) for r in rel.fetchall())
     if len(left) != len(right):
@@ -105,7 +111,7 @@ def main(argv):
             problems, n, spent, label = [f"{type(e).__name__}: {str(e)[:900]}"], -1, time.time() - start, "error"
         bad += bool(problems)
         if problems or spent >= opts.time:
-            print(f"{'FAIL' if problems else 'ok':5s}{name:42s}{label:6s}{n:8d} rows {spent:6.1f}s", flush=True)
+            print(f"{'FAIL' if problems else 'ok':5s}{name:42s}{label:6s}{n:8d} rows {spent:6.1f}s (spark {TIMES.get('spark', 0):.1f})", flush=True)
         for p in problems:
             print("     ", p, flush=True)
     print("failures:", bad)
