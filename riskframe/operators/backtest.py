@@ -157,6 +157,13 @@ def performance(curves: DataFrame, capital: float = 10_000.0) -> DataFrame:
             "_r": F.try_divide(F.col("equity"), F.lag("equity").over(w)) - F.lit(1.0),
         }
     )
+    # A sell always follows the buy of its position, so the price of the trade
+    # before it is the last one recorded.
+    traded = F.when(F.col("position") != F.col("prev_position"), F.round("close", 2))
+    df = df.withColumn("_price", traded).withColumn(
+        "_prev", F.last("_price", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    )
+    sold = F.col("_price").isNotNull() & (F.col("position") == 0)
     down = F.when(F.col("_r") < 0, F.col("_r"))
     day = F.datediff("date", F.lit("1970-01-01"))
     stats = df.groupBy("symbol", "strategy").agg(
@@ -167,19 +174,15 @@ def performance(curves: DataFrame, capital: float = 10_000.0) -> DataFrame:
         F.stddev_pop("_r").alias("_std"),
         F.stddev_pop(down).alias("_down"),
         F.count("_r").alias("_moves"),
+        F.count("_price").alias("total_trades"),
+        F.count_if(sold).alias("_sells"),
+        F.count_if(sold & (F.col("_price") > F.col("_prev"))).alias("_wins"),
     )
-    trades = trade_log(curves).withColumn("_prev", F.lag("price").over(run_window()))
-    wins = trades.groupBy("symbol", "strategy").agg(
-        F.count(F.lit(1)).alias("total_trades"),
-        F.count_if(F.col("action") == "SELL").alias("_sells"),
-        F.count_if((F.col("action") == "SELL") & (F.col("price") > F.col("_prev"))).alias("_wins"),
-    )
-    df = stats.join(wins, ["symbol", "strategy"], "left")
     total = F.col("final_equity") / capital - 1
     vol = F.when(F.col("_moves") > 1, annual(F.col("_std"))).otherwise(0.0)
     down_vol = annual(F.coalesce(F.col("_down"), F.lit(0.0)))
     yearly = F.col("_mean") * TRADING_DAYS
-    return df.withColumns({"total_return": total, "annual_volatility": vol, "_dv": down_vol}).select(
+    return stats.withColumns({"total_return": total, "annual_volatility": vol, "_dv": down_vol}).select(
         "symbol",
         "strategy",
         "total_return",
@@ -188,18 +191,17 @@ def performance(curves: DataFrame, capital: float = 10_000.0) -> DataFrame:
         F.when(F.col("annual_volatility") > 0, F.try_divide(yearly, F.col("annual_volatility"))).otherwise(0.0).alias("sharpe_ratio"),
         F.when(F.col("_dv") > 0, F.try_divide(yearly, F.col("_dv"))).otherwise(0.0).alias("sortino_ratio"),
         "annual_volatility",
-        F.coalesce(F.col("_wins") / F.greatest(F.col("_sells"), F.lit(1)), F.lit(0.0)).alias("win_rate"),
-        F.coalesce("total_trades", F.lit(0)).alias("total_trades"),
+        (F.col("_wins") / F.greatest(F.col("_sells"), F.lit(1))).alias("win_rate"),
+        "total_trades",
         "final_equity",
     )
 
 
 def with_benchmark(curves: DataFrame, capital: float = 10_000.0) -> DataFrame:
     """Each curve next to buy and hold of its symbol, the initial capital where that is missing."""
-    bench = curves.where(F.col("strategy") == "buy_and_hold").select("symbol", "date", F.col("equity").alias("_b"))
-    return curves.join(bench, ["symbol", "date"], "left").withColumn(
-        "benchmark", F.coalesce("_b", F.lit(capital))
-    ).drop("_b")
+    same_day = Window.partitionBy("symbol", "date")
+    hold = F.max(F.when(F.col("strategy") == "buy_and_hold", F.col("equity"))).over(same_day)
+    return curves.withColumn("benchmark", F.coalesce(hold, F.lit(capital)))
 
 
 def backtest(

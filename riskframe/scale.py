@@ -177,3 +177,28 @@ def previous_value(
             out, F.when(F.col("_rn") == 1, F.col(f"_prev_end.{src}")).otherwise(F.col(f"_in_{out}"))
         )
     return joined.select(*df.columns, *cols.values())
+
+
+def prefix_sum(
+    df: DataFrame, key: Sequence[str], chunk: Column, order: Sequence[str], sums: Mapping[str, str]
+) -> DataFrame:
+    """Running sums per key (``value: out``) for histories of any length.
+
+    Sums run inside chunks of a key's history; the totals of the chunks before
+    are added from a table with one row per key and chunk. ``chunk`` must not
+    decrease along ``order``.
+    """
+    key = list(key)
+    rows = df.withColumn("_chunk", chunk)
+    before = Window.partitionBy(*key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    totals = rows.groupBy(*key, "_chunk").agg(*[F.sum(v).alias(f"_t_{o}") for v, o in sums.items()])
+    offsets = totals.select(
+        *key, "_chunk", *[F.sum(f"_t_{o}").over(before).alias(f"_o_{o}") for o in sums.values()]
+    )
+    w = Window.partitionBy(*key, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    inside = rows.withColumns({f"_i_{o}": F.sum(v).over(w) for v, o in sums.items()})
+    joined = inside.join(offsets, [*key, "_chunk"])
+    made = [
+        (F.col(f"_i_{o}") + F.coalesce(F.col(f"_o_{o}"), F.lit(0))).alias(o) for o in sums.values()
+    ]
+    return joined.select(*df.columns, *made)
