@@ -152,14 +152,12 @@ def fixed_chunks(documents: DataFrame, size: int = 512, overlap: int = 50) -> Da
     """Windows of ``size`` characters every ``size - overlap``, covering the whole text."""
     step = size - overlap
     n = F.greatest(F.ceil((F.length("text") - overlap) / F.lit(float(step))), F.lit(1)).cast("int")
-    starts = F.sequence(F.lit(0), n - 1)
-    return documents.select(
-        "doc_id", F.col("text").alias("_text"), F.posexplode(starts).alias("chunk_no", "_i")
-    ).select(
-        "doc_id",
-        F.col("chunk_no").cast("bigint").alias("chunk_no"),
-        F.substring(F.col("_text"), F.col("_i") * step + 1, F.lit(size)).alias("chunk"),
+    # chunks are cut before the explode, so the whole text is not copied to every row
+    chunks = F.transform(
+        F.sequence(F.lit(0), n - 1), lambda i: F.substring(F.col("text"), i * step + 1, F.lit(size))
     )
+    out = documents.select("doc_id", F.posexplode(chunks).alias("chunk_no", "chunk"))
+    return out.withColumn("chunk_no", F.col("chunk_no").cast("bigint"))
 
 
 SEPARATORS = ["\n\n", "\n", ". ", " ", ""]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from riskframe.functions import text as tx
 from riskframe.functions.formatting import HALF
-from riskframe.functions.numeric import sentiment_label
+from riskframe.functions.numeric import let, sentiment_label
 from riskframe.scale import top_per_key
 
 TOP_K = 5
@@ -17,9 +17,11 @@ TOP_K = 5
 
 def unit(vector: Column) -> Column:
     """The vector scaled to length one, as doubles."""
-    v = F.transform(vector, lambda x: x.cast("double"))
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(v, lambda x: x / F.nullif(norm, F.lit(0.0)))
+    def scaled(v: Column) -> Column:
+        norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
+        return let(norm, lambda n: F.transform(v, lambda x: x / F.nullif(n, F.lit(0.0))))
+
+    return let(F.transform(vector, lambda x: x.cast("double")), scaled)
 
 
 def centroids(vectors: DataFrame, by: str, vector: str = "embedding") -> DataFrame:
