@@ -29,11 +29,12 @@ def percent_rank_by_date(value: str) -> Column:
     universe; use :func:`riskframe.scale.rank_column` for larger groups.
     """
     day = Window.partitionBy("date")
-    present = F.col(value).isNotNull()
-    n = F.count(value).over(day).cast("double")
-    below = F.rank().over(day.orderBy(F.col(value).asc_nulls_last())).cast("double")
-    ties = F.count(value).over(Window.partitionBy("date", value)).cast("double")
-    return F.when(present, (below + (ties - F.lit(1.0)) / F.lit(2.0)) / n)
+    ordered = day.orderBy(F.col(value).asc_nulls_last())
+    # lowest and highest rank of the ties, from one sort: the default frame of
+    # an ordered window ends with the last tie of the current row
+    lowest, highest = F.rank().over(ordered), F.count(value).over(ordered)
+    mean_rank = (lowest + highest).cast("double") / F.lit(2.0)
+    return F.when(F.col(value).isNotNull(), mean_rank / F.count(value).over(day).cast("double"))
 
 
 def add_cross_ranks(df: DataFrame, values: list[str] = RANKED) -> DataFrame:

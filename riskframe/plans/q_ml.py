@@ -102,7 +102,8 @@ def stored(spark, d):
 
 def scored(spark, d):
     """Scores from one feature, so that evaluation can be compared exactly."""
-    return labelled(spark, d).select("symbol", "date", "target", F.round("volatility_21d_rank", 2).alias("score"))
+    score = F.round("volatility_21d_rank", 2).alias("score")
+    return materialise(labelled(spark, d).select("symbol", "date", "target", score), "scored")
 
 
 @query("ml1_feature_table", using("mlfeat", f"SELECT symbol, date, {sql_cols('; '.join(xs.FEATURES), 4)} FROM mlfeat"))
@@ -123,7 +124,7 @@ def ml2(spark, d):
     ),
 )
 def ml3(spark, d):
-    return ml.temporal_split(labelled(spark, d).select("symbol", "date", "target"))
+    return ml.temporal_split(stored(spark, d).select("symbol", "date", "target"))
 
 
 @query(
@@ -134,7 +135,7 @@ def ml3(spark, d):
     ),
 )
 def ml4(spark, d):
-    return rounded(ml.class_weights(labelled(spark, d).select("symbol", "date", "target")))
+    return rounded(ml.class_weights(stored(spark, d).select("symbol", "date", "target")))
 
 
 def _train_and_score(spark, d, kind, **params):
@@ -170,7 +171,7 @@ _SCALED = ["rsi_14", "volatility_21d", "sma_cross"]
     ),
 )
 def ml7(spark, d):
-    rows = labelled(spark, d).select("symbol", "date", *_SCALED)
+    rows = stored(spark, d).select("symbol", "date", *_SCALED)
     return rounded(ml.scale_columns(rows, rows, _SCALED), 4)
 
 
@@ -182,7 +183,7 @@ def ml7(spark, d):
     ),
 )
 def ml7_minmax(spark, d):
-    rows = labelled(spark, d).select("symbol", "date", *_SCALED)
+    rows = stored(spark, d).select("symbol", "date", *_SCALED)
     return rounded(ml.scale_columns(rows, rows, _SCALED, "minmax"), 5)
 
 
@@ -200,7 +201,7 @@ def ml8(spark, d):
     ),
 )
 def ml8_folds(spark, d):
-    out = ml.fold_ids(labelled(spark, d).select("symbol", "date"))
+    out = ml.fold_ids(stored(spark, d).select("symbol", "date"))
     return out.select("symbol", "date", F.col("fold").cast("bigint").alias("fold"), F.col("date_no").cast("bigint").alias("date_no"))
 
 
@@ -424,4 +425,4 @@ def ml21(spark, d):
     ),
 )
 def ml22(spark, d):
-    return rounded(ml.run_metadata(ml.temporal_split(labelled(spark, d).select("date", "target"))).drop("json"))
+    return rounded(ml.run_metadata(ml.temporal_split(stored(spark, d).select("date", "target"))).drop("json"))
