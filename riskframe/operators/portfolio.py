@@ -31,6 +31,17 @@ def running_quantity(tx: DataFrame) -> DataFrame:
     return prefix_sum(rows, KEY, chunk(), ORDER, {"_signed": "held"})
 
 
+def split_by_size(tx: DataFrame, hot_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Valid transactions of usual ledgers and of those with more than ``hot_rows`` rows.
+
+    The hot ledgers are few by construction (at most all rows over
+    ``hot_rows``), so the transactions meet them without being shuffled.
+    """
+    valid = tx.where(is_valid())
+    hot = valid.groupBy(*KEY).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows).select(*KEY)
+    return valid.join(hot, KEY, "left_anti"), valid.join(hot, KEY, "left_semi")
+
+
 def split_ledgers(tx: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Transactions of ledgers without and with an oversold position."""
     rows = running_quantity(tx)
@@ -111,7 +122,7 @@ def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def replay(rows: DataFrame) -> DataFrame:
-    """Ledgers with oversold positions, replayed in order.
+    """Ledgers replayed in order.
 
     Which sale is rejected depends on every row before it. The rows are sorted
     by Spark (spilling as needed) and streamed through with the state of one
@@ -129,23 +140,34 @@ def replay(rows: DataFrame) -> DataFrame:
     )
 
 
-def holdings_from_transactions(tx: DataFrame) -> DataFrame:
-    """Open holdings (user_id, symbol, quantity, avg_price, opened)."""
-    sound, oversold = split_ledgers(tx)
-    replayed = replay(oversold).where("kind = 'holding'")
+HOT_ROWS = 1_000_000
+
+
+def holdings_from_transactions(tx: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Open holdings (user_id, symbol, quantity, avg_price, opened).
+
+    Ledgers of usual size are replayed side by side. A larger one would keep
+    one task busy, so it is folded with running sums in parallel; only if it
+    has refused sales must it be replayed too.
+    """
+    usual, hot = split_by_size(tx, hot_rows)
+    sound, oversold = split_ledgers(hot)
+    rows = usual.unionByName(oversold.select(*usual.columns))
+    replayed = replay(rows).where("kind = 'holding'")
     return fold_sound(sound).unionByName(
         replayed.select(*KEY, "quantity", F.col("price").alias("avg_price"), F.col("date").alias("opened"))
     )
 
 
-def rejected_transactions(tx: DataFrame) -> DataFrame:
+def rejected_transactions(tx: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Transactions the ledger refuses: non-positive quantity or price, or a sale beyond the holding."""
     bad = tx.where(~is_valid()).select(
         *KEY, "date", "ord", "quantity", "price",
         F.when(F.col("quantity") <= 0, "quantity must be positive").otherwise("price must be positive").alias("reason"),
     )
-    _, oversold = split_ledgers(tx)
-    refused = replay(oversold).where("kind = 'oversold'")
+    usual, hot = split_by_size(tx, hot_rows)
+    _, oversold = split_ledgers(hot)
+    refused = replay(usual.unionByName(oversold.select(*usual.columns))).where("kind = 'oversold'")
     return bad.unionByName(
         refused.select(*KEY, "date", "ord", "quantity", "price", F.lit("sale exceeds holding").alias("reason"))
     )
