@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import os
 import tempfile
 import uuid
@@ -37,6 +38,22 @@ def build_session(app: str = "riskframe", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
+def sized_conf(input_bytes: int, cores: int, target: int = 128 * 2**20, per_task_shuffle: int = 256 * 2**20) -> dict[str, str]:
+    """Settings for an input of a known size.
+
+    Adaptive execution merges small shuffle partitions but never adds any, so
+    their number starts from the bytes that may be shuffled.
+    """
+    partitions = max(2 * cores, math.ceil(input_bytes / target))
+    return {
+        **RUNTIME_CONF,
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.files.maxPartitionBytes": str(target),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(per_task_shuffle),
+        "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false" if input_bytes > 2**40 else "true",
+    }
+
+
 def prepare(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings to a session built elsewhere."""
     for key, value in RUNTIME_CONF.items():
