@@ -50,6 +50,6 @@ def test_matches_sql(spark, con, sf_dir, name):
     assert not problems, problems
 
 
-@pytest.mark.parametrize("name", ["ud7_separator_chunks", "ml19_rolling_forecast_backtest"])
+@pytest.mark.parametrize("name", ["ud7_separator_chunks"])
 def test_queries_without_sql_run(spark, sf_dir, name):
     assert catalogue.QUERIES[name](spark, sf_dir).count() > 0
