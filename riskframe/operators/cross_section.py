@@ -69,28 +69,48 @@ def with_regime(df: DataFrame, regime: DataFrame) -> DataFrame:
     return df.join(regime, "date", "left")
 
 
+def base_table(bars: DataFrame, bench: DataFrame) -> DataFrame:
+    """Technical and regime features, and whether a row has all of them.
+
+    Write the benchmark (one row per date) to a table first: Spark then knows
+    its size and joins it without an exchange of the bars.
+    """
+    df = with_regime(technical_features(bars, bench), market_regime(bench))
+    # a rank is missing exactly where its feature is
+    own = [c for c in FEATURES if not c.endswith("_rank")]
+    known = F.lit(True)
+    for c in own:
+        known = known & F.col(c).isNotNull()
+    return df.withColumn("is_complete", known)
+
+
 def feature_table(bars: DataFrame, bench: DataFrame, complete: bool = True) -> DataFrame:
     """The 34 model features per symbol and date.
 
-    Exchanges: one on symbol for all rolling features, one on date for all
-    ranks; the benchmark joins on date reuse the latter's keys.
+    Exchanges: one on symbol for all rolling features, one on date for all ranks.
     """
-    df = add_cross_ranks(technical_features(bars, bench))
-    df = with_regime(df, market_regime(bench))
-    if complete:
-        df = df.dropna(subset=FEATURES)
-    return df
+    df = add_cross_ranks(base_table(bars, bench))
+    return df.where("is_complete") if complete else df
 
 
-def add_forward_target(df: DataFrame, q: float = 0.70) -> DataFrame:
-    """Forward volatility and whether it is in the top 30 % of its date."""
-    df = df.withColumn("log_ret", log_return()).withColumn("forward_vol_21d", forward_vol_sample())
-    df = df.dropna(subset=["forward_vol_21d"])
-    day = Window.partitionBy("date")
-    edge = F.percentile("forward_vol_21d", F.lit(q)).over(day)
-    return df.withColumn(
-        "target", F.when(F.col("forward_vol_21d") >= edge, 1).otherwise(0).cast("bigint")
+def training_table(bars: DataFrame, bench: DataFrame, q: float = 0.70) -> DataFrame:
+    """Complete feature rows with their forward volatility and whether it is in the top 30 % of its date.
+
+    The target looks along the complete rows of a symbol only. It is computed
+    while the rows are still partitioned by symbol, and its edge together with
+    the ranks, so labels add no exchange to the features.
+    """
+    df = base_table(bars, bench)
+    along = Window.partitionBy("symbol", "is_complete").orderBy("date")
+    df = df.withColumn("log_ret", log_return(window=along))
+    df = df.withColumn(
+        "forward_vol_21d", F.when(F.col("is_complete"), forward_vol_sample(window=along))
     )
+    df = add_cross_ranks(df)
+    edge = F.percentile("forward_vol_21d", F.lit(q)).over(Window.partitionBy("date"))
+    df = df.withColumn("_edge", edge).where(F.col("is_complete") & F.col("forward_vol_21d").isNotNull())
+    hit = F.when(F.col("forward_vol_21d") >= F.col("_edge"), 1).otherwise(0)
+    return df.withColumn("target", hit.cast("bigint")).drop("_edge", "is_complete")
 
 
 def latest_values(df: DataFrame, values: list[str]) -> DataFrame:

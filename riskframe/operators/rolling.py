@@ -50,8 +50,8 @@ def pct_change(n: int, value: str = "close") -> Column:
     return F.try_divide(F.col(value), F.lag(value, n).over(by_symbol())) - F.lit(1.0)
 
 
-def log_return(value: str = "close") -> Column:
-    return F.ln(F.try_divide(F.col(value), F.lag(value).over(by_symbol())))
+def log_return(value: str = "close", window: WindowSpec | None = None) -> Column:
+    return F.ln(F.try_divide(F.col(value), F.lag(value).over(window or by_symbol())))
 
 
 def add_volatility(df: DataFrame, windows: Mapping[str, tuple[int, int | None]], ret: str = "ret") -> DataFrame:
@@ -326,9 +326,9 @@ def interactions() -> dict[str, Column]:
 # ---- forward looking targets ------------------------------------------------------
 
 
-def forward_vol_sample(log_ret: str = "log_ret", n: int = 21) -> Column:
+def forward_vol_sample(log_ret: str = "log_ret", n: int = 21, window: WindowSpec | None = None) -> Column:
     """Sample volatility of the next ``n`` log returns."""
-    w = rows(1, n)
+    w = (window or by_symbol()).rowsBetween(1, n)
     return F.when(F.count(log_ret).over(w) >= n, annual(F.stddev_samp(log_ret).over(w)))
 
 

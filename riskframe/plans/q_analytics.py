@@ -8,6 +8,7 @@ from riskframe.operators import analytics as qa
 from riskframe.operators import rolling as rl
 from riskframe.operators import selection as sel
 from riskframe.operators.pairs import covariances, pair_moments
+from riskframe.plans import q_relational as _shared  # noqa: F401 - defines shared tables
 from riskframe.plans.sqlkit import cte, query, rnd, rounded, sql_cols, sql_rnd, using
 from riskframe.sources import domain as dom
 
@@ -156,7 +157,7 @@ cte(
             SELECT symbol, avg(log_ret) AS mu, stddev_pop(log_ret) AS sigma, last(close ORDER BY date) AS last_close, max(date) AS last_date
             FROM retv GROUP BY symbol)
           CROSS JOIN (SELECT sim, step, {sql_normal("'42'", "CAST(sim AS VARCHAR)", "CAST(step AS VARCHAR)")} AS z
-                      FROM (SELECT unnest(range(200)) AS sim), (SELECT unnest(range(21)) AS step)))""",
+                      FROM (SELECT unnest(range(500)) AS sim), (SELECT unnest(range(31)) AS step)))""",
     "retv",
 )
 
@@ -180,7 +181,7 @@ _BANDS += "; min_price=min(price); max_price=max(price); mean_price=avg(price)"
     ),
 )
 def qa9(spark, d):
-    df = qa.monte_carlo(dom.daily_bars(spark, d), sims=200, horizon=20)
+    df = qa.monte_carlo(dom.daily_bars(spark, d))
     prices = [*qa.BANDS, "min_price", "max_price", "mean_price"]
     return df.select(
         "symbol", "step", "date", *[rnd(c, 2).alias(c) for c in prices],
@@ -197,7 +198,7 @@ cte(
     "folios",
     f"""SELECT portfolio, symbol, u / sum(u) OVER (PARTITION BY portfolio) AS w FROM (
         SELECT portfolio, symbol, {sql_uniform("'42'", "CAST(portfolio AS VARCHAR)", "symbol")} AS u
-        FROM (SELECT unnest(range(1000)) AS portfolio), (SELECT DISTINCT symbol FROM aret))""",
+        FROM (SELECT unnest(range(5000)) AS portfolio), (SELECT DISTINCT symbol FROM aret))""",
     "aret",
     materialised=True,
 )
@@ -215,7 +216,7 @@ PERF = "annual_return; annual_volatility; sharpe_ratio"
 
 
 def folios(spark, d):
-    return qa.random_portfolios(dom.weekly_bars(spark, d), count=1000)
+    return qa.random_portfolios(dom.weekly_bars(spark, d))
 
 
 @query("qa11_random_portfolios", using("perf", f"SELECT portfolio, {sql_cols(PERF, 5)} FROM perf"))

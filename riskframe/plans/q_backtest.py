@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from riskframe.operators import backtest as bt
 from riskframe.operators import rolling as rl
+from riskframe.plans import q_relational as _shared  # noqa: F401 - defines shared tables
 from riskframe.plans.sqlkit import cte, query, rnd, rounded, sql_cols, using
 from riskframe.sources import domain as dom
 

@@ -14,7 +14,7 @@ from riskframe.operators import rolling as rl
 from riskframe.operators import scoring
 from riskframe.plans.q_windows import W, frame
 from riskframe.plans.sqlkit import cte, query, rnd, rounded, sql_cols, sql_rnd, using
-from riskframe.session import scratch_path
+from riskframe.session import materialise, scratch_path
 from riskframe.sources import domain as dom
 from riskframe.sources import export, files, market
 from riskframe.sources import upserts as up
@@ -600,7 +600,8 @@ def latest_features(spark, d):
 
     worst = max_drawdowns(bars).withColumn("max_drawdown", F.col("max_drawdown") * 100)
     mood = mean_sentiment(dom.daily_news_sentiment(spark, d), AS_OF)
-    return last.join(worst, "symbol").join(mood, "symbol", "left")
+    # scoring reads its input several times: extremes, scores, ranks
+    return materialise(last.join(worst, "symbol").join(mood, "symbol", "left"), "latest")
 
 
 @query(

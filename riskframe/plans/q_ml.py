@@ -8,6 +8,7 @@ from riskframe.operators import cross_section as xs
 from riskframe.operators import ml
 from riskframe.operators import rolling as rl
 from riskframe.operators import scoring
+from riskframe.plans import q_relational as _shared  # noqa: F401 - defines shared tables
 from riskframe.plans.q_core import latest_features as formula_inputs
 from riskframe.plans.q_windows import W, _ahead_vol, _vol_sql
 from riskframe.plans.sqlkit import cte, query, rounded, sql_cols, sql_rnd, using
@@ -88,11 +89,11 @@ cte("mlscored", "SELECT symbol, date, target, round(volatility_21d_rank, 2) AS s
 
 
 def features(spark, d):
-    return xs.feature_table(dom.daily_bars(spark, d), dom.market_benchmark(spark, d))
+    return xs.feature_table(*dom.stored_market(spark, d))
 
 
 def labelled(spark, d):
-    return xs.add_forward_target(features(spark, d))
+    return xs.training_table(*dom.stored_market(spark, d))
 
 
 def stored(spark, d):
@@ -399,7 +400,7 @@ def ml20(spark, d):
         f"""SELECT symbol, {sql_cols('risk_score; vol_forecast')}, risk_level, risk_drivers, vol_signal, rank() OVER (ORDER BY w.risk_score DESC) AS risk_rank FROM (
         SELECT symbol, risk_score, CASE WHEN risk_score > 0.6 THEN 'High' WHEN risk_score > 0.3 THEN 'Medium' ELSE 'Low' END AS risk_level,
                '↑ ' || risk_drivers || ' | ↓ none' AS risk_drivers FROM weighted) w
-        LEFT JOIN (SELECT symbol, volatility_21d AS vol_forecast, CASE WHEN volatility_21d > 20 THEN 'INCREASING' ELSE 'STABLE' END AS vol_signal FROM latest_feats WHERE symbol <> 'Brand#4') f USING (symbol)""",
+        LEFT JOIN (SELECT symbol, volatility_21d AS vol_forecast, CASE WHEN volatility_21d > 20 THEN 'INCREASING' ELSE 'STABLE' END AS vol_signal FROM latest_feats) f USING (symbol)""",
     ),
 )
 def ml21(spark, d):
@@ -408,7 +409,7 @@ def ml21(spark, d):
         "symbol", F.col("risk_score").alias("risk_probability"), F.col("risk_drivers").alias("risk_drivers_up"),
         F.lit("none").alias("risk_drivers_down"),
     )
-    forecasts = inputs.where("symbol <> 'Brand#4'").select(
+    forecasts = inputs.select(
         "symbol", F.col("volatility_21d").alias("garch_forecast_30d"),
         F.when(F.col("volatility_21d") > 20, "INCREASING").otherwise("STABLE").alias("signal"),
     )

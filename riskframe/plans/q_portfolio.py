@@ -8,6 +8,7 @@ from riskframe.operators import aggregates as agg
 from riskframe.operators import alerts as al
 from riskframe.operators import entities as ent
 from riskframe.operators import portfolio as pf
+from riskframe.plans import q_relational as _shared  # noqa: F401 - defines shared tables
 from riskframe.plans.sqlkit import cte, query, rnd, rounded, sql_cols, using
 from riskframe.sources import domain as dom
 

@@ -148,7 +148,7 @@ cte(
     """SELECT user_id, symbol, quantity, avg_price, stock_name, sector, risk_score, risk_level, price AS current_price,
               quantity * price AS current_value, quantity * avg_price AS cost_basis
        FROM (SELECT h.*, s.name AS stock_name, s.sector, b.risk_score, b.risk_level, coalesce(nullif(c.close, 0), h.avg_price) AS price
-             FROM holdings0 h LEFT JOIN stocks s USING (symbol) LEFT JOIN (SELECT symbol, last(close ORDER BY date) AS close FROM bars WHERE symbol <> 'Brand#9' GROUP BY symbol) c USING (symbol)
+             FROM holdings0 h LEFT JOIN stocks s USING (symbol) LEFT JOIN (SELECT symbol, last(close ORDER BY date) AS close FROM bars GROUP BY symbol) c USING (symbol)
              LEFT JOIN blatest b USING (symbol))""",
     "holdings0",
     "stocks",
@@ -172,9 +172,7 @@ def jn12(spark, d):
         F.sum("quantity").alias("quantity"),
         (F.sum(F.col("price") * F.col("quantity")) / F.sum("quantity")).alias("avg_price"),
     )
-    # One symbol without bars, so that its price falls back to the cost.
-    bars = dom.daily_bars(spark, d).where(F.col("symbol") != "Brand#9")
-    v = ent.value_holdings(holdings, dom.stocks(spark, d), bars, dom.brand_scores(spark, d))
+    v = ent.value_holdings(holdings, dom.stocks(spark, d), dom.daily_bars(spark, d), dom.brand_scores(spark, d))
     return v.select(
         "user_id", "symbol", "quantity", rnd("avg_price", 4).alias("avg_price"), rnd("current_price", 4).alias("current_price"),
         rnd("current_value", 2).alias("current_value"), rnd("cost_basis", 2).alias("cost_basis"),
@@ -727,12 +725,11 @@ def st4(spark, d):
 
 @query(
     "st5_date_intersection",
-    using("wbars", "SELECT date FROM wbars WHERE symbol = 'Brand#1' INTERSECT SELECT date FROM wbars WHERE symbol = 'Brand#2'"),
+    using("bars", "SELECT date FROM bars INTERSECT SELECT CAST(o_orderdate AS DATE) AS date FROM orders"),
 )
 def st5(spark, d):
-    weekly = dom.weekly_bars(spark, d)
-    one, two = (weekly.where(F.col("symbol") == s).select("date") for s in ("Brand#1", "Brand#2"))
-    return one.intersect(two)
+    ordered = dom.table(spark, d, "orders").select(F.to_date("o_orderdate").alias("date"))
+    return dom.daily_bars(spark, d).select("date").intersect(ordered)
 
 
 @query(

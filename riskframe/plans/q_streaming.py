@@ -8,6 +8,7 @@ from riskframe.functions.numeric import risk_level
 from riskframe.operators import alerts as al
 from riskframe.operators import entities as ent
 from riskframe.operators import news as nw
+from riskframe.plans import q_text as _shared  # noqa: F401 - defines shared tables
 from riskframe.plans.sqlkit import cte, query, rounded, sql_cols, using
 from riskframe.session import prepare, scratch_path
 from riskframe.sources import domain as dom
@@ -181,14 +182,14 @@ def sm11(spark, d):
 
 cte(
     "hours",
-    f"""SELECT CAST(epoch(date_trunc('hour', ts)) AS BIGINT) AS start_epoch, count(*) AS updates, count(*) FILTER (WHERE risk_score > 0.6) AS high_risk FROM history
-        GROUP BY 1 HAVING epoch(date_trunc('hour', max(ts)) + INTERVAL 1 HOUR) <= epoch({LAST} - INTERVAL 1 MINUTE)""",
+    f"""SELECT CAST(epoch(time_bucket(INTERVAL 3 HOUR, ts)) AS BIGINT) AS start_epoch, count(*) AS updates, count(*) FILTER (WHERE risk_score > 0.6) AS high_risk FROM history
+        GROUP BY 1 HAVING epoch(time_bucket(INTERVAL 3 HOUR, max(ts)) + INTERVAL 3 HOUR) <= epoch({LAST} - INTERVAL 1 MINUTE)""",
     "history",
 )
 
 
-@query("sm12_universe_breach", using("hours", "SELECT * FROM hours WHERE high_risk > 3"))
+@query("sm12_universe_breach", using("hours", "SELECT * FROM hours WHERE high_risk > 10"))
 def sm12(spark, d):
-    stats = live.periodic_stats(updates(spark, d), every="1 hour")
-    out = sinks.drain_to_files(live.universe_breach(stats, 3))
+    stats = live.periodic_stats(updates(spark, d), every="3 hours")
+    out = sinks.drain_to_files(live.universe_breach(stats))
     return out.select(F.unix_timestamp("start").alias("start_epoch"), "updates", "high_risk")

@@ -385,7 +385,7 @@ _INTERACTIONS = """vol_change=v21 - v63; momentum_reversal=r5 - r21; return_vol_
 
 @query("wn21_interactions", using("feat21", f"SELECT symbol, date, {sql_cols(_INTERACTIONS)} FROM feat21"))
 def wn21(spark, d):
-    df = rl.technical_features(dom.daily_bars(spark, d), dom.market_benchmark(spark, d))
+    df = rl.technical_features(*dom.stored_market(spark, d))
     return rounded(df.select("symbol", "date", *rl.interactions()))
 
 

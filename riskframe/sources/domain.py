@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskframe.scale import latest_by
-from riskframe.session import prepare
+from riskframe.session import materialise, prepare
 from riskframe.sources.market import bars_from_ticks, benchmark_series, resample_bars
 
 # The last ship date of every scale factor; the reference reads the clock instead.
@@ -51,6 +51,12 @@ def market_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     return benchmark_series(daily_bars(spark, sf_dir))
 
 
+def stored_market(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Daily bars and the benchmark as written tables, the first step of a training run."""
+    bars = materialise(daily_bars(spark, sf_dir), "bars")
+    return bars, materialise(benchmark_series(bars), "benchmark")
+
+
 def stocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = F.element_at(F.split("p_brand", "#"), 2).cast("bigint")
     return (

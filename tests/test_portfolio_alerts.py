@@ -72,6 +72,20 @@ def test_summary_of_worthless_cost(spark):
     assert got == {1: 0.0, 2: 50.0}
 
 
+def test_price_falls_back_to_cost(spark):
+    holdings = spark.createDataFrame(
+        [(1, "A", 2.0, 5.0), (1, "B", 2.0, 5.0), (1, "C", 1.0, 5.0)], "user_id bigint, symbol string, quantity double, avg_price double"
+    )
+    d = days(2)
+    bars = spark.createDataFrame([("A", d[0], 9.0), ("A", d[1], 8.0), ("C", d[0], 0.0)], "symbol string, date date, close double")
+    stocks = spark.createDataFrame([("A", "Alpha", "Tech")], "symbol string, name string, sector string")
+    scores = spark.createDataFrame([("A", d[0], 0.4, "Medium")], "symbol string, date date, risk_score double, risk_level string")
+    got = {r["symbol"]: r for r in ent.value_holdings(holdings, stocks, bars, scores).collect()}
+    assert [got[s]["current_price"] for s in "ABC"] == [8.0, 5.0, 5.0]
+    assert got["A"]["gain_loss_pct"] == pytest.approx(60.0) and got["B"]["gain_loss"] == 0.0
+    assert got["B"]["stock_name"] is None and got["A"]["risk_level"] == "Medium"
+
+
 def test_default_symbols(spark):
     users = spark.createDataFrame([(1,), (2,), (3,)], "user_id bigint")
     asked = spark.createDataFrame([(1, "Z")], "user_id bigint, symbol string")
