@@ -122,8 +122,12 @@ def drop_elements(html: Column, tags: Sequence[str] = DROPPED_TAGS) -> Column:
 
 
 def element_text(fragment: Column) -> Column:
-    """Text of a fragment: each text run trimmed, runs joined, common entities decoded."""
-    out = F.regexp_replace(fragment, r"\s*<[^>]+>\s*", "")
+    """Text of a fragment: each text run trimmed, runs joined, common entities decoded.
+
+    Spaces are collapsed first and a tag never spans another, so the patterns
+    stay linear on pages with long blank runs or stray brackets.
+    """
+    out = F.regexp_replace(F.regexp_replace(fragment, r"\s+", " "), " ?<[^<>]+> ?", "")
     for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
         out = F.replace(out, F.lit(entity), F.lit(char))
     return F.trim(F.regexp_replace(out, r"\s+", " "))

@@ -113,6 +113,17 @@ def sm7(spark, d):
     return sinks.drain_to_files(live.new_urls(articles, "40 days")).select("url")
 
 
+@query(
+    "sm7_url_dedup_against_store",
+    "SELECT event_type || '/' || user_id AS url, min(event_id) AS event_id FROM events GROUP BY 1",
+)
+def sm7_store(spark, d):
+    articles = events(spark, d).select("event_id", F.concat("event_type", F.lit("/"), F.col("user_id").cast("string")).alias("url"))
+    path = scratch_path(spark, "urls")
+    sinks.drain_batches(articles, sinks.dedup_sink(path, articles.schema, "url", ["event_id"]))
+    return spark.read.schema(articles.schema).parquet(f"{path}/batch_id=*").select("url", "event_id")
+
+
 @query("sm8_upsert_sink", using("scores", f"SELECT symbol, {sql_cols('risk_score')}, risk_level FROM scores"))
 def sm8(spark, d):
     stream = updates(spark, d)

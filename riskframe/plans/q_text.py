@@ -23,7 +23,7 @@ def sql_drop(expr: str) -> str:
 
 
 def sql_text(expr: str) -> str:
-    out = f"regexp_replace({expr}, '\\s*<[^>]+>\\s*', '', 'g')"
+    out = f"regexp_replace(regexp_replace({expr}, '\\s+', ' ', 'g'), ' ?<[^<>]+> ?', '', 'g')"
     for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&amp;", "&")):
         out = f"replace({out}, '{entity}', '{char}')"
     return f"trim(regexp_replace({out}, '\\s+', ' ', 'g'))"

@@ -105,29 +105,66 @@ def compact(spark: SparkSession, path: str, schema: T.StructType, keys: Sequence
     read_upserted(spark, path, schema, keys, order).write.mode("overwrite").parquet(f"{out}/batch_id=-1")
 
 
-def change_feed_sink(path: str, state: str, schema: T.StructType, key: str = "symbol") -> Callable[[DataFrame, int], None]:
+# ---- new keys only ----------------------------------------------------------------------------
+
+
+def dedup_sink(path: str, schema: T.StructType, key: str, order: Sequence[str]) -> Callable[[DataFrame, int], None]:
+    """Store each key once, at its first row, however long ago that was.
+
+    A batch is reduced to one row per key before the shuffle, then compared with
+    the stored keys; a retried batch ignores what its own earlier attempt wrote.
+    """
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        first = latest_by(batch.select(*schema.names), [key], list(order), first=True)
+        if batch_id > 0:
+            stored = spark.read.schema(schema).parquet(*[f"{path}/batch_id={i}" for i in range(batch_id)])
+            first = first.join(stored.select(key), key, "left_anti").select(*schema.names)
+        first.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+    return handle
+
+
+# ---- change feed ------------------------------------------------------------------------------
+
+SNAPSHOT_EVERY = 20
+
+
+def earlier_state(batch_id: int, every: int) -> list[int]:
+    """The batches that hold the state before ``batch_id``: the last snapshot and what followed."""
+    return list(range((batch_id - 1) // every * every, batch_id)) if batch_id > 0 else []
+
+
+def change_feed_sink(
+    path: str, state: str, schema: T.StructType, key: str = "symbol", every: int = SNAPSHOT_EVERY
+) -> Callable[[DataFrame, int], None]:
     """Previous and new score of every update.
 
     Inside a batch the previous row comes from the batch, cut into hours so that
-    no symbol is sorted as a whole; a symbol's first row takes it from the log
-    of last rows that earlier batches left. Both outputs are written under the
-    batch id.
+    no symbol is sorted as a whole; a symbol's first row takes it from the last
+    rows that earlier batches left. A batch leaves its own last rows, and every
+    ``every``-th batch those of all symbols, so a batch reads a bounded number
+    of earlier ones. Both outputs are written under the batch id.
     """
     order = ["ts", "event_id"]
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         rows = batch.select(*schema.names)
-        earlier = [f"{state}/batch_id={i}" for i in range(batch_id)]
+        last = latest_by(rows, [key], order)
+        feed = rows.withColumn("_new", F.lit(True))
+        earlier = earlier_state(batch_id, every)
         if earlier:
-            last = latest_by(spark.read.schema(schema).parquet(*earlier), [key], order)
-            last = last.join(rows.select(key).distinct(), key, "left_semi")
-            rows = rows.withColumn("_new", F.lit(True)).unionByName(last.withColumn("_new", F.lit(False)))
-        else:
-            rows = rows.withColumn("_new", F.lit(True))
+            held = spark.read.schema(schema).parquet(*[f"{state}/batch_id={i}" for i in earlier])
+            held = latest_by(held, [key], order)
+            known = held.join(rows.select(key).distinct(), key, "left_semi").select(*schema.names)
+            feed = feed.unionByName(known.withColumn("_new", F.lit(False)))
+            if batch_id % every == 0:
+                last = latest_by(held.select(*schema.names).unionByName(last), [key], order)
         hour = F.date_trunc("hour", "ts")
-        fed = previous_value(rows, [key], hour, order, {"risk_score": "prev_score"}).where("_new").drop("_new")
+        fed = previous_value(feed, [key], hour, order, {"risk_score": "prev_score"}).where("_new").drop("_new")
         fed.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
-        latest_by(batch.select(*schema.names), [key], order).write.mode("overwrite").parquet(f"{state}/batch_id={batch_id}")
+        last.write.mode("overwrite").parquet(f"{state}/batch_id={batch_id}")
 
     return handle

@@ -123,6 +123,26 @@ def test_change_feed_across_batches(spark, feed, tmp_path):
     assert got == {1: None, 2: 0.1, 3: None, 4: 0.2, 5: 0.4}
 
 
+def test_change_feed_reads_snapshots(spark, feed, tmp_path):
+    for i in range(7):
+        feed.add((i + 1, at(i), 1 + i % 2, 10 * (i + 1)))
+    stream = live.score_updates(feed.stream())
+    sink = sinks.change_feed_sink(str(tmp_path / "feed"), str(tmp_path / "state"), stream.schema, every=2)
+    sinks.drain_batches(stream, sink, checkpoint=str(tmp_path / "c"))
+    got = {r["event_id"]: r["prev_score"] for r in spark.read.parquet(str(tmp_path / "feed")).collect()}
+    assert got == {1: None, 2: None, 3: 0.1, 4: 0.2, 5: 0.3, 6: 0.4, 7: 0.5}
+    assert sinks.earlier_state(0, 2) == [] and sinks.earlier_state(4, 2) == [2, 3] and sinks.earlier_state(5, 2) == [4]
+
+
+def test_dedup_against_the_store(spark, feed, tmp_path):
+    feed.add((1, at(1), 1, 1), (2, at(1), 1, 1)).add((3, at(2), 1, 1), (4, at(900), 2, 1)).add((5, at(2000), 2, 1))
+    stream = feed.stream().select("event_id", F.col("user_id").cast("string").alias("url"))
+    sinks.drain_batches(
+        stream, sinks.dedup_sink(str(tmp_path / "u"), stream.schema, "url", ["event_id"]), checkpoint=str(tmp_path / "c")
+    )
+    assert {(r["url"], r["event_id"]) for r in spark.read.parquet(str(tmp_path / "u")).collect()} == {("1", 1), ("2", 4)}
+
+
 def test_interval_statistics_and_breach(feed, tmp_path):
     feed.add(*[(i, T0 + dt.timedelta(seconds=i), i, 90 if i < 12 else 10) for i in range(40)], (99, at(1), 1, 1))
     stats = live.periodic_stats(live.score_updates(feed.stream()))
