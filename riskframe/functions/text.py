@@ -185,9 +185,9 @@ def article_body(html: Column | str, cap: int | None = 5000) -> Column:
 # ---- sentiment -------------------------------------------------------------------
 
 
-def word_count(text: Column, words: Sequence[str]) -> Column:
-    """How often any of the words occurs as a whole word."""
-    return F.regexp_count(text, F.lit(rf"(?<!\p{{L}})(?:{'|'.join(words)})(?!\p{{L}})"))
+def whole_words(text: Column, words: Sequence[str]) -> Column:
+    """Every occurrence of the words as a whole word, in one pass over the text."""
+    return F.regexp_extract_all(text, F.lit(rf"(?<!\p{{L}})(?:{'|'.join(words)})(?!\p{{L}})"), 0)
 
 
 def lexicon_sentiment(text: Column | str, max_chars: int | None = None) -> Column:
@@ -204,10 +204,14 @@ def lexicon_sentiment(text: Column | str, max_chars: int | None = None) -> Colum
         return F.struct(score.alias("score"), (hits / (hits + F.lit(1.0))).alias("confidence"), label.alias("label"))
 
     def counts(low: Column) -> Column:
-        long_enough = F.length(F.trim(low)) >= 10
-        return F.struct(
-            F.when(long_enough, word_count(low, POSITIVE_WORDS)).otherwise(0).cast("double").alias("good"),
-            F.when(long_enough, word_count(low, NEGATIVE_WORDS)).otherwise(0).cast("double").alias("bad"),
+        none = F.array().cast("array<string>")
+        hits = F.when(F.length(F.trim(low)) >= 10, whole_words(low, POSITIVE_WORDS + NEGATIVE_WORDS)).otherwise(none)
+        return let(
+            hits,
+            lambda found: let(
+                F.size(F.filter(found, lambda w: w.isin(POSITIVE_WORDS))).cast("double"),
+                lambda good: F.struct(good.alias("good"), (F.size(found) - good).alias("bad")),
+            ),
         )
 
     seen = F.coalesce(F.substring(t, 1, max_chars) if max_chars else t, F.lit(""))

@@ -11,12 +11,13 @@ from pyspark.sql import functions as F
 
 from riskframe.functions import text as tx
 from riskframe.functions.numeric import sentiment_label
+from riskframe.scale import computed_once
 from riskframe.sources.market import within
 
 
 def extract_articles(pages: DataFrame, html: str = "html") -> DataFrame:
     """Add the article text of each raw page."""
-    return pages.withColumn("content", tx.article_body(html))
+    return computed_once(pages, "content", tx.article_body(html))
 
 
 def quality_articles(pages: DataFrame, html: str = "html") -> DataFrame:
@@ -27,8 +28,7 @@ def quality_articles(pages: DataFrame, html: str = "html") -> DataFrame:
     content = tx.collapse_spaces(F.array_join(tx.paragraphs(page, 50), " "))
     named = F.coalesce(F.nullif(h1, F.lit("")), F.nullif(title, F.lit("")), F.lit("No Title"))
     return (
-        pages.withColumn("headline", named)
-        .withColumn("content", content)
+        computed_once(pages.withColumn("headline", named), "content", content)
         .where(F.length("content") >= 100)
         .withColumn("description", F.substring("content", 1, 500))
     )
@@ -53,7 +53,7 @@ def score_articles(articles: DataFrame, scorer: Callable[[Column], Column] = tx.
     expression, or a pandas UDF around a model.
     """
     scored = articles.withColumns({"_h": scorer(F.col("headline")), "_c": scorer(F.col("content"))})
-    scored = scored.withColumn("_s", blend(F.col("_h"), F.col("_c"), F.col("content")))
+    scored = computed_once(scored, "_s", blend(F.col("_h"), F.col("_c"), F.col("content")))
     return scored.withColumns(
         {
             "sentiment_score": F.col("_s.score"),

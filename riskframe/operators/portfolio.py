@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskframe.scale import prefix_sum
@@ -24,10 +24,58 @@ def chunk() -> Column:
     return F.struct(F.col("date").alias("d"), F.floor(F.col("ord") / 1_000_000).alias("o"))
 
 
+def signed_quantity() -> Column:
+    """Exact, so that a full sale leaves exactly nothing."""
+    return F.when(F.col("action") == "BUY", F.col("quantity")).otherwise(-F.col("quantity")).cast(QTY)
+
+
+def share_kept() -> Column:
+    """Log of the share of the position a sale leaves; 0 for a buy."""
+    before = F.nullif(F.col("_before"), F.lit(0)).cast("double")
+    return F.when(F.col("action") == "SELL", F.ln(F.col("held").cast("double") / before)).otherwise(F.lit(0.0))
+
+
+def cost_today() -> Column:
+    """Cost of a buy times the shares of the position kept since."""
+    cost = F.when(F.col("action") == "BUY", F.col("quantity") * F.col("price"))
+    return F.sum(cost * F.exp(F.col("_total") - F.col("_scale")))
+
+
+def mark_ledgers(tx: DataFrame) -> DataFrame:
+    """Quantity held after each transaction if every sale were accepted, and the ledger's lowest.
+
+    One exchange by ledger; the fold of sound ledgers below keeps its partitioning.
+    """
+    ledger = Window.partitionBy(*KEY)
+    so_far = ledger.orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0)
+    rows = tx.withColumn("_signed", signed_quantity()).withColumn("held", F.sum("_signed").over(so_far))
+    return rows.withColumn("_low", F.min("held").over(ledger))
+
+
+def fold_windows(rows: DataFrame) -> DataFrame:
+    """Holdings of marked ledgers in which every sale is covered; see :func:`fold_sound`."""
+    ledger = Window.partitionBy(*KEY)
+    so_far = ledger.orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0)
+    place = F.struct(*ORDER)
+    rows = rows.withColumn("_before", F.col("held") - F.col("_signed"))
+    opens = (F.col("action") == "BUY") & (F.col("_before") == 0)
+    rows = rows.withColumns(
+        {
+            "_open": F.max(F.when(opens, place)).over(ledger),
+            "_final": F.max(F.struct(*ORDER, "held")).over(ledger)["held"],
+        }
+    )
+    live = rows.where((F.col("_final") > 0) & (place >= F.col("_open"))).withColumn("_kept", share_kept())
+    live = live.withColumns({"_scale": F.sum("_kept").over(so_far), "_total": F.sum("_kept").over(ledger)})
+    held = live.groupBy(*KEY).agg(
+        F.max("_final").cast("double").alias("quantity"), cost_today().alias("_cost"), F.min("date").alias("opened")
+    )
+    return held.select(*KEY, "quantity", (F.col("_cost") / F.col("quantity")).alias("avg_price"), "opened")
+
+
 def running_quantity(tx: DataFrame) -> DataFrame:
-    """Valid transactions with the quantity held after each if every sale were accepted."""
-    signed = F.when(F.col("action") == "BUY", F.col("quantity")).otherwise(-F.col("quantity")).cast(QTY)
-    rows = tx.where(is_valid()).withColumn("_signed", signed)
+    """:func:`mark_ledgers` without its lowest quantity, for ledgers of any length."""
+    rows = tx.where(is_valid()).withColumn("_signed", signed_quantity())
     return prefix_sum(rows, KEY, chunk(), ORDER, {"_signed": "held"})
 
 
@@ -68,18 +116,14 @@ def fold_sound(rows: DataFrame) -> DataFrame:
         F.max(F.struct(*ORDER, "held"))["held"].alias("_final"),
     )
     live = rows.join(ends.where("_final > 0"), KEY).where(place >= F.col("_open"))
-    kept = F.when(
-        F.col("action") == "SELL", F.ln(F.col("held").cast("double") / F.nullif(F.col("_before"), F.lit(0)).cast("double"))
-    ).otherwise(F.lit(0.0))
-    live = prefix_sum(live.withColumn("_kept", kept), KEY, chunk(), ORDER, {"_kept": "_scale"})
-    cost = F.when(F.col("action") == "BUY", F.col("quantity") * F.col("price"))
+    live = prefix_sum(live.withColumn("_kept", share_kept()), KEY, chunk(), ORDER, {"_kept": "_scale"})
     total = live.groupBy(*KEY).agg(F.sum("_kept").alias("_total"))
     return (
         live.join(total, KEY)
         .groupBy(*KEY)
         .agg(
             F.max("_final").cast("double").alias("quantity"),
-            F.sum(cost * F.exp(F.col("_total") - F.col("_scale"))).alias("_cost"),
+            cost_today().alias("_cost"),
             F.min("date").alias("opened"),
         )
         .select(*KEY, "quantity", (F.col("_cost") / F.col("quantity")).alias("avg_price"), "opened")
@@ -146,15 +190,17 @@ HOT_ROWS = 1_000_000
 def holdings_from_transactions(tx: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Open holdings (user_id, symbol, quantity, avg_price, opened).
 
-    Ledgers of usual size are replayed side by side. A larger one would keep
-    one task busy, so it is folded with running sums in parallel; only if it
-    has refused sales must it be replayed too.
+    A ledger in which every sale is covered folds into sums: by windows when it
+    has a usual size, by chunked running sums when it is so large that one task
+    should not hold it. Only ledgers with refused sales are replayed.
     """
     usual, hot = split_by_size(tx, hot_rows)
+    marked = mark_ledgers(usual)
     sound, oversold = split_ledgers(hot)
-    rows = usual.unionByName(oversold.select(*usual.columns))
-    replayed = replay(rows).where("kind = 'holding'")
-    return fold_sound(sound).unionByName(
+    refused = marked.where("_low < 0").select(*tx.columns).unionByName(oversold.select(*tx.columns))
+    replayed = replay(refused).where("kind = 'holding'")
+    folded = fold_windows(marked.where("_low >= 0")).unionByName(fold_sound(sound))
+    return folded.unionByName(
         replayed.select(*KEY, "quantity", F.col("price").alias("avg_price"), F.col("date").alias("opened"))
     )
 
@@ -167,7 +213,8 @@ def rejected_transactions(tx: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     )
     usual, hot = split_by_size(tx, hot_rows)
     _, oversold = split_ledgers(hot)
-    refused = replay(usual.unionByName(oversold.select(*usual.columns))).where("kind = 'oversold'")
+    doubtful = mark_ledgers(usual).where("_low < 0").select(*tx.columns)
+    refused = replay(doubtful.unionByName(oversold.select(*tx.columns))).where("kind = 'oversold'")
     return bad.unionByName(
         refused.select(*KEY, "date", "ord", "quantity", "price", F.lit("sale exceeds holding").alias("reason"))
     )
