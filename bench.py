@@ -1,7 +1,7 @@
 """Time the headline queries; prints one JSON line.
 
 Environment: ``BENCH_SF_DIR`` (default /root/testdata/sf0.1), ``BENCH_CPUS``
-(default 8), ``BENCH_RUNS`` (default 2, the median is reported) and
+(default 8), ``BENCH_RUNS`` (default 3, the median is reported) and
 ``BENCH_QUERIES`` (comma separated names, ``all`` for the whole catalogue).
 """
 
@@ -47,7 +47,7 @@ HEADLINE = [
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    runs = int(os.environ.get("BENCH_RUNS", "2"))
+    runs = int(os.environ.get("BENCH_RUNS", "3"))
     chosen = os.environ.get("BENCH_QUERIES", "")
     names = list(catalogue.QUERIES) if chosen == "all" else [n for n in chosen.split(",") if n] or HEADLINE
     spark = build_session("bench", f"local[{cpus}]", shuffle_partitions=cpus)
