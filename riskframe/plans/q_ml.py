@@ -371,7 +371,32 @@ def ml18(spark, d):
     return rounded(ml.volatility_forecasts(dom.daily_bars(spark, d)), 5, skip=("alpha", "beta"))
 
 
-@query("ml19_rolling_forecast_backtest")
+cte(
+    "refits",
+    """SELECT symbol, pt, r[1:pt] AS hist, list_avg(r[1:pt]) AS m, list_var_pop(r[1:pt]) AS v, list_stddev_pop(r[pt + 1:pt + 30]) * sqrt(252.0) AS actual
+       FROM (SELECT symbol, r, unnest(range(504, len(r) - 30 + 1, 63)) AS pt FROM garch_in WHERE len(r) > 534)""",
+    "garch_in",
+    materialised=True,
+)
+cte(
+    "rolled",
+    f"""SELECT symbol, pt, actual, sqrt((v + (f[1] - v) * (1 - pow(alpha + beta, 30)) / (1 - alpha - beta) / 30) * 252) AS predicted FROM (
+          SELECT symbol, pt, actual, v, alpha, beta, list_reduce(list_prepend([v, 0.0::DOUBLE], list_transform(hist, lambda x: [(x - m) * (x - m), 0.0::DOUBLE])),
+            lambda s, x: [v * (1 - alpha - beta) + alpha * x[1] + beta * s[1], s[2] - (ln(s[1]) + x[1] / s[1]) * 0.5::DOUBLE]) AS f
+          FROM refits, (VALUES {_GRID}) AS g(alpha, beta))
+        QUALIFY row_number() OVER (PARTITION BY symbol, pt ORDER BY f[2] DESC, alpha DESC, beta DESC) = 1""",
+    "refits",
+)
+
+
+@query(
+    "ml19_rolling_forecast_backtest",
+    using(
+        "rolled",
+        f"""SELECT symbol, {sql_cols('mae=avg(abs(actual - predicted)); rmse=sqrt(avg((actual - predicted) * (actual - predicted))); dir_acc=avg(CASE WHEN (predicted > mid) = (actual > mid) THEN 1.0 ELSE 0.0 END)', 5)}, count(*) AS n
+        FROM (SELECT *, median(actual) OVER (PARTITION BY symbol) AS mid FROM rolled) GROUP BY symbol""",
+    ),
+)
 def ml19(spark, d):
     return rounded(ml.forecast_errors(ml.rolling_forecasts(dom.daily_bars(spark, d))), 5)
 

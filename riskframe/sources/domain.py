@@ -16,7 +16,7 @@ from riskframe.scale import latest_by
 from riskframe.session import materialise, prepare
 from riskframe.sources.market import bars_from_ticks, benchmark_series, resample_bars
 
-# The last ship date of every scale factor; the reference reads the clock instead.
+# The last ship date of every scale factor; it stands in for the clock.
 AS_OF = dt.date(2001, 11, 4)
 
 
