@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -221,67 +224,127 @@ def annual_covariance(bars: DataFrame) -> DataFrame:
     return mirrored(pairs.select("a", "b", (F.col("cov") * TRADING_DAYS).alias("cov")))
 
 
-def market_inputs(bars: DataFrame) -> DataFrame:
-    """One row: symbols in order, their annual mean returns, and the covariance matrix as nested arrays.
+def draw(seed: int, portfolio: int, symbol: str) -> float:
+    """The number :func:`uniform` gives for the same parts."""
+    digest = hashlib.md5(f"{seed}:{portfolio}:{symbol}".encode()).hexdigest()
+    return (int(digest[:8], 16) + 0.5) / 4294967296.0
 
-    It is the input of one optimisation request, whose universe is a portfolio.
+
+def _block_returns(seed: int, count: int, size: int):
+    """Weighted returns of one block of portfolios over one block of symbols and span of dates."""
+
+    def block(g: pd.DataFrame) -> pd.DataFrame:
+        wide = g.pivot(index="symbol", columns="at", values="ret")
+        first = int(g["group"].iloc[0]) * size
+        ids = np.arange(first, min(first + size, count))
+        weights = np.array([[draw(seed, i, s) for s in wide.index] for i in ids])
+        return pd.DataFrame(
+            {
+                "portfolio": ids,
+                "span": g["span"].iloc[0],
+                "weight": weights.sum(axis=1),
+                "returns": list(weights @ wide.to_numpy()),
+            }
+        )
+
+    return block
+
+
+def random_portfolios(
+    bars: DataFrame,
+    count: int = 5000,
+    seed: int = 42,
+    risk_free: float = 0.05,
+    block: int = 256,
+    span_days: int = 2048,
+    portfolio_block: int = 5000,
+) -> DataFrame:
+    """Annual return, volatility and Sharpe ratio of random long-only portfolios.
+
+    The variance of a portfolio is that of its return series, so no covariance
+    matrix is gathered: a task weights one block of symbols over one span of
+    dates for one block of portfolios, and the parts are added per date.
     """
     rets = aligned_returns(bars)
-    means = rets.groupBy("symbol").agg((F.avg("ret") * TRADING_DAYS).alias("mean"))
-    ordered = means.agg(F.array_sort(F.collect_list(F.struct("symbol", "mean"))).alias("m"))
-    row = annual_covariance(bars).groupBy("a").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("b", "cov"))), lambda x: x["cov"]).alias("r")
+    blocks = rets.agg(
+        F.ceil(F.greatest(F.approx_count_distinct("symbol"), F.lit(1)) / F.lit(float(block))).cast("int").alias("b")
+    )
+    day = F.datediff("date", F.lit("1970-01-01"))
+    groups = math.ceil(count / portfolio_block)
+    cells = rets.select(
+        "symbol",
+        day.alias("at"),
+        "ret",
+        F.pmod(F.xxhash64("symbol"), blocks.scalar()).alias("part"),
+        F.floor(day / span_days).alias("span"),
+        F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"),
     )
-    matrix = row.agg(F.transform(F.array_sort(F.collect_list(F.struct("a", "r"))), lambda x: x["r"]).alias("s"))
-    return ordered.select(
-        F.transform("m", lambda x: x["symbol"]).alias("symbols"),
-        F.transform("m", lambda x: x["mean"]).alias("means"),
-        matrix.scalar().alias("sigma"),
+    parts = cells.groupBy("part", "span", "group").applyInPandas(
+        _block_returns(seed, count, portfolio_block),
+        "portfolio bigint, span bigint, weight double, returns array<double>",
+    )
+    # dates are common to all symbols, so the parts of a span line up
+    spans = parts.groupBy("portfolio", "span").agg(
+        F.sum("weight").alias("w"), F.collect_list("returns").alias("parts")
+    )
+    added = F.aggregate(
+        F.slice("parts", F.lit(2), F.greatest(F.size("parts") - 1, F.lit(0))),
+        F.col("parts")[0],
+        lambda total, part: F.zip_with(total, part, lambda x, y: x + y),
+    )
+    spans = computed_once(spans, "total", added)
+    spans = computed_once(spans, "r", F.transform("total", lambda x: x / F.col("w")))
+    sums = spans.select(
+        "portfolio",
+        F.size("r").cast("double").alias("n"),
+        F.aggregate("r", F.lit(0.0), lambda s, x: s + x).alias("s1"),
+        F.aggregate("r", F.lit(0.0), lambda s, x: s + x * x).alias("s2"),
+    )
+    perf = sums.groupBy("portfolio").agg(*[F.sum(c).alias(c) for c in ("n", "s1", "s2")])
+    variance = F.try_divide(F.col("s2") - F.col("s1") * F.col("s1") / F.col("n"), F.col("n") - 1)
+    return with_sharpe(
+        perf.select(
+            "portfolio",
+            (F.col("s1") / F.col("n") * TRADING_DAYS).alias("annual_return"),
+            F.sqrt(F.greatest(variance, F.lit(0.0)) * float(TRADING_DAYS)).alias("annual_volatility"),
+        ),
+        risk_free,
     )
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-
-
-def with_performance(portfolios: DataFrame, risk_free: float) -> DataFrame:
-    """Annual return, volatility and Sharpe ratio of each weight vector."""
-    df = portfolios.withColumn(
-        "_cov", F.transform("sigma", lambda row: dot(row, F.col("weights")))
-    ).withColumns(
-        {
-            "annual_return": dot(F.col("weights"), F.col("means")),
-            "annual_volatility": F.sqrt(F.greatest(dot(F.col("_cov"), F.col("weights")), F.lit(0.0))),
-        }
-    )
+def with_sharpe(portfolios: DataFrame, risk_free: float) -> DataFrame:
     excess = F.col("annual_return") - F.lit(risk_free)
-    return df.withColumn(
-        "sharpe_ratio", F.when(F.col("annual_volatility") > 0, F.try_divide(excess, F.col("annual_volatility"))).otherwise(0.0)
-    ).drop("_cov", "sigma", "means")
+    return portfolios.withColumn(
+        "sharpe_ratio",
+        F.when(F.col("annual_volatility") > 0, F.try_divide(excess, F.col("annual_volatility"))).otherwise(0.0),
+    )
 
 
-def random_portfolios(bars: DataFrame, count: int = 5000, seed: int = 42, risk_free: float = 0.05) -> DataFrame:
-    """Random long-only portfolios (portfolio, symbols, weights) with their performance."""
-    inputs = market_inputs(bars).select(F.struct("symbols", "means", "sigma").alias("i")).scalar()
-    ids = bars.sparkSession.range(count).withColumn("_i", inputs).select(F.col("id").alias("portfolio"), "_i.*")
-    raw = F.transform(
-        "symbols", lambda s: uniform(F.lit(str(seed)), F.col("portfolio").cast("string"), s)
+def portfolio_weights(picks: DataFrame, bars: DataFrame, seed: int = 42) -> DataFrame:
+    """Weights (portfolio, symbol, weight) of a few picked portfolios."""
+    chosen = picks.agg(F.array_sort(F.collect_set("portfolio")).alias("p"))
+    symbols = aligned_returns(bars).select("symbol").distinct()
+    raw = symbols.withColumn("portfolio", F.explode(chosen.scalar())).withColumn(
+        "_raw", uniform(F.lit(str(seed)), F.col("portfolio").cast("string"), F.col("symbol"))
     )
-    df = computed_once(ids, "_raw", raw)
-    df = computed_once(df, "_sum", F.aggregate("_raw", F.lit(0.0), lambda a, x: a + x))
-    df = computed_once(df, "weights", F.transform("_raw", lambda x: x / F.col("_sum"))).drop("_raw", "_sum")
-    return with_performance(df, risk_free)
+    total = raw.groupBy("portfolio").agg(F.sum("_raw").alias("_sum"))
+    return raw.join(total, "portfolio").select("portfolio", "symbol", (F.col("_raw") / F.col("_sum")).alias("weight"))
 
 
 def equal_weight(bars: DataFrame, risk_free: float = 0.05) -> DataFrame:
-    inputs = market_inputs(bars)
-    each = F.array_repeat(F.lit(1.0) / F.size("symbols"), F.size("symbols"))
-    return with_performance(computed_once(inputs, "weights", each), risk_free)
+    """Performance of the portfolio that holds every symbol equally."""
+    daily = aligned_returns(bars).groupBy("date").agg(F.avg("ret").alias("r"))
+    return with_sharpe(
+        daily.agg(
+            (F.avg("r") * TRADING_DAYS).alias("annual_return"), annual(F.stddev_samp("r")).alias("annual_volatility")
+        ),
+        risk_free,
+    )
 
 
 def best_portfolios(portfolios: DataFrame) -> DataFrame:
     """The portfolios of least volatility and of highest Sharpe ratio."""
-    row = F.struct("portfolio", "annual_return", "annual_volatility", "sharpe_ratio", "symbols", "weights")
+    row = F.struct("portfolio", "annual_return", "annual_volatility", "sharpe_ratio")
     picks = portfolios.agg(
         F.min_by(row, F.struct("annual_volatility", "portfolio")).alias("min_variance"),
         F.max_by(row, F.struct("sharpe_ratio", -F.col("portfolio"))).alias("max_sharpe"),

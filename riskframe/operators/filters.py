@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from riskframe.operators.selection import absent_columns
 
 def normalise_symbol(df: DataFrame, column: str = "symbol") -> DataFrame:
     return df.withColumn(column, F.upper(F.trim(F.col(column))))
@@ -73,10 +74,10 @@ def valid_price(df: DataFrame) -> DataFrame:
 
 def fixed_columns(df: DataFrame, wanted: Sequence[str]) -> DataFrame:
     """The wanted columns in order; missing ones are 0.0 and nulls become 0."""
-    have = set(df.columns)
+    missing = absent_columns(wanted, df.columns)
     return df.select(
         *[
-            F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) if c in have else F.lit(0.0).alias(c)
+            F.lit(0.0).alias(c) if c in missing else F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c)
             for c in wanted
         ]
     )

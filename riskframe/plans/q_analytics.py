@@ -10,6 +10,7 @@ from riskframe.operators import selection as sel
 from riskframe.operators.pairs import covariances, pair_moments
 from riskframe.plans import q_relational as _shared  # noqa: F401 - defines shared tables
 from riskframe.plans.sqlkit import cte, query, rnd, rounded, sql_cols, sql_rnd, using
+from riskframe.session import materialise
 from riskframe.sources import domain as dom
 
 cte(
@@ -221,7 +222,7 @@ def folios(spark, d):
 
 @query("qa11_random_portfolios", using("perf", f"SELECT portfolio, {sql_cols(PERF, 5)} FROM perf"))
 def qa11(spark, d):
-    return rounded(folios(spark, d).drop("symbols", "weights"), 5)
+    return rounded(folios(spark, d), 5)
 
 
 @query(
@@ -234,15 +235,8 @@ def qa11(spark, d):
     ),
 )
 def qa12(spark, d):
-    picks = qa.best_portfolios(folios(spark, d))
-    each = picks.withColumn("z", F.explode(F.arrays_zip("symbols", "weights")))
-    return rounded(
-        each.select(
-            "pick", "portfolio", "annual_return", "annual_volatility", "sharpe_ratio",
-            F.col("z.symbols").alias("symbol"), F.col("z.weights").alias("weight"),
-        ),
-        5,
-    )
+    picks = materialise(qa.best_portfolios(folios(spark, d)), "picks")
+    return rounded(picks.join(qa.portfolio_weights(picks, dom.weekly_bars(spark, d)), "portfolio"), 5)
 
 
 @query(
@@ -255,7 +249,7 @@ def qa12(spark, d):
     ),
 )
 def qa13(spark, d):
-    return rounded(qa.equal_weight(dom.weekly_bars(spark, d)).drop("symbols", "weights"), 5)
+    return rounded(qa.equal_weight(dom.weekly_bars(spark, d)), 5)
 
 
 @query(
@@ -267,7 +261,7 @@ def qa13(spark, d):
     ),
 )
 def qa14(spark, d):
-    return rounded(qa.efficient_frontier(folios(spark, d)), 5)
+    return rounded(qa.efficient_frontier(materialise(folios(spark, d), "portfolios")), 5)
 
 
 @query(

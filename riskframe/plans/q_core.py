@@ -12,7 +12,7 @@ from riskframe.operators import entities as ent
 from riskframe.operators import filters as flt
 from riskframe.operators import rolling as rl
 from riskframe.operators import scoring
-from riskframe.plans.q_windows import W, frame
+from riskframe.plans.q_windows import W
 from riskframe.plans.sqlkit import cte, query, rnd, rounded, sql_cols, sql_rnd, using
 from riskframe.session import materialise, scratch_path
 from riskframe.sources import domain as dom

@@ -12,8 +12,8 @@ from riskframe.operators import entities as ent
 from riskframe.operators import news as nw
 from riskframe.operators import rolling as rl
 from riskframe.operators import selection as sel
-from riskframe.plans.q_core import bar_out, sql_pct
-from riskframe.plans.q_windows import W, _ahead_vol, frame
+from riskframe.plans.q_core import bar_out
+from riskframe.plans.q_windows import _ahead_vol
 from riskframe.plans.sqlkit import cte, query, rnd, rounded, sql_cols, sql_rnd, using
 from riskframe.scale import exact_quantiles, top_per_key
 from riskframe.sources import domain as dom

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import datetime as dt
-
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -15,8 +13,8 @@ from riskframe.operators import news as nw
 from riskframe.operators import rolling as rl
 from riskframe.operators import scoring
 from riskframe.plans.q_core import latest_features
-from riskframe.plans.q_windows import W, frame
-from riskframe.plans.sqlkit import cte, query, rnd, rounded, sql_cols, sql_rnd, using
+from riskframe.plans.q_windows import frame
+from riskframe.plans.sqlkit import query, rnd, rounded, sql_cols, sql_rnd, using
 from riskframe.sources import domain as dom
 from riskframe.sources.domain import AS_OF
 

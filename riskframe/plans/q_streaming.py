@@ -4,15 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from riskframe.functions.numeric import risk_level
-from riskframe.operators import alerts as al
-from riskframe.operators import entities as ent
 from riskframe.operators import news as nw
 from riskframe.plans import q_text as _shared  # noqa: F401 - defines shared tables
 from riskframe.plans.sqlkit import cte, query, rounded, sql_cols, using
 from riskframe.session import prepare, scratch_path
 from riskframe.sources import domain as dom
-from riskframe.sources.domain import AS_OF
 from riskframe.streaming import live, sinks
 from riskframe.streaming.refresh import run_steps
 

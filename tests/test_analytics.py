@@ -77,10 +77,17 @@ def test_portfolio_var(bars):
 
 def test_random_portfolios(bars):
     got = qa.random_portfolios(bars, count=40).toPandas()
+    parts = qa.random_portfolios(bars, count=40, block=3, span_days=20, portfolio_block=7).toPandas()
+    both = got.merge(parts, on="portfolio")
+    assert len(both) == 40
+    np.testing.assert_allclose(both["annual_volatility_x"], both["annual_volatility_y"])
+    np.testing.assert_allclose(both["annual_return_x"], both["annual_return_y"])
+    weights = qa.portfolio_weights(qa.random_portfolios(bars, count=40), bars).toPandas()
     rets = wide_closes().dropna().pct_change().dropna()
     mean, cov = rets.mean().to_numpy() * 252, rets.cov().to_numpy() * 252
-    for w, r, v in zip(got["weights"], got["annual_return"], got["annual_volatility"]):
-        w = np.array(w)
+    for i, r, v in zip(got["portfolio"], got["annual_return"], got["annual_volatility"]):
+        w = weights[weights["portfolio"] == i].sort_values("symbol")["weight"].to_numpy()
+        assert len(w) == len(mean)
         assert w.sum() == pytest.approx(1.0) and (w > 0).all()
         assert r == pytest.approx(w @ mean) and v == pytest.approx(math.sqrt(w @ cov @ w))
     best = qa.best_portfolios(qa.random_portfolios(bars, count=40)).toPandas().set_index("pick")

@@ -84,6 +84,8 @@ def test_price_falls_back_to_cost(spark):
     assert [got[s]["current_price"] for s in "ABC"] == [8.0, 5.0, 5.0]
     assert got["A"]["gain_loss_pct"] == pytest.approx(60.0) and got["B"]["gain_loss"] == 0.0
     assert got["B"]["stock_name"] is None and got["A"]["risk_level"] == "Medium"
+    cents = pf.rounded_valuation(spark.createDataFrame([(1.005, 2.0, 3.14159, 1.0, 9.999)], "current_price double, current_value double, cost_basis double, gain_loss double, gain_loss_pct double"))
+    assert cents.first()["cost_basis"] == 3.14 and cents.first()["gain_loss_pct"] == 10.0
 
 
 def test_default_symbols(spark):
