@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from riskframe.operators.selection import absent_columns
 
+
 def normalise_symbol(df: DataFrame, column: str = "symbol") -> DataFrame:
     return df.withColumn(column, F.upper(F.trim(F.col(column))))
 

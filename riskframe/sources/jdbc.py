@@ -37,9 +37,13 @@ def write_table(
     connections: int = 16,
     batch_rows: int = 10_000,
 ) -> None:
-    """Write in batches over at most ``connections`` connections."""
+    """Write in batches over ``connections`` connections.
+
+    A repartition rather than a coalesce, which would also squeeze the stages
+    that compute the rows into that few tasks.
+    """
     writer = (
-        df.coalesce(connections)
+        df.repartition(connections)
         .write.format("jdbc")
         .mode(mode)
         .option("url", url)
