@@ -82,11 +82,19 @@ def score_new_articles(articles: DataFrame, scorer=tx.lexicon_sentiment) -> Data
     return done.unionByName(score_articles(new.drop(*made), scorer).select(*articles.columns))
 
 
+def stable_mean(value: str) -> Column:
+    """A mean without the noise of the order in which doubles were added.
+
+    Signs and ties of means are compared, and a retried task adds in another order.
+    """
+    return F.round(F.avg(value), 12) + F.lit(0.0)
+
+
 def daily_sentiment(scored: DataFrame) -> DataFrame:
     """Mean, deviation and label counts per symbol and publication date."""
     label = F.col("sentiment_label")
     return scored.where(label.isNotNull()).groupBy("symbol", F.col("published").alias("date")).agg(
-        F.avg("sentiment_score").alias("avg_sentiment"),
+        stable_mean("sentiment_score").alias("avg_sentiment"),
         F.stddev_samp("sentiment_score").alias("sentiment_std"),
         F.count(F.lit(1)).alias("article_count"),
         F.count_if(label == "positive").alias("positive_count"),
@@ -101,7 +109,7 @@ def sentiment_trends(daily: DataFrame, as_of: dt.date, days: int = 30, symbol: s
 
 
 def mean_sentiment(daily: DataFrame, as_of: dt.date, days: int = 30) -> DataFrame:
-    return within(daily, as_of, days).groupBy("symbol").agg(F.avg("avg_sentiment").alias("avg_sentiment"))
+    return within(daily, as_of, days).groupBy("symbol").agg(stable_mean("avg_sentiment").alias("avg_sentiment"))
 
 
 def recent_trend(daily: DataFrame, n: int = 3) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from riskframe.functions import text as tx
 from riskframe.functions.formatting import HALF
 from riskframe.functions.numeric import let, sentiment_label
+from riskframe.operators.news import stable_mean
 from riskframe.scale import top_per_key
 
 TOP_K = 5
@@ -200,7 +201,7 @@ def symbol_facts(scores: DataFrame) -> DataFrame:
 
 def sentiment_facts(daily: DataFrame, trends: DataFrame) -> DataFrame:
     """One line per symbol on its recent sentiment (``daily`` already cut to the look-back)."""
-    mean = daily.groupBy("symbol").agg(F.avg("avg_sentiment").alias("m"), F.sum("article_count").alias("n"))
+    mean = daily.groupBy("symbol").agg(stable_mean("avg_sentiment").alias("m"), F.sum("article_count").alias("n"))
     return mean.join(trends, "symbol").select(
         "symbol",
         F.concat(

@@ -83,7 +83,7 @@ cte(
 )
 cte(
     "dsent",
-    """SELECT symbol, published AS date, avg(sentiment_score) AS avg_sentiment, stddev_samp(sentiment_score) AS sentiment_std,
+    """SELECT symbol, published AS date, round(avg(sentiment_score), 12) + CAST(0 AS DOUBLE) AS avg_sentiment, stddev_samp(sentiment_score) AS sentiment_std,
               count(*) AS article_count, count(*) FILTER (WHERE sentiment_label = 'positive') AS positive_count,
               count(*) FILTER (WHERE sentiment_label = 'negative') AS negative_count,
               count(*) FILTER (WHERE sentiment_label = 'neutral') AS neutral_count
@@ -92,7 +92,7 @@ cte(
 )
 cte(
     "mood",
-    "SELECT symbol, avg(avg_sentiment) AS avg_sentiment FROM dsent WHERE date >= DATE '2001-11-04' - 30 GROUP BY symbol",
+    "SELECT symbol, round(avg(avg_sentiment), 12) + CAST(0 AS DOUBLE) AS avg_sentiment FROM dsent WHERE date >= DATE '2001-11-04' - 30 GROUP BY symbol",
     "dsent",
 )
 cte(

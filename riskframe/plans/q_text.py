@@ -370,7 +370,7 @@ def tx10(spark, d):
     using(
         "dsent",
         """SELECT symbol, '  Sentiment: avg=' || printf('%.3f', m + 1e-9::DOUBLE) || ' (' || CASE WHEN m > 0.1 THEN 'positive' WHEN m < -0.1 THEN 'negative' ELSE 'neutral' END || '), trend=' || trend
-             || ', articles=' || CAST(n AS BIGINT) AS mood FROM (SELECT symbol, avg(avg_sentiment) AS m, sum(article_count) AS n FROM dsent WHERE date >= DATE '2001-11-04' - 14 GROUP BY symbol)
+             || ', articles=' || CAST(n AS BIGINT) AS mood FROM (SELECT symbol, round(avg(avg_sentiment), 12) AS m, sum(article_count) AS n FROM dsent WHERE date >= DATE '2001-11-04' - 14 GROUP BY symbol)
         JOIN (SELECT symbol, CASE WHEN coalesce(bool_and(up), true) THEN 'improving' WHEN bool_and(down) THEN 'declining' ELSE 'mixed' END AS trend FROM (
           SELECT symbol, avg_sentiment >= newer AS up, avg_sentiment <= newer AS down FROM (
             SELECT symbol, avg_sentiment, lag(avg_sentiment) OVER (PARTITION BY symbol ORDER BY date DESC) AS newer, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS rn
