@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskframe.llm import exact_dedup, quality_rules, sql
+from riskframe.llm import exact_dedup, quality_rules, sql, substring_dedup
 from riskframe.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,3 +35,10 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_exact_dedup", sql.EXACT_DEDUP)
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
+
+
+@query("op3_substring_dedup", sql.SUBSTRING_DEDUP)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_dedup(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "n_removed", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256")
+    )

@@ -74,3 +74,22 @@ SELECT doc_id, min(doc_id) OVER (PARTITION BY s) AS keep_id, count(*) OVER (PART
        doc_id IS NOT DISTINCT FROM min(doc_id) OVER (PARTITION BY s) AS kept, s AS text_sha256
 FROM d
 """
+
+SUBSTRING_DEDUP = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (
+  SELECT k, doc_id, i, md5(array_to_string(w[i:i + 12], ' ')) AS h
+  FROM (SELECT *, unnest(generate_series(1, len(w) - 12)) AS i FROM d WHERE len(w) >= 13)),
+f AS (SELECT h, min(doc_id) AS first_doc FROM g GROUP BY h HAVING min(doc_id) < max(doc_id)),
+gone AS (
+  SELECT DISTINCT k, p FROM (SELECT k, unnest(generate_series(i, i + 12)) AS p FROM g JOIN f USING (h) WHERE doc_id > first_doc)),
+o AS (
+  SELECT k, p, word, gone.p IS NOT NULL AS removed
+  FROM (SELECT k, unnest(generate_series(1, len(w))) AS p, unnest(w) AS word FROM d) LEFT JOIN gone USING (k, p)),
+s AS (
+  SELECT k, count(*) FILTER (removed) AS n_removed, string_agg(word, ' ' ORDER BY p) FILTER (NOT removed) AS kept FROM o GROUP BY k)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN s USING (k)
+"""

@@ -9,8 +9,18 @@ from riskframe import session
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+#: Bytes of rows that go to a Python worker at once, however long the texts are.
+BATCH_BYTES = 8 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return session.prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    return ready(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def ready(spark: SparkSession) -> SparkSession:
+    """The session with the settings that these operators rely on."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return session.prepare(spark)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
