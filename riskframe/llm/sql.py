@@ -93,3 +93,27 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS
        sha256(coalesce(kept, '')) AS kept_sha256
 FROM d LEFT JOIN s USING (k)
 """
+
+NEAR_DEDUP = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, w[i] || ' ' || w[i + 1] AS x
+  FROM (SELECT *, unnest(generate_series(1, len(w) - 1)) AS i FROM d WHERE len(w) >= 2)
+  UNION ALL SELECT doc_id, w[1] FROM d WHERE len(w) = 1),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+link AS MATERIALIZED (
+  SELECT a.doc_id AS a, b.doc_id AS b
+  FROM (SELECT p.doc_id, q.doc_id AS other, count(*) AS common FROM s p JOIN s q ON p.x = q.x AND p.doc_id <> q.doc_id GROUP BY ALL) c
+  JOIN n a ON a.doc_id = c.doc_id JOIN n b ON b.doc_id = c.other
+  WHERE 100 * common >= 80 * (a.n + b.n - common)),
+reach AS (
+  SELECT doc_id AS id, doc_id AS root FROM n
+  UNION
+  SELECT link.b, reach.root FROM reach JOIN link ON link.a = reach.id),
+c AS (SELECT id, min(root) AS component_id FROM reach GROUP BY id)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(component_id, d.doc_id) AS component_id,
+       coalesce(component_id, d.doc_id) = d.doc_id AS kept
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.id = d.doc_id
+"""
