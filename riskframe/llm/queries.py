@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskframe.llm import byte_bpe, exact_dedup, html_extraction, near_dedup, packing, quality_rules, sql, substring_dedup
+from riskframe.llm import byte_bpe, exact_dedup, html_extraction, near_dedup, packing, quality_rules, secret_scan, sql, substring_dedup
 from riskframe.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,3 +71,16 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_html_extraction")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extraction.extract(table(spark, sf_dir, "pages"))
+
+
+@query("op4_secret_scan", sql.SECRET_SCAN)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.secret_scan(table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("bigint")
+    return found.select(
+        "doc_id",
+        *[count(i).alias(f"n_{name}") for i, (name, *_) in enumerate(secret_scan.KINDS)],
+        F.sha2(F.encode(secret_scan.listed(F.col("base")), "UTF-8"), 256).alias("base_sha256"),
+        secret_scan.listed(F.col("spans")).alias("spans"),
+        F.size("owned").cast("bigint").alias("n_owned"),
+    )

@@ -117,3 +117,45 @@ SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(compon
        coalesce(component_id, d.doc_id) = d.doc_id AS kept
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.id = d.doc_id
 """
+
+
+def _spans(kind: str, number: int, pattern: str, group: int, least: int) -> str:
+    return f"""
+SELECT k, unnest(list_transform(range(1, len(m) + 1), lambda i: {{
+         'start': CAST(list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS INTEGER),
+         'kind': {number}, 'name': '{kind}', 'len': length(m[i]), 'value': v[i]}})) AS s
+FROM (SELECT k, regexp_extract_all(t, '{pattern}') AS m, regexp_extract_all(t, '{pattern}', {group}) AS v,
+             string_split_regex(t, '{pattern}') AS g FROM d)
+WHERE len(m) > 0"""
+
+
+_ASSIGN = (
+    "([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])"
+    "[\"'']?\\x20*[:=]\\x20*[\"'']?([A-Za-z0-9+/_.=-]+)"
+)
+
+SECRET_SCAN = f"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, source, coalesce(text, '') AS t FROM documents),
+b AS (
+  SELECT * FROM ({_spans('assign', 0, _ASSIGN, 2, 12)}) WHERE length(s.value) >= 12
+  UNION ALL SELECT * FROM ({_spans('access', 1, 'AKIA[A-Z0-9]+', 0, 18)}) WHERE length(s.value) >= 18
+  UNION ALL SELECT * FROM ({_spans('hex', 2, '[0-9a-f]+', 0, 16)}) WHERE length(s.value) >= 16),
+l AS (
+  SELECT k, s FROM ({_spans('live', 3, '[A-Za-z0-9+/_=-]+', 0, 20)}) x
+  WHERE length(s.value) >= 20 AND regexp_matches(s.value, '[a-z]') AND regexp_matches(s.value, '[A-Z]') AND regexp_matches(s.value, '[0-9]')
+    AND len(list_distinct(string_split(s.value, ''))) >= 10
+    AND NOT EXISTS (SELECT 1 FROM b WHERE b.k = x.k AND b.s.start < x.s.start + x.s.len AND x.s.start < b.s.start + b.s.len)),
+a AS (SELECT * FROM b UNION ALL SELECT * FROM l),
+o AS (SELECT s.value AS value, count(DISTINCT coalesce(source, chr(0))) AS owners FROM a JOIN d USING (k) GROUP BY 1),
+r AS (SELECT k, s, owners < 3 AS owned FROM a JOIN o ON o.value = s.value),
+g AS (
+  SELECT k, count(*) FILTER (s.kind = 0) AS n_assign, count(*) FILTER (s.kind = 1) AS n_access, count(*) FILTER (s.kind = 2) AS n_hex,
+         string_agg(s.name || ':' || s.start || ':' || (s.start + s.len), ',' ORDER BY s.start, s.kind) FILTER (s.kind < 3) AS base,
+         string_agg(s.name || ':' || s.start || ':' || (s.start + s.len), ',' ORDER BY s.start, s.kind) FILTER (s.kind < 3 OR owned) AS spans,
+         count(*) FILTER (owned) AS n_owned
+  FROM r GROUP BY k)
+SELECT doc_id, CAST(coalesce(n_assign, 0) AS BIGINT) AS n_assign, CAST(coalesce(n_access, 0) AS BIGINT) AS n_access,
+       CAST(coalesce(n_hex, 0) AS BIGINT) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
+       CAST(coalesce(n_owned, 0) AS BIGINT) AS n_owned
+FROM d LEFT JOIN g USING (k)
+"""
