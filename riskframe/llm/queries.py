@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskframe.llm import byte_bpe, exact_dedup, html_extraction, near_dedup, packing, quality_rules, secret_scan, sql, substring_dedup
+from riskframe.llm import byte_bpe, exact_dedup, html_extraction, language_id, near_dedup, packing, quality_rules, secret_scan, sql, substring_dedup
 from riskframe.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,3 +84,8 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
         secret_scan.listed(F.col("spans")).alias("spans"),
         F.size("owned").cast("bigint").alias("n_owned"),
     )
+
+
+@query("op8_language_id")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.language_id(table(spark, sf_dir, "documents"))
