@@ -1,18 +1,52 @@
-"""Documents through language ID, exact and near deduplication, secret scans and packing."""
+"""Documents through language ID, exact dedup, near dedup, secret scans and packing.
+
+Each stage is a function of (spark, docs, sf_dir); its result is written as Parquet and read again for the next one. All
+but the last return the columns that they got. Documents of no known language go, one document of each group of equal or
+near equal texts stays, secrets that belong to their owners are masked, and the rest is packed into sequences.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from riskframe.llm import exact_dedup
-from riskframe.llm.tables import table, written
+from riskframe.llm import exact_dedup, language_id, near_dedup, packing, secret_scan
+from riskframe.llm.tables import ready, table, written
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ready(spark)
+    return language_id.keep_identified(docs)
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ready(spark)
     return exact_dedup.drop_duplicates(docs)
 
 
-STAGES = [("exact_dedup", without_copies)]
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ready(spark)
+    return near_dedup.drop_near_duplicates(docs)
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ready(spark)
+    return secret_scan.mask_secrets(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ready(spark)
+    return packing.pack(docs, packing.read_vocabulary(public_tokenizers.path("byte_bpe_50k.json")))
+
+
+STAGES = [
+    ("language_id", known_language),
+    ("exact_dedup", without_copies),
+    ("near_dedup", without_near_copies),
+    ("secret_scan", without_secrets),
+    ("packing", packed),
+]
+#: Language ID and packing are not expressible in SQL; tests compare the pipeline with plain Python.
 ORACLE_SQL = None
 
 

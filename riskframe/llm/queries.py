@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskframe.llm import byte_bpe, exact_dedup, html_extraction, language_id, near_dedup, packing, quality_rules, secret_scan, sql, substring_dedup
+from riskframe.llm import byte_bpe, exact_dedup, hmm_scoring, html_extraction, language_id, near_dedup, packing, quality_rules, secret_scan, sql, substring_dedup
 from riskframe.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,3 +89,8 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_language_id")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_id(table(spark, sf_dir, "documents"))
+
+
+@query("op9_hmm_scoring")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm_scoring.hmm_scores(table(spark, sf_dir, "documents"))
