@@ -36,6 +36,7 @@ ASIDE = frozenset("nav header footer aside form button dialog menu fieldset".spl
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 PARENTS = frozenset("ul ol dl table tbody thead tfoot body html div article section main blockquote".split())
 MAIN = frozenset(("article", "main"))
+WHOLE = frozenset(("", "html", "body"))
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Words of class, id and role that mark what is not the article.
 ASIDE_WORDS = frozenset(
@@ -51,6 +52,7 @@ MARKUP = re.compile(
     r"""|<(?P<end2>/?)(?P<name2>[a-zA-Z][^\s/<>]*+)(?P<rest2>[^<>]*+)>""",
     re.S,
 )
+RAW_ENDS = {name: re.compile(rf"</{name}\b[^>]*>", re.I) for name in RAW}
 MARKS = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 UNSEEN = re.compile(r"""\bhidden\b(?!\s*=\s*["']?until)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
@@ -69,27 +71,63 @@ def set_aside(name: str, rest: str) -> bool:
     return any(w in ASIDE_WORDS for w in words) or UNSEEN.search(rest) is not None
 
 
-def blocks(html: str) -> list[tuple[tuple[tuple[str, int], ...], str]]:
-    """The text blocks that were not set aside, in page order: path of (element, its number on the page), text."""
-    out: list[tuple[tuple[tuple[str, int], ...], str]] = []
-    path: list[tuple[str, int]] = []
-    dropped: list[bool] = []  # for each open element: it or one above it is set aside
+class Elements:
+    """The block elements of a page in page order: name, parent and the number that stands for the path of names."""
+
+    def __init__(self) -> None:
+        self.names, self.parents, self.kinds = [""], [-1], [0]
+        self.kind_of: dict[tuple[int, str], int] = {}
+
+    def add(self, name: str, parent: int) -> int:
+        kind = self.kind_of.setdefault((self.kinds[parent], name), len(self.kind_of) + 1)
+        self.names.append(name)
+        self.parents.append(parent)
+        self.kinds.append(kind)
+        return len(self.names) - 1
+
+    def ends(self) -> list[int]:
+        """The last element inside each one."""
+        last = list(range(len(self.names)))
+        for i in range(len(last) - 1, 0, -1):
+            last[self.parents[i]] = max(last[self.parents[i]], last[i])
+        return last
+
+
+def blocks(html: str) -> tuple[Elements, list[tuple[int, str]]]:
+    """The elements of a page and the text blocks that were not set aside, in page order: element and text."""
+    elements = Elements()
+    out: list[tuple[int, str]] = []
+    path: list[tuple[int, bool]] = [(0, False)]  # open elements; whether the element or one above it is set aside
+    open_names: defaultdict[str, int] = defaultdict(int)
     text: list[str] = []
-    number = at = 0
+    at = 0
 
     def close_block() -> None:
         if text:
-            clean = " ".join(unescape("".join(text)).split())
-            if clean and not (dropped and dropped[-1]):
-                out.append((tuple(path), clean))
+            element, dropped = path[-1]
+            clean = "" if dropped else " ".join(unescape("".join(text)).split())
+            if clean:
+                out.append((element, clean))
             text.clear()
 
     def pop_to(size: int) -> None:
         close_block()
-        del path[size:], dropped[size:]
+        for element, _ in path[size:]:
+            open_names[elements.names[element]] -= 1
+        del path[size:]
+
+    def close_one_of(names: frozenset | set, within: frozenset = frozenset()) -> None:
+        """Closes the last open element of these names, if it is not beyond one that holds its content together."""
+        if any(open_names[x] for x in names):
+            for i in range(len(path) - 1, 0, -1):
+                name = elements.names[path[i][0]]
+                if name in names:
+                    pop_to(i)
+                    return
+                if name in within:
+                    return
 
-    skip = 0  # inside an inline element that is set aside: how many of its name are open
-    skip_name = ""
+    skip, skip_name = 0, ""  # inside an inline element that is set aside: how many of its name are open
     while True:
         m = MARKUP.search(html, at)
         part = html[at : m.start() if m else len(html)]
@@ -121,74 +159,54 @@ def blocks(html: str) -> list[tuple[tuple[tuple[str, int], ...], str]]:
             continue
         if name in VOID:
             continue
+        close_block()
         if ends:
-            for i in range(len(path) - 1, -1, -1):
-                if path[i][0] == name:
-                    pop_to(i)
-                    break
-            else:
-                close_block()
+            close_one_of({name})
             continue
         if name in RAW:
-            close_block()
-            done = re.compile(rf"</{name}\b[^>]*>", re.I).search(html, at)
+            done = RAW_ENDS[name].search(html, at)
             at = done.end() if done else len(html)
             continue
-        close_block()
-        closes = SIBLINGS.get(name, frozenset()) | {"p"} | (HEADINGS if name in HEADINGS else set())
-        for i in range(len(path) - 1, -1, -1):
-            if path[i][0] in closes:
-                pop_to(i)
-                break
-            if path[i][0] in PARENTS:
-                break
-        number += 1
+        close_one_of(SIBLINGS.get(name, frozenset()) | {"p"} | (HEADINGS if name in HEADINGS else frozenset()), PARENTS)
+        parent, dropped = path[-1]
         # the heading of an article may stand in a header of its own
-        inside = name == "header" and any(x in MAIN for x, _ in path)
-        path.append((name, number))
-        dropped.append((dropped[-1] if dropped else False) or (not inside and set_aside(name, rest)))
+        inside = name == "header" and any(open_names[x] for x in MAIN)
+        path.append((elements.add(name, parent), dropped or (not inside and set_aside(name, rest))))
+        open_names[name] += 1
     close_block()
-    return out
+    return elements, out
 
 
 def main_text(html: str | None) -> str:
     """The article of a page: its blocks, joined by empty lines."""
-    found = blocks(html or "")
+    elements, found = blocks(html or "")
     if not found:
         return ""
-    kinds = [tuple(name for name, _ in path) for path, _ in found]
+    kinds = [elements.kinds[element] for element, _ in found]
     length, marks, count = defaultdict(int), defaultdict(int), defaultdict(int)
     for kind, (_, text) in zip(kinds, found):
         length[kind] += len(text)
         marks[kind] += len(PUNCTUATION.findall(text))
         count[kind] += 1
     fused = [length[k] / count[k] * (1 + marks[k] / count[k]) for k in kinds]
-    smooth = [
-        (fused[max(0, i - 1)] + 2 * fused[i] + fused[min(len(fused) - 1, i + 1)]) / 4 for i in range(len(fused))
-    ]
+    smooth = [(fused[max(0, i - 1)] + 2 * fused[i] + fused[min(len(fused) - 1, i + 1)]) / 4 for i in range(len(fused))]
     sizes = [len(text) for _, text in found]
     level = SHARE * sum(s * n for s, n in zip(smooth, sizes)) / sum(sizes)
     content = [s >= level for s in smooth]
-    total = sum(n for n, c in zip(sizes, content) if c)
-    held: dict[tuple[str, int], int] = defaultdict(int)
-    for (path, text), c in zip(found, content):
-        if c:
-            for element in path:
-                held[element] += len(text)
-    # the deepest element that holds nearly all of the content; body and html hold everything
-    holders = [e for e in {e for path, _ in found for e in path} if held[e] >= HELD * total]
-    holder = max(holders, key=lambda e: e[1], default=None)
-    if holder is None or holder[0] in ("html", "body"):
-        chosen = [text for (_, text), c in zip(found, content) if c]
-    else:
-        path = next(path for path, _ in found if holder in path)
-        at = path.index(holder)
-        # of an article in a single paragraph, the rest stands beside it
-        while at and path[at][0] in HEADINGS | {"p"} and path[at - 1][0] not in ("html", "body"):
-            at -= 1
-        holder = path[at]
-        chosen = [text for path, text in found if holder in path]
-    return "\n\n".join(chosen)
+    held = [0] * len(elements.names)
+    for (element, text), c in zip(found, content):
+        held[element] += len(text) * c
+    for i in range(len(held) - 1, 0, -1):
+        held[elements.parents[i]] += held[i]
+    # the deepest element that holds nearly all of the content
+    holder = max(i for i, n in enumerate(held) if n >= HELD * held[0])
+    # of an article in a single paragraph, the rest stands beside it
+    while elements.names[holder] in HEADINGS | {"p"} and elements.names[elements.parents[holder]] not in WHOLE:
+        holder = elements.parents[holder]
+    if elements.names[holder] in WHOLE:
+        return "\n\n".join(text for (_, text), c in zip(found, content) if c)
+    last = elements.ends()[holder]
+    return "\n\n".join(text for element, text in found if holder <= element <= last)
 
 
 def extract(pages: DataFrame) -> DataFrame:
