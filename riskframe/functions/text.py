@@ -149,16 +149,21 @@ def first_element(html: Column, open_tag: str, tag: str) -> Column:
     return F.regexp_extract(html, rf"(?is)<{open_tag}[^>]*>(.*?)</{tag}>", 1)
 
 
-def article_body(html: Column | str, cap: int | None = 5000) -> Column:
+def class_token(name: str) -> str:
+    """Pattern of a class attribute's value that holds ``name`` as a whole class."""
+    return rf'(?:[^"]*\s)?{name}(?:\s[^"]*)?'
+
+
+def article_body(html: Column | str, cap: int | None = None) -> Column:
     """Article text: ``<article>`` paragraphs, then known containers, then long body paragraphs."""
 
     def joined(fragment: Column, longer_than: int = 0) -> Column:
         return F.array_join(paragraphs(fragment, longer_than), " ")
 
     containers = [
-        *[(rf'div[^>]*class="[^"]*\b{c}\b[^"]*"', "div") for c in BODY_CLASSES],
+        *[(rf'div[^>]*class="{class_token(c)}"', "div") for c in BODY_CLASSES],
         ('div[^>]*itemprop="articleBody"', "div"),
-        (rf'div[^>]*class="[^"]*\b{CONTENT_BODY_CLASS}\b[^"]*"', "div"),
+        (rf'div[^>]*class="{class_token(CONTENT_BODY_CLASS)}"', "div"),
         ("main", "main"),
     ]
 

@@ -17,9 +17,9 @@ def level_counts(prefix: str = "", suffix: str = "_risk_stocks") -> list[Column]
     return [F.count_if(F.col("risk_level") == lv).alias(f"{prefix}{lv.lower()}{suffix}") for lv in LEVELS]
 
 
-def overview_stats(scores: DataFrame, alerts: DataFrame, limit: int = 1000) -> DataFrame:
-    """Counts by level, mean score and sentiment, and the number of recent alerts."""
-    total = alerts.limit(limit).agg(F.count(F.lit(1)).alias("n"))
+def overview_stats(scores: DataFrame, alerts: DataFrame) -> DataFrame:
+    """Counts by level, mean score and sentiment, and the number of alerts."""
+    total = alerts.agg(F.count(F.lit(1)).alias("n"))
     return scores.agg(
         F.count(F.lit(1)).alias("total_stocks"),
         *level_counts(),
@@ -29,11 +29,13 @@ def overview_stats(scores: DataFrame, alerts: DataFrame, limit: int = 1000) -> D
 
 
 def live_stats(scores: DataFrame, alerts: DataFrame, recent: int = 5) -> DataFrame:
-    """Symbols, symbols scoring above 0.6, and at most ``recent`` alerts."""
-    total = alerts.limit(recent).agg(F.count(F.lit(1)).alias("n"))
-    return scores.agg(
-        F.count(F.lit(1)).alias("total_stocks"), F.count_if(F.col("risk_score") > 0.6).alias("high_risk_stocks")
-    ).withColumn("recent_alerts_count", total.scalar())
+    """Symbols, symbols scoring above 0.6, all alerts, and how many of them the page shows (``recent`` at most)."""
+    total = alerts.agg(F.count(F.lit(1)).alias("n"))
+    return (
+        scores.agg(F.count(F.lit(1)).alias("total_stocks"), F.count_if(F.col("risk_score") > 0.6).alias("high_risk_stocks"))
+        .withColumn("total_alerts", total.scalar())
+        .withColumn("recent_alerts_count", F.least("total_alerts", F.lit(recent).cast("bigint")))
+    )
 
 
 def digest_summary(scores: DataFrame, k: int = 10) -> DataFrame:
@@ -113,8 +115,13 @@ def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return basics.join(quartiles, "column", "left")
 
 
-def coverage(bars: DataFrame, months: Sequence[str]) -> DataFrame:
-    """Closes per symbol and month, months as columns."""
+def coverage(bars: DataFrame) -> DataFrame:
+    """Closes per symbol and month, for every month that occurs."""
+    return bars.groupBy("symbol", F.date_format("date", "yyyy-MM").alias("month")).agg(F.count("close").alias("closes"))
+
+
+def coverage_table(bars: DataFrame, months: Sequence[str]) -> DataFrame:
+    """Closes per symbol with the chosen months as columns."""
     return (
         bars.withColumn("_m", F.date_format("date", "yyyy-MM"))
         .groupBy("symbol")

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riskframe.sources.market import within
+
 # Absolute rise, and rise in percent of the baseline.
 SPIKE_ABSOLUTE, SPIKE_PERCENT = 0.15, 20.0
 
@@ -29,13 +33,14 @@ def high_risk_alerts(scores: DataFrame) -> DataFrame:
     )
 
 
-def baseline(history: DataFrame) -> DataFrame:
-    return history.groupBy("symbol").agg(F.avg("risk_score").alias("prev_risk_score"))
+def baseline(history: DataFrame, as_of: dt.date, days: int = 30) -> DataFrame:
+    """Mean score per symbol over the last ``days`` days; older history is not read."""
+    return within(history, as_of, days).groupBy("symbol").agg(F.avg("risk_score").alias("prev_risk_score"))
 
 
-def spike_alerts(scores: DataFrame, history: DataFrame) -> DataFrame:
-    """Scores well above their historical mean; symbols without history are skipped."""
-    df = scores.join(baseline(history), "symbol")
+def spike_alerts(scores: DataFrame, history: DataFrame, as_of: dt.date, days: int = 30) -> DataFrame:
+    """Scores well above their recent mean; symbols without recent history are skipped."""
+    df = scores.join(baseline(history, as_of, days), "symbol")
     change = F.col("risk_score") - F.col("prev_risk_score")
     pct = F.when(F.col("prev_risk_score") > 0, F.col("risk_change") / F.col("prev_risk_score") * 100).otherwise(0.0)
     return (
@@ -47,8 +52,8 @@ def spike_alerts(scores: DataFrame, history: DataFrame) -> DataFrame:
     )
 
 
-def all_alerts(scores: DataFrame, history: DataFrame) -> DataFrame:
-    return high_risk_alerts(scores).unionByName(spike_alerts(scores, history))
+def all_alerts(scores: DataFrame, history: DataFrame, as_of: dt.date, days: int = 30) -> DataFrame:
+    return high_risk_alerts(scores).unionByName(spike_alerts(scores, history, as_of, days))
 
 
 def basic_explanations(alerts: DataFrame) -> DataFrame:

@@ -105,7 +105,6 @@ def entity_profile(
     as_of: dt.date,
     days: int = 30,
     max_alerts: int = 10,
-    recent_alerts: int = 100,
 ) -> DataFrame:
     """Everything the entity page shows, as rows (symbol, section, stamp, value, detail).
 
@@ -123,8 +122,7 @@ def entity_profile(
         )
 
     last_bar = latest_rows(bars.select("symbol", "date", "close", "volume"))
-    newest = alerts.orderBy(F.desc("created_at"), "alert_id").limit(recent_alerts)
-    newest = top_per_key(newest, ["symbol"], [F.desc("created_at"), F.col("alert_id")], max_alerts)
+    newest = top_per_key(alerts, ["symbol"], [F.desc("created_at"), F.col("alert_id")], max_alerts)
     return (
         section(latest_rows(scores), "score", F.col("date"), F.col("risk_score"), F.col("risk_level"))
         .unionByName(section(last_bar, "bar", F.col("date"), F.col("close"), F.col("volume")))

@@ -118,7 +118,7 @@ def pf5(spark, d):
 # ---- alerts ---------------------------------------------------------------------------
 
 cte("cur", "SELECT symbol, risk_score, risk_level, 'Feed' AS risk_drivers FROM scores", "scores")
-cte("basel", "SELECT symbol, avg(risk_score) AS p FROM history GROUP BY symbol", "history")
+cte("basel", "SELECT symbol, avg(risk_score) AS p FROM history WHERE date >= DATE '2024-01-31' - 30 GROUP BY symbol", "history")
 cte(
     "alerts0",
     """SELECT symbol, 'high_risk' AS alert_type, 'HIGH' AS severity, risk_score, CAST(NULL AS DOUBLE) AS prev_risk_score, CAST(NULL AS DOUBLE) AS risk_change,
@@ -137,7 +137,7 @@ def current(spark, d):
 
 
 def alerts(spark, d):
-    return al.all_alerts(current(spark, d), dom.risk_history(spark, d))
+    return al.all_alerts(current(spark, d), dom.risk_history(spark, d), dom.SCORED_UNTIL)
 
 
 @query("al1_high_risk_alerts", using("alerts0", f"SELECT {ALERT_SELECT} FROM alerts0 WHERE alert_type = 'high_risk'"))
@@ -147,7 +147,21 @@ def al1(spark, d):
 
 @query("al2_spike_alerts", using("alerts0", f"SELECT {ALERT_SELECT} FROM alerts0 WHERE alert_type = 'sudden_spike'"))
 def al2(spark, d):
-    return rounded(al.spike_alerts(current(spark, d), dom.risk_history(spark, d)))
+    return rounded(al.spike_alerts(current(spark, d), dom.risk_history(spark, d), dom.SCORED_UNTIL))
+
+
+@query(
+    "al2_spikes_against_two_weeks",
+    using(
+        "cur history",
+        """SELECT symbol, risk_score > p + CAST(0.15 AS DOUBLE) AS absolute FROM cur JOIN
+        (SELECT symbol, avg(risk_score) AS p FROM history WHERE date >= DATE '2024-01-31' - 14 GROUP BY symbol) USING (symbol)
+        WHERE risk_score - p > 0.15 OR CASE WHEN p > 0 THEN (risk_score - p) / p * 100 ELSE 0 END > 20""",
+    ),
+)
+def al2_two_weeks(spark, d):
+    spikes = al.spike_alerts(current(spark, d), dom.risk_history(spark, d), dom.SCORED_UNTIL, 14)
+    return spikes.select("symbol", (F.col("risk_score") > F.col("prev_risk_score") + 0.15).alias("absolute"))
 
 
 @query("al3_combined_alerts", using("alerts0", f"SELECT {ALERT_SELECT} FROM alerts0"))

@@ -120,11 +120,11 @@ def jn9(spark, d):
     using(
         "scores history",
         f"""SELECT symbol, {sql_cols('risk_score; prev_risk_score=p')} FROM scores JOIN
-        (SELECT symbol, avg(risk_score) AS p FROM history GROUP BY symbol) USING (symbol)""",
+        (SELECT symbol, avg(risk_score) AS p FROM history WHERE date >= DATE '2024-01-31' - 30 GROUP BY symbol) USING (symbol)""",
     ),
 )
 def jn10(spark, d):
-    df = dom.current_scores(spark, d).join(al.baseline(dom.risk_history(spark, d)), "symbol")
+    df = dom.current_scores(spark, d).join(al.baseline(dom.risk_history(spark, d), dom.SCORED_UNTIL), "symbol")
     return rounded(df.select("symbol", "risk_score", "prev_risk_score"))
 
 
@@ -217,8 +217,7 @@ def jn14(spark, d):
         UNION ALL SELECT symbol, 'sentiment', CAST(date AS VARCHAR), avg_sentiment, CAST(article_count AS VARCHAR) FROM dsent WHERE date >= DATE '2001-11-04' - 30
         UNION ALL SELECT symbol, 'history', CAST(date AS VARCHAR), risk_score, risk_level FROM bscores WHERE date >= DATE '2001-11-04' - 30
         UNION ALL SELECT symbol, 'alert', CAST(created_at AS VARCHAR), risk_score, alert_type FROM (
-          SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY created_at DESC, alert_id) AS rn FROM (
-            SELECT * FROM balerts ORDER BY created_at DESC, alert_id LIMIT 100)) WHERE rn <= 10)
+          SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY created_at DESC, alert_id) AS rn FROM balerts) WHERE rn <= 10)
         WHERE symbol IN (SELECT symbol FROM bscores)""",
     ),
 )
@@ -257,7 +256,7 @@ def sql_levels(suffix: str) -> str:
     using(
         "universe balerts",
         f"""SELECT count(*) AS total_stocks, {sql_levels('_risk_stocks')}, {sql_cols('avg_risk_score=avg(risk_score); avg_sentiment=avg(avg_sentiment)')},
-        (SELECT least(count(*), 1000) FROM balerts) AS total_alerts FROM universe""",
+        (SELECT count(*) FROM balerts) AS total_alerts FROM universe""",
     ),
 )
 def ag1(spark, d):
@@ -269,6 +268,7 @@ def ag1(spark, d):
     using(
         "scores balerts",
         """SELECT count(*) AS total_stocks, count(*) FILTER (WHERE risk_score > 0.6) AS high_risk_stocks,
+        (SELECT count(*) FROM balerts) AS total_alerts,
         (SELECT least(count(*), 5) FROM balerts) AS recent_alerts_count FROM scores""",
     ),
 )
@@ -306,9 +306,19 @@ def ag5(spark, d):
     return rounded(month.join(week, "symbol", "left"))
 
 
-@query("ag6_historical_baseline", using("history", f"SELECT symbol, {sql_cols('prev_risk_score=avg(risk_score)')} FROM history GROUP BY symbol"))
+def _baseline_sql(days: int) -> str:
+    cut = f"FROM history WHERE date >= DATE '2024-01-31' - {days} GROUP BY symbol"
+    return using("history", f"SELECT symbol, {sql_cols('prev_risk_score=avg(risk_score)')} {cut}")
+
+
+@query("ag6_historical_baseline", _baseline_sql(30))
 def ag6(spark, d):
-    return rounded(al.baseline(dom.risk_history(spark, d)))
+    return rounded(al.baseline(dom.risk_history(spark, d), dom.SCORED_UNTIL))
+
+
+@query("ag6_baseline_of_a_week", _baseline_sql(7))
+def ag6_week(spark, d):
+    return rounded(al.baseline(dom.risk_history(spark, d), dom.SCORED_UNTIL, 7))
 
 
 cte(
@@ -359,20 +369,25 @@ def ag10(spark, d):
     return al.alert_counts(dom.brand_alerts(spark, d))
 
 
-MONTHS = [f"{y}-{m:02d}" for y in range(1995, 2002) for m in range(1, 13) if (y, m) <= (2001, 11)]
+@query(
+    "ag11_coverage",
+    using("bars", "SELECT symbol, strftime(date, '%Y-%m') AS month, count(close) AS closes FROM bars GROUP BY ALL"),
+)
+def ag11(spark, d):
+    return agg.coverage(dom.daily_bars(spark, d))
 
 
 @query(
-    "ag11_coverage",
+    "ag11_coverage_of_a_year",
     using(
         "bars",
         "SELECT symbol, "
-        + ", ".join(f"count(close) FILTER (WHERE strftime(date, '%Y-%m') = '{m}') AS \"{m}\"" for m in MONTHS)
+        + ", ".join(f"count(close) FILTER (WHERE strftime(date, '%Y-%m') = '2000-{m:02d}') AS \"2000-{m:02d}\"" for m in range(1, 13))
         + " FROM bars GROUP BY symbol",
     ),
 )
-def ag11(spark, d):
-    return agg.coverage(dom.daily_bars(spark, d), MONTHS)
+def ag11_year(spark, d):
+    return agg.coverage_table(dom.daily_bars(spark, d), [f"2000-{m:02d}" for m in range(1, 13)])
 
 
 cte("ndays", "SELECT symbol, count(*) AS n, min(date) AS first_date FROM bars GROUP BY symbol", "bars")

@@ -43,7 +43,7 @@ cte("pclean", f"SELECT page_id, html, {sql_drop('html')} AS clean FROM pages", m
     using(
         "pclean",
         f"""SELECT page_id, length(c) AS n, md5(c) AS digest FROM (
-        SELECT page_id, CASE WHEN length(t) > 5000 THEN substr(t, 1, 5000) || '...' ELSE t END AS c FROM (
+        SELECT page_id, t AS c FROM (
           SELECT page_id, trim(regexp_replace(CASE WHEN length(a) >= 100 THEN a ELSE b END, '\\s+', ' ', 'g')) AS t FROM (
             SELECT page_id, array_to_string({sql_paragraphs("regexp_extract(clean, '(?is)<article[^>]*>(.*?)</article>', 1)", 0)}, ' ') AS a,
                    array_to_string({sql_paragraphs("regexp_extract(clean, '(?is)<body[^>]*>(.*?)</body>', 1)", 40)}, ' ') AS b FROM pclean)))""",

@@ -18,6 +18,8 @@ from riskframe.sources.market import bars_from_ticks, benchmark_series, resample
 
 # The last ship date of every scale factor; it stands in for the clock.
 AS_OF = dt.date(2001, 11, 4)
+#: The day after the last score update.
+SCORED_UNTIL = dt.date(2024, 1, 31)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

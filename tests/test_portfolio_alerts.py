@@ -134,15 +134,25 @@ def test_spike_thresholds_are_exclusive(spark):
         [("pct", 0.6, "Medium"), ("both", 0.5, "Medium"), ("new", 0.9, "High"), ("zero", 0.15, "Low")],
         "symbol string, risk_score double, risk_level string",
     ).withColumn("risk_drivers", F.lit("x"))
+    day = dt.date(2024, 3, 31)
     history = spark.createDataFrame(
-        [("pct", 0.5), ("both", 0.3), ("zero", 0.0)], "symbol string, risk_score double"
+        [("pct", 0.5, day), ("both", 0.3, day), ("zero", 0.0, day)], "symbol string, risk_score double, date date"
     )
-    got = {r["symbol"]: r for r in al.spike_alerts(scores, history).collect()}
+    got = {r["symbol"]: r for r in al.spike_alerts(scores, history, day).collect()}
     # exactly 0.15 and exactly 20 % do not alert; a zero baseline has no percentage
     assert set(got) == {"both"}
     assert got["both"]["risk_change"] == pytest.approx(0.2)
 
 
+def test_baseline_reads_the_last_days_only(spark):
+    day = dt.date(2024, 3, 31)
+    history = spark.createDataFrame(
+        [("a", 1.0 if i > 30 else 0.2, day - dt.timedelta(days=i)) for i in range(90)], "symbol string, risk_score double, date date"
+    )
+    assert al.baseline(history, day).first()["prev_risk_score"] == pytest.approx(0.2)
+    assert al.baseline(history, day, 90).first()["prev_risk_score"] > 0.5
+
+
 def test_recipients(spark):
     alerts = spark.createDataFrame([("A", "HIGH"), ("A", "medium"), ("B", "HIGH")], "symbol string, severity string")
     prefs = spark.createDataFrame(

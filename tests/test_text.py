@@ -34,9 +34,14 @@ def test_article_body(spark, html, want):
 
 
 def test_article_cap(spark):
-    got = one(spark, f"<article><p>{'x' * 6000}</p></article>", tx.article_body)
-    assert got == "x" * 5000 + "..."
-    assert len(one(spark, f"<article><p>{'x' * 6000}</p></article>", lambda c: tx.article_body(c, None))) == 6000
+    page = f"<article><p>{'x' * 6000}</p></article>"
+    assert one(spark, page, tx.article_body) == "x" * 6000
+    assert one(spark, page, lambda c: tx.article_body(c, 5000)) == "x" * 5000 + "..."
+
+
+def test_class_names_match_whole(spark):
+    page = f"<body><div class='x'></div><div class=\"article-body-ads\"><p>{LONG}ad</p></div><div class=\"wide article-body\"><p>{LONG}</p></div></body>"
+    assert one(spark, page, tx.article_body) == LONG.strip()
 
 
 @pytest.mark.parametrize(
