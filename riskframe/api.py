@@ -10,6 +10,7 @@ import datetime as dt
 
 from pyspark.sql import DataFrame
 
+from riskframe.functions.numeric import TRADING_DAYS
 from riskframe.operators.aggregates import digest_summary, live_stats, overview_stats
 from riskframe.operators.alerts import all_alerts, recent_alerts, recipient_digests
 from riskframe.operators.analytics import (
@@ -17,6 +18,7 @@ from riskframe.operators.analytics import (
     correlation_matrix,
     efficient_frontier,
     equal_weight,
+    lookback,
     monte_carlo,
     period_returns,
     portfolio_var,
@@ -75,14 +77,23 @@ def explain_scores(explanations: DataFrame, forecasts: DataFrame) -> DataFrame:
 
 
 def optimize_portfolio(
-    bars: DataFrame, n_portfolios: int = 5000, risk_free: float = 0.05, seed: int = 42
+    bars: DataFrame,
+    n_portfolios: int = 5000,
+    risk_free: float = 0.05,
+    seed: int = 42,
+    periods_per_year: int = TRADING_DAYS,
+    as_of: dt.date | None = None,
+    days: int = 180,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The picked portfolios, the equal-weight one, and points of the efficient frontier.
 
-    The random portfolios are written once and read by both searches.
+    The random portfolios are written once and read by both searches. With
+    ``as_of``, only the ``days`` before it are read.
     """
-    portfolios = materialise(random_portfolios(bars, n_portfolios, seed, risk_free), "portfolios")
-    return best_portfolios(portfolios), equal_weight(bars, risk_free), efficient_frontier(portfolios)
+    bars = lookback(bars, as_of, days)
+    found = random_portfolios(bars, n_portfolios, seed, risk_free, periods_per_year=periods_per_year)
+    portfolios = materialise(found, "portfolios")
+    return best_portfolios(portfolios), equal_weight(bars, risk_free, periods_per_year), efficient_frontier(portfolios)
 
 
 def digest_rows(alerts: DataFrame, prefs: DataFrame, watchlist: DataFrame) -> DataFrame:

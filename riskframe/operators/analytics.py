@@ -34,12 +34,13 @@ def aligned_returns(bars: DataFrame) -> DataFrame:
 # ---- correlation ---------------------------------------------------------------------
 
 
-def correlation_matrix(bars: DataFrame, complete: bool = True) -> DataFrame:
-    """Correlation of every ordered pair of symbols.
+def correlation_matrix(bars: DataFrame, complete: bool = True, as_of: dt.date | None = None, days: int = 90) -> DataFrame:
+    """Correlation of every ordered pair of symbols, over the ``days`` before ``as_of`` if that is given.
 
     ``complete`` uses only dates on which all symbols have a bar; otherwise each
     pair uses the dates the two share.
     """
+    bars = lookback(bars, as_of, days)
     rets = aligned_returns(bars) if complete else add_returns(valid_price(bars))
     return mirrored(covariances(pair_moments(rets)).select("a", "b", "n", "corr"))
 
@@ -96,12 +97,16 @@ def value_at_risk(
     portfolio_value: float = 100_000.0,
     requested: int | None = None,
     min_rows: int = 20,
+    as_of: dt.date | None = None,
+    days: int = 90,
 ) -> DataFrame:
     """Historical VaR and expected shortfall per symbol, in percent and money.
 
     ``requested`` is the number of symbols sharing the portfolio value equally;
-    by default the symbols that have enough history.
+    by default the symbols that have enough history. With ``as_of``, only the
+    ``days`` before it are read.
     """
+    bars = lookback(bars, as_of, days)
     rets = add_returns(valid_price(min_history(bars, min_rows))).where(F.col("ret").isNotNull())
     df = _tail_measures(rets.select("symbol", "date", "ret"), ["symbol"], confidence)
     share = F.lit(portfolio_value / requested) if requested else F.lit(portfolio_value) / df.agg(
@@ -218,10 +223,10 @@ def monte_carlo(bars: DataFrame, sims: int = 500, horizon: int = 30, seed: int =
 # ---- optimisation ----------------------------------------------------------------------------
 
 
-def annual_covariance(bars: DataFrame) -> DataFrame:
+def annual_covariance(bars: DataFrame, periods_per_year: int = TRADING_DAYS) -> DataFrame:
     """Annualised covariance of every ordered pair on common dates."""
     pairs = covariances(pair_moments(aligned_returns(bars)))
-    return mirrored(pairs.select("a", "b", (F.col("cov") * TRADING_DAYS).alias("cov")))
+    return mirrored(pairs.select("a", "b", (F.col("cov") * periods_per_year).alias("cov")))
 
 
 def draw(seed: int, portfolio: int, symbol: str) -> float:
@@ -258,6 +263,7 @@ def random_portfolios(
     block: int = 256,
     span_days: int = 2048,
     portfolio_block: int = 5000,
+    periods_per_year: int = TRADING_DAYS,
 ) -> DataFrame:
     """Annual return, volatility and Sharpe ratio of random long-only portfolios.
 
@@ -305,8 +311,8 @@ def random_portfolios(
     return with_sharpe(
         perf.select(
             "portfolio",
-            (F.col("s1") / F.col("n") * TRADING_DAYS).alias("annual_return"),
-            F.sqrt(F.greatest(variance, F.lit(0.0)) * float(TRADING_DAYS)).alias("annual_volatility"),
+            (F.col("s1") / F.col("n") * periods_per_year).alias("annual_return"),
+            F.sqrt(F.greatest(variance, F.lit(0.0)) * float(periods_per_year)).alias("annual_volatility"),
         ),
         risk_free,
     )
@@ -331,12 +337,13 @@ def portfolio_weights(picks: DataFrame, bars: DataFrame, seed: int = 42) -> Data
     return raw.join(total, "portfolio").select("portfolio", "symbol", (F.col("_raw") / F.col("_sum")).alias("weight"))
 
 
-def equal_weight(bars: DataFrame, risk_free: float = 0.05) -> DataFrame:
+def equal_weight(bars: DataFrame, risk_free: float = 0.05, periods_per_year: int = TRADING_DAYS) -> DataFrame:
     """Performance of the portfolio that holds every symbol equally."""
     daily = aligned_returns(bars).groupBy("date").agg(F.avg("ret").alias("r"))
     return with_sharpe(
         daily.agg(
-            (F.avg("r") * TRADING_DAYS).alias("annual_return"), annual(F.stddev_samp("r")).alias("annual_volatility")
+            (F.avg("r") * periods_per_year).alias("annual_return"),
+            (F.stddev_samp("r") * F.sqrt(F.lit(float(periods_per_year)))).alias("annual_volatility"),
         ),
         risk_free,
     )
@@ -403,5 +410,6 @@ def risk_return_table(bars: DataFrame, stocks: DataFrame) -> DataFrame:
     return stats.join(stocks.select("symbol", "sector"), "symbol", "left")
 
 
-def lookback(bars: DataFrame, as_of: dt.date, days: int = 90) -> DataFrame:
-    return within(bars, as_of, days)
+def lookback(bars: DataFrame, as_of: dt.date | None, days: int = 90) -> DataFrame:
+    """The bars that a request covers: those of the last ``days`` days, all of them without a date."""
+    return bars if as_of is None else within(bars, as_of, days)

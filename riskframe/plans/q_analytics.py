@@ -12,6 +12,7 @@ from riskframe.plans import q_relational as _shared  # noqa: F401 - defines shar
 from riskframe.plans.sqlkit import cte, query, rnd, rounded, sql_cols, sql_rnd, using
 from riskframe.session import materialise
 from riskframe.sources import domain as dom
+from riskframe.sources.domain import AS_OF
 
 cte(
     "aret",
@@ -27,14 +28,25 @@ cte(
     "aret",
 )
 cte("wr", "SELECT symbol, date, ret FROM wret WHERE ret IS NOT NULL", "wret", materialised=True)
+cte("dr", "SELECT symbol, date, ret FROM ret WHERE ret IS NOT NULL", "ret", materialised=True)
+cte(
+    "dr90",
+    """SELECT symbol, date, ret FROM (
+         SELECT symbol, date, close / lag(close) OVER (PARTITION BY symbol ORDER BY date) - 1 AS ret FROM bars WHERE date >= DATE '2001-11-04' - 90)
+       WHERE ret IS NOT NULL""",
+    "bars",
+    materialised=True,
+)
+#: Bars of the portfolio queries are weekly: no day has a trade of every brand.
+WEEKS = 52
 
 
 @query(
     "jn8_symbol_pairs",
-    using("wr", f"SELECT a.symbol AS a, b.symbol AS b, count(*) AS n, {sql_cols('cov=covar_samp(a.ret, b.ret)', 5)} FROM wr a JOIN wr b ON a.date = b.date AND a.symbol <= b.symbol GROUP BY 1, 2"),
+    using("dr", f"SELECT a.symbol AS a, b.symbol AS b, count(*) AS n, {sql_cols('cov=covar_samp(a.ret, b.ret)', 5)} FROM dr a JOIN dr b ON a.date = b.date AND a.symbol <= b.symbol GROUP BY 1, 2"),
 )
 def jn8(spark, d):
-    rets = rl.add_returns(dom.weekly_bars(spark, d))
+    rets = rl.add_returns(dom.daily_bars(spark, d))
     return rounded(covariances(pair_moments(rets, block=8, span_days=365)).select("a", "b", "n", "cov"), 5)
 
 
@@ -45,21 +57,29 @@ def qa1(spark, d):
 
 @query(
     "qa2_pairwise_correlation",
-    using("wr", f"SELECT a.symbol AS a, b.symbol AS b, count(*) AS n, {sql_cols('corr=corr(a.ret, b.ret)', 5)} FROM wr a JOIN wr b USING (date) GROUP BY 1, 2"),
+    using("dr", f"SELECT a.symbol AS a, b.symbol AS b, count(*) AS n, {sql_cols('corr=corr(a.ret, b.ret)', 5)} FROM dr a JOIN dr b USING (date) GROUP BY 1, 2"),
 )
 def qa2(spark, d):
-    return rounded(qa.correlation_matrix(dom.weekly_bars(spark, d), complete=False), 5)
+    return rounded(qa.correlation_matrix(dom.daily_bars(spark, d), complete=False), 5)
+
+
+@query(
+    "qa2_correlation_of_90_days",
+    using("dr90", f"SELECT a.symbol AS a, b.symbol AS b, count(*) AS n, {sql_cols('corr=corr(a.ret, b.ret)', 5)} FROM dr90 a JOIN dr90 b USING (date) GROUP BY 1, 2"),
+)
+def qa2_recent(spark, d):
+    return rounded(qa.correlation_matrix(dom.daily_bars(spark, d), complete=False, as_of=AS_OF), 5)
 
 
 @query(
     "qa2_mean_correlation",
-    using("wr", f"SELECT a AS symbol, {sql_cols('mean_corr=avg(c)', 5)} FROM (SELECT a.symbol AS a, b.symbol AS b, corr(a.ret, b.ret) AS c FROM wr a JOIN wr b USING (date) GROUP BY 1, 2) GROUP BY 1"),
+    using("dr", f"SELECT a AS symbol, {sql_cols('mean_corr=avg(c)', 5)} FROM (SELECT a.symbol AS a, b.symbol AS b, corr(a.ret, b.ret) AS c FROM dr a JOIN dr b USING (date) GROUP BY 1, 2) GROUP BY 1"),
 )
 def qa2_mean(spark, d):
-    return rounded(qa.mean_correlation(qa.correlation_matrix(dom.weekly_bars(spark, d), complete=False)), 5)
+    return rounded(qa.mean_correlation(qa.correlation_matrix(dom.daily_bars(spark, d), complete=False)), 5)
 
 
-cte("sret", "SELECT sector, date, avg(ret) AS ret FROM wr JOIN stocks USING (symbol) GROUP BY 1, 2", "wr", "stocks")
+cte("sret", "SELECT sector, date, avg(ret) AS ret FROM dr JOIN stocks USING (symbol) GROUP BY 1, 2", "dr", "stocks")
 
 
 @query(
@@ -67,7 +87,7 @@ cte("sret", "SELECT sector, date, avg(ret) AS ret FROM wr JOIN stocks USING (sym
     using("sret", f"SELECT a.sector AS a, b.sector AS b, count(*) AS n, {sql_cols('corr=corr(a.ret, b.ret)', 5)} FROM sret a JOIN sret b USING (date) GROUP BY 1, 2"),
 )
 def qa3(spark, d):
-    return rounded(qa.sector_correlation(dom.weekly_bars(spark, d), dom.stocks(spark, d)), 5)
+    return rounded(qa.sector_correlation(dom.daily_bars(spark, d), dom.stocks(spark, d)), 5)
 
 
 @query(
@@ -190,9 +210,9 @@ def qa9(spark, d):
     )
 
 
-@query("qa10_annual_covariance", using("apairs", f"SELECT a, b, {sql_cols('cov=cov * 252', 5)} FROM apairs"))
+@query("qa10_annual_covariance", using("apairs", f"SELECT a, b, {sql_cols('cov=cov * 52', 5)} FROM apairs"))
 def qa10(spark, d):
-    return rounded(qa.annual_covariance(dom.weekly_bars(spark, d)), 5)
+    return rounded(qa.annual_covariance(dom.weekly_bars(spark, d), WEEKS), 5)
 
 
 cte(
@@ -206,8 +226,8 @@ cte(
 cte(
     "perf",
     """SELECT portfolio, r AS annual_return, sqrt(v) AS annual_volatility, CASE WHEN v > 0 THEN (r - 0.05::DOUBLE) / sqrt(v) ELSE 0 END AS sharpe_ratio FROM (
-         SELECT portfolio, sum(w * mean) AS r FROM folios JOIN (SELECT symbol, avg(ret) * 252 AS mean FROM aret GROUP BY symbol) USING (symbol) GROUP BY portfolio)
-       JOIN (SELECT x.portfolio, sum(x.w * y.w * p.cov * 252) AS v FROM folios x JOIN apairs p ON p.a = x.symbol
+         SELECT portfolio, sum(w * mean) AS r FROM folios JOIN (SELECT symbol, avg(ret) * 52 AS mean FROM aret GROUP BY symbol) USING (symbol) GROUP BY portfolio)
+       JOIN (SELECT x.portfolio, sum(x.w * y.w * p.cov * 52) AS v FROM folios x JOIN apairs p ON p.a = x.symbol
              JOIN folios y ON y.portfolio = x.portfolio AND y.symbol = p.b GROUP BY x.portfolio) USING (portfolio)""",
     "folios",
     "apairs",
@@ -217,7 +237,7 @@ PERF = "annual_return; annual_volatility; sharpe_ratio"
 
 
 def folios(spark, d):
-    return qa.random_portfolios(dom.weekly_bars(spark, d))
+    return qa.random_portfolios(dom.weekly_bars(spark, d), periods_per_year=WEEKS)
 
 
 @query("qa11_random_portfolios", using("perf", f"SELECT portfolio, {sql_cols(PERF, 5)} FROM perf"))
@@ -244,12 +264,12 @@ def qa12(spark, d):
     using(
         "apairs aret",
         f"""SELECT {sql_cols('annual_return=r; annual_volatility=sqrt(v); sharpe_ratio=(r - 0.05) / sqrt(v)', 5)} FROM
-        (SELECT avg(mean) AS r FROM (SELECT avg(ret) * 252 AS mean FROM aret GROUP BY symbol)),
-        (SELECT sum(cov * 252) / ((SELECT count(DISTINCT symbol) FROM aret) ** 2) AS v FROM apairs)""",
+        (SELECT avg(mean) AS r FROM (SELECT avg(ret) * 52 AS mean FROM aret GROUP BY symbol)),
+        (SELECT sum(cov * 52) / ((SELECT count(DISTINCT symbol) FROM aret) ** 2) AS v FROM apairs)""",
     ),
 )
 def qa13(spark, d):
-    return rounded(qa.equal_weight(dom.weekly_bars(spark, d)), 5)
+    return rounded(qa.equal_weight(dom.weekly_bars(spark, d), periods_per_year=WEEKS), 5)
 
 
 @query(

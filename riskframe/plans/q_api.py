@@ -61,7 +61,7 @@ def risk_history(spark, d):
     ),
 )
 def optimize_portfolio(spark, d):
-    picks, _, frontier = api.optimize_portfolio(dom.weekly_bars(spark, d))
+    picks, _, frontier = api.optimize_portfolio(dom.weekly_bars(spark, d), periods_per_year=52)
     columns = ["kind", "portfolio", "annual_return", "annual_volatility"]
     both = frontier.withColumn("kind", F.lit("frontier")).select(columns).unionByName(
         picks.withColumnRenamed("pick", "kind").select(columns)
