@@ -198,10 +198,17 @@ def performance(curves: DataFrame, capital: float = 10_000.0) -> DataFrame:
 
 
 def with_benchmark(curves: DataFrame, capital: float = 10_000.0) -> DataFrame:
-    """Each curve next to buy and hold of its symbol, the initial capital where that is missing."""
-    same_day = Window.partitionBy("symbol", "date")
-    hold = F.max(F.when(F.col("strategy") == "buy_and_hold", F.col("equity"))).over(same_day)
-    return curves.withColumn("benchmark", F.coalesce(hold, F.lit(capital)))
+    """Each curve next to buy and hold of its symbol: the capital moved by all returns since the first row."""
+    up_to = run_window().rowsBetween(Window.unboundedPreceding, 0)
+    growth = F.sum(F.ln(F.lit(1.0) + F.coalesce(F.col("ret"), F.lit(0.0)))).over(up_to)
+    return curves.withColumn("benchmark", F.lit(capital) * F.exp(growth))
+
+
+def benchmark_returns(merged: DataFrame, capital: float = 10_000.0) -> DataFrame:
+    """Total return of the benchmark per (symbol, strategy)."""
+    day = F.datediff("date", F.lit("1970-01-01"))
+    last = merged.groupBy("symbol", "strategy").agg(F.max_by("benchmark", day).alias("_last"))
+    return last.select("symbol", "strategy", (F.col("_last") / capital - 1).alias("benchmark_return"))
 
 
 def backtest(
@@ -209,4 +216,6 @@ def backtest(
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Equity curves with benchmark, trades and metrics of every run on every symbol."""
     curves = equity_curves(positions(bars, grid), capital)
-    return with_benchmark(curves, capital), trade_log(curves), performance(curves, capital)
+    merged = with_benchmark(curves, capital)
+    metrics = performance(curves, capital).join(benchmark_returns(merged, capital), ["symbol", "strategy"])
+    return merged, trade_log(curves), metrics

@@ -20,13 +20,14 @@ def _mean(n: int, fn: str = "avg") -> str:
     return f"CASE WHEN count(close) {w} >= {n} THEN {fn}(close) {w} END"
 
 
-def _ma(short: int, long: int, label: str) -> str:
+def _ma(short: int, long: int, label: str, bars: str) -> str:
     return f"""SELECT symbol, '{label}' AS strategy, date, close, ret, coalesce(last_value(CASE WHEN i >= {long} THEN CASE WHEN s > l AND ps <= pl THEN 1 WHEN s < l AND ps >= pl THEN 0 END END IGNORE NULLS) {UP_TO}, 0) AS position
-      FROM (SELECT *, lag(s) {W} AS ps, lag(l) {W} AS pl FROM (SELECT *, {_mean(short)} AS s, {_mean(long)} AS l, row_number() {W} - 1 AS i FROM btbars))"""
+      FROM (SELECT *, lag(s) {W} AS ps, lag(l) {W} AS pl FROM (SELECT *, {_mean(short)} AS s, {_mean(long)} AS l, row_number() {W} - 1 AS i FROM {bars}))"""
 
 
-# Single trades set the supplied prices, so closes jump by factors. The backtests
-# run on the 60-row mean close, which moves like a price.
+# Single trades set the supplied prices, so closes jump by factors: equity runs over
+# dozens of orders of magnitude, and curves are compared by its logarithm. The trade
+# log and the metrics, which round equity to cents, also run on the 60-row mean close.
 cte(
     "smooth",
     f"""SELECT symbol, date, close, close / lag(close) {W} - 1 AS ret FROM (
@@ -35,38 +36,41 @@ cte(
     "bars",
     materialised=True,
 )
-cte(
-    "btbars",
-    "SELECT b.symbol, b.date, b.close, b.ret, coalesce(s.risk_score, 0.5) AS risk FROM smooth b LEFT JOIN bscores s USING (symbol, date)",
-    "smooth",
-    "bscores",
-    materialised=True,
-)
+for _bars, _closes in (("rawbars", "ret"), ("btbars", "smooth")):
+    cte(
+        _bars,
+        f"SELECT b.symbol, b.date, b.close, b.ret, coalesce(s.risk_score, 0.5) AS risk FROM {_closes} b LEFT JOIN bscores s USING (symbol, date)",
+        _closes,
+        "bscores",
+        materialised=True,
+    )
 MA_DEFAULT = bt.run_label("moving_average", {"short_window": 20, "long_window": 50})
 MA_FAST = bt.run_label("moving_average", {"short_window": 5, "long_window": 20})
 RISK = bt.run_label("risk_based", {"risk_threshold": 0.6})
 REVERT = bt.run_label("mean_reversion", {"lookback": 20, "z_entry": -1.0, "z_exit": 0.5})
 GRID = [*bt.DEFAULT_GRID, ("moving_average", {"short_window": 5, "long_window": 20})]
 
-cte(
-    "pos",
-    f"""SELECT symbol, 'buy_and_hold' AS strategy, date, close, ret, 1 AS position FROM btbars
-        UNION ALL SELECT symbol, '{RISK}', date, close, ret, CASE WHEN risk < 0.6 THEN 1 ELSE 0 END FROM btbars
-        UNION ALL {_ma(20, 50, MA_DEFAULT)} UNION ALL {_ma(5, 20, MA_FAST)}
+for _bars, _pos in (("rawbars", "rawpos"), ("btbars", "pos")):
+    cte(
+        _pos,
+        f"""SELECT symbol, 'buy_and_hold' AS strategy, date, close, ret, 1 AS position FROM {_bars}
+        UNION ALL SELECT symbol, '{RISK}', date, close, ret, CASE WHEN risk < 0.6 THEN 1 ELSE 0 END FROM {_bars}
+        UNION ALL {_ma(20, 50, MA_DEFAULT, _bars)} UNION ALL {_ma(5, 20, MA_FAST, _bars)}
         UNION ALL SELECT symbol, '{REVERT}', date, close, ret,
                coalesce(last_value(CASE WHEN i >= 20 AND sd > 0 THEN CASE WHEN (close - m) / sd < -1.0 THEN 1 WHEN (close - m) / sd > 0.5 THEN 0 END END IGNORE NULLS) {UP_TO}, 0)
-               FROM (SELECT *, {_mean(20)} AS m, {_mean(20, 'stddev_samp')} AS sd, row_number() {W} - 1 AS i FROM btbars)""",
-    "btbars",
-    materialised=True,
-)
-cte(
-    "curve",
-    f"""SELECT *, round(raw, 2) AS equity FROM (
+               FROM (SELECT *, {_mean(20)} AS m, {_mean(20, 'stddev_samp')} AS sd, row_number() {W} - 1 AS i FROM {_bars})""",
+        _bars,
+        materialised=True,
+    )
+for _pos, _curve in (("rawpos", "rawcurve"), ("pos", "curve")):
+    cte(
+        _curve,
+        f"""SELECT *, round(raw, 2) AS equity FROM (
         SELECT *, 10000.0::DOUBLE * exp(sum(ln(1 + coalesce(ret, 0) * prev)) {WS}) AS raw FROM (
-          SELECT *, coalesce(lag(position) {WS}, 0) AS prev FROM pos))""",
-    "pos",
-    materialised=True,
-)
+          SELECT *, coalesce(lag(position) {WS}, 0) AS prev FROM {_pos}))""",
+        _pos,
+        materialised=True,
+    )
 cte(
     "trades",
     """SELECT symbol, strategy, date, CASE WHEN position = 1 THEN 'BUY' ELSE 'SELL' END AS action, close AS price,
@@ -95,24 +99,39 @@ def smooth_bars(spark, d):
     return bars.withColumn("close", rl.rolling(F.avg, F.col("close"), 60)).dropna(subset=["close"])
 
 
-def bt_bars(spark, d):
-    bars = smooth_bars(spark, d)
+def with_scores(bars, spark, d):
     scores = dom.brand_scores(spark, d).select("symbol", "date", "risk_score")
     return bars.join(scores, ["symbol", "date"], "left")
 
 
+def raw_bars(spark, d):
+    return with_scores(dom.daily_bars(spark, d), spark, d)
+
+
+def bt_bars(spark, d):
+    return with_scores(smooth_bars(spark, d), spark, d)
+
+
 def curves(spark, d, grid=GRID):
     return bt.equity_curves(bt.positions(bt_bars(spark, d), grid))
 
 
+def raw_curves(spark, d, grid=GRID):
+    return bt.equity_curves(bt.positions(raw_bars(spark, d), grid))
+
+
+def log10_of(column, name):
+    return rnd(F.log10(column), 6).alias(name)
+
+
 def _curve_query(number: str, name: str, label: str, entry):
     @query(
         f"{number}_{name}",
-        using("curve", f"SELECT symbol, date, CAST(position AS BIGINT) AS position, {sql_cols('equity=raw', 3)} FROM curve WHERE strategy = '{label}'"),
+        using("rawcurve", f"SELECT symbol, date, CAST(position AS BIGINT) AS position, {sql_cols('equity_log10=log10(raw)', 6)} FROM rawcurve WHERE strategy = '{label}'"),
     )
     def run(spark, d):
-        out = curves(spark, d, [entry])
-        return out.select("symbol", "date", F.col("position").cast("bigint").alias("position"), rnd("raw_equity", 3).alias("equity"))
+        out = raw_curves(spark, d, [entry])
+        return out.select("symbol", "date", F.col("position").cast("bigint").alias("position"), log10_of("raw_equity", "equity_log10"))
 
 
 _curve_query("bt1", "buy_and_hold", "buy_and_hold", GRID[0])
@@ -123,10 +142,10 @@ _curve_query("bt4", "mean_reversion", REVERT, GRID[3])
 
 @query(
     "bt5_equity_curves",
-    using("curve", f"SELECT symbol, strategy, date, {sql_cols('equity=raw', 3)} FROM curve"),
+    using("rawcurve", f"SELECT symbol, strategy, date, {sql_cols('equity_log10=log10(raw)', 6)} FROM rawcurve"),
 )
 def bt5(spark, d):
-    return curves(spark, d).select("symbol", "strategy", "date", rnd("raw_equity", 3).alias("equity"))
+    return raw_curves(spark, d).select("symbol", "strategy", "date", log10_of("raw_equity", "equity_log10"))
 
 
 @query(
@@ -152,7 +171,11 @@ def bt7(spark, d):
 
 @query(
     "bt8_all_strategies",
-    using("metrics", f"SELECT symbol, strategy, {sql_cols(METRICS, 4)}, total_trades, {sql_cols('final_equity', 2)} FROM metrics"),
+    using(
+        "metrics",
+        f"""SELECT m.symbol, m.strategy, {sql_cols(METRICS, 4)}, m.total_trades, {sql_cols('final_equity=m.final_equity', 2)}, {sql_cols('benchmark_return=h.r', 4)}
+        FROM metrics m JOIN (SELECT symbol, last(raw ORDER BY date) / 10000 - 1 AS r FROM curve WHERE strategy = 'buy_and_hold' GROUP BY symbol) h USING (symbol)""",
+    ),
 )
 def bt8(spark, d):
     _, _, metrics = bt.backtest(bt_bars(spark, d), GRID)
@@ -162,14 +185,15 @@ def bt8(spark, d):
 @query(
     "bt9_jn17_benchmark_merge",
     using(
-        "curve",
-        f"""SELECT c.symbol, c.strategy, c.date, {sql_cols('equity=c.raw; benchmark=coalesce(b.equity, 10000)', 2)} FROM curve c
-        LEFT JOIN (SELECT symbol, date, equity FROM curve WHERE strategy = 'buy_and_hold') b ON b.symbol = c.symbol AND b.date = c.date""",
+        "rawcurve",
+        f"""SELECT c.symbol, c.strategy, c.date, {sql_cols('equity_log10=log10(c.raw); benchmark_log10=log10(b.raw)', 6)} FROM rawcurve c
+        JOIN (SELECT symbol, date, raw FROM rawcurve WHERE strategy = 'buy_and_hold') b ON b.symbol = c.symbol AND b.date = c.date
+        WHERE c.strategy <> 'buy_and_hold'""",
     ),
 )
 def bt9(spark, d):
-    merged, _, _ = bt.backtest(bt_bars(spark, d), GRID)
-    return merged.select("symbol", "strategy", "date", rnd("raw_equity", 2).alias("equity"), rnd("benchmark", 2).alias("benchmark"))
+    merged, _, _ = bt.backtest(raw_bars(spark, d), [g for g in GRID if g[0] != "buy_and_hold"])
+    return merged.select("symbol", "strategy", "date", log10_of("raw_equity", "equity_log10"), log10_of("benchmark", "benchmark_log10"))
 
 
 @query(

@@ -218,11 +218,13 @@ def test_backtests_match_the_account(make_bars):
 
 
 def test_benchmark_column_is_buy_and_hold(make_bars):
-    curves, _, _ = bt.backtest(make_bars({"A": wave(60)}))
-    pdf = curves.toPandas()
-    hold = pdf[pdf["strategy"] == "buy_and_hold"].set_index("date")["equity"]
-    for day, value in zip(pdf["date"], pdf["benchmark"]):
-        assert value == hold[day]
+    closes = wave(60)
+    for grid in (bt.DEFAULT_GRID, [g for g in bt.DEFAULT_GRID if g[0] != "buy_and_hold"]):
+        curves, _, perf = bt.backtest(make_bars({"A": closes}), grid)
+        pdf = curves.toPandas().sort_values("date")
+        for _, run in pdf.groupby("strategy"):
+            np.testing.assert_allclose(run["benchmark"], [10_000 * c / closes[0] for c in closes])
+        assert all(r["benchmark_return"] == pytest.approx(closes[-1] / closes[0] - 1) for r in perf.collect())
 
 
 def test_short_histories_are_not_traded(make_bars):
