@@ -33,7 +33,7 @@ VOCABULARY = 4096
 HEAD = 65_536
 LENGTHS = 16
 SEGMENT = 256
-ROUNDS = 4
+ROUNDS = 3
 SMOOTH = 0.1
 #: The end token, by a hash like that of any word (no word has a space).
 END = int(hashing.mix(np.frombuffer(b"the end ", np.uint64)).view(np.int64)[0])
@@ -77,6 +77,16 @@ class Counts:
     def base_log(self, n: np.ndarray) -> np.ndarray:
         return np.log10((n + SMOOTH) / (self.total + SMOOTH * (self.distinct + 1)))
 
+    def symbols_of(self, tokens: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Symbols by the vocabulary alone, which is faster than by the whole head."""
+        inside = self.symbol >= 0
+        known, symbol = self.tokens[inside], self.symbol[inside]
+        shared = VOCABULARY + 1 + np.minimum(lengths, LENGTHS)
+        if not len(known):
+            return shared
+        at = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
+        return np.where(known[at] == tokens, symbol[at], shared)
+
     def look_up(self, tokens: np.ndarray, lengths: np.ndarray):
         """Count (-1 beyond the head), symbol and whether the symbol stands for many words, of each token."""
         if len(self.tokens):
@@ -136,103 +146,121 @@ class Model:
 
 
 class Segments:
-    """The symbols of some texts in segments side by side: (SEGMENT, n), with -1 after the end of a text."""
+    """The symbols of some texts in segments side by side, the longest first: step t has the first ``active[t]`` ones.
+
+    Arrays have one column per segment.
+    """
 
     def __init__(self, symbols: np.ndarray, at: np.ndarray):
         pieces = (np.diff(at) + SEGMENT - 1) // SEGMENT
-        self.text = np.repeat(np.arange(len(pieces)), pieces)
+        text = np.repeat(np.arange(len(pieces)), pieces)
+        place = np.arange(len(text)) - (np.cumsum(pieces) - pieces)[text]
+        begin = at[:-1][text] + place * SEGMENT
+        length = np.minimum(SEGMENT, at[1:][text] - begin)
+        by_length = np.argsort(-length, kind="stable")
+        self.text, self.place, self.texts = text[by_length], place[by_length], len(pieces)
+        begin, length = begin[by_length], length[by_length]
+        self.active = np.searchsorted(-length, -np.arange(SEGMENT), "left")
+        self.active = self.active[self.active > 0]
+        self.steps = [symbols[begin[:n] + t] for t, n in enumerate(self.active)]
+        self.head = self.place == 0
+        # where each segment of a text stands, by (text, place)
+        self.column = np.empty(len(text), np.int64)
+        self.column[by_length] = np.arange(len(text))
         self.first = np.cumsum(pieces) - pieces
-        begin = np.repeat(at[:-1] - self.first * SEGMENT, pieces) + np.arange(pieces.sum()) * SEGMENT
-        place = begin + np.arange(SEGMENT)[:, None]
-        inside = place < at[1:][self.text]
-        self.symbols = np.where(inside, symbols[np.minimum(place, len(symbols) - 1)], -1)
-        self.order = np.arange(len(self.text)) - self.first[self.text]  # place of each segment in its text
+
+    def at_place(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The columns of the segments that are number k of their text, and those of the segments before them."""
+        now = np.flatnonzero(self.place == k)
+        return now, self.column[self.first[self.text[now]] + k - 1] if k else now
 
     def products(self, model: Model) -> tuple[np.ndarray, np.ndarray]:
-        """(n, K, K) products of the steps of each segment, row = state before it, scaled, and the log10 of the scales.
+        """(K before, K after, n) products of the steps of each segment, scaled, and the log10 of the scales.
 
         The first symbol of a text is emitted without a move.
         """
         k, n = len(model.start), len(self.text)
-        state = np.broadcast_to(np.eye(k), (n, k, k)).copy()
+        state = np.repeat(np.eye(k)[:, :, None], n, axis=2)
         logs = np.zeros(n)
-        for t, symbols in enumerate(self.symbols):
-            on = symbols >= 0
-            if not on.any():
-                break
-            new = (state.reshape(-1, k) @ model.move).reshape(n, k, k)
+        move, emit = np.ascontiguousarray(model.move.T), np.ascontiguousarray(model.emit.T)
+        for t, symbols in enumerate(self.steps):
+            m = len(symbols)
+            new = move @ state[:, :, :m]
             if t == 0:
-                new[self.order == 0] = np.eye(k)
-            new *= model.emit[np.maximum(symbols, 0)][:, None, :]
-            scale = new.max((1, 2))
-            new /= scale[:, None, None]
-            if on.all():
+                new[:, :, self.head] = np.eye(k)[:, :, None]
+            new *= np.take(emit, symbols, axis=1)
+            scale = new.max((0, 1))
+            new /= scale
+            logs[:m] += np.log10(scale)
+            if m == n:
                 state = new
-                logs += np.log10(scale)
             else:
-                state[on] = new[on]
-                logs[on] += np.log10(scale[on])
+                state[:, :, :m] = new
         return state, logs
 
     def entering(self, model: Model, products: np.ndarray, logs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(n, K) state probabilities before each segment's first step, and the log10 likelihood of each text."""
-        k = len(model.start)
-        before = np.zeros((len(self.text), k))
-        score = np.zeros(len(self.first))
-        before[self.first] = model.start  # of the first symbol, which has no move before it
-        for step in range(int(self.order.max(initial=-1)) + 1):
-            now = np.flatnonzero(self.order == step)
-            after = np.einsum("nk,nkj->nj", before[now], products[now])
-            total = after.sum(1)
+        """(K, n) state probabilities before each segment's first step, and the log10 likelihood of each text."""
+        before = np.zeros((len(model.start), len(self.text)))
+        score = np.zeros(self.texts)
+        before[:, self.head] = model.start[:, None]  # of the first symbol, which has no move before it
+        after = np.zeros_like(before)
+        for k in range(int(self.place.max(initial=-1)) + 1):
+            now, last = self.at_place(k)
+            if k:
+                before[:, now] = after[:, last]
+            out = np.einsum("kn,kjn->jn", before[:, now], products[:, :, now])
+            total = out.sum(0)
+            after[:, now] = out / total
             score[self.text[now]] += np.log10(total) + logs[now]
-            after /= total[:, None]
-            more = np.flatnonzero((now + 1 < len(self.text)) & (self.order[np.minimum(now + 1, len(self.text) - 1)] == step + 1))
-            before[now[more] + 1] = after[more]
         return before, score
 
     def leaving(self, products: np.ndarray) -> np.ndarray:
-        """(n, K) likelihood, up to scale, of what follows each segment, by the state at its end."""
-        k = products.shape[1]
-        after = np.ones((len(self.text), k))
-        for step in range(int(self.order.max(initial=-1)), 0, -1):
-            now = np.flatnonzero(self.order == step)
-            back = np.einsum("nkj,nj->nk", products[now], after[now])
-            after[now - 1] = back / back.max(1, keepdims=True)
+        """(K, n) likelihood, up to scale, of what follows each segment, by the state at its end."""
+        after = np.ones(products.shape[1:])
+        for k in range(int(self.place.max(initial=-1)), 0, -1):
+            now, last = self.at_place(k)
+            back = np.einsum("kjn,jn->kn", products[:, :, now], after[:, now])
+            after[:, last] = back / back.max(0)
         return after
 
     def expected(self, model: Model) -> np.ndarray:
         """Expected counts (start, move, emit) of all texts, by a forward and a backward pass through the segments."""
         k = len(model.start)
         products, logs = self.products(model)
-        before, _ = self.entering(model, products, logs)
-        beta, alphas, state = self.leaving(products), [], before
-        head = self.order == 0
-        for t, symbols in enumerate(self.symbols):
-            on = symbols >= 0
-            new = (np.where(head[:, None], state, state @ model.move) if t == 0 else state @ model.move) * model.emit[np.maximum(symbols, 0)]
-            new /= new.sum(1, keepdims=True)
-            alphas.append((state, new))
-            state = np.where(on[:, None], new, state)
-        start, move = np.zeros(k), np.zeros((k, k))
-        seen, weight = [], []
-        for t in range(SEGMENT - 1, -1, -1):
-            symbols, (state, new) = self.symbols[t], alphas[t]
-            on = symbols >= 0
-            gamma = new * beta
-            gamma = np.where(on[:, None], gamma / gamma.sum(1, keepdims=True), 0)
-            seen.append(symbols[on])
-            weight.append(gamma[on])
-            ahead = model.emit[np.maximum(symbols, 0)] * beta
-            use = on & ~head if t == 0 else on
-            share = np.einsum("nk,kj,nj->n", state[use], model.move, ahead[use], optimize=True)
-            move += (state[use] / share[:, None]).T @ ahead[use] * model.move
+        state, _ = self.entering(model, products, logs)
+        beta, kept = self.leaving(products), []
+        move, emit = np.ascontiguousarray(model.move.T), np.ascontiguousarray(model.emit.T)
+        for t, symbols in enumerate(self.steps):
+            m = len(symbols)
+            shown = np.take(emit, symbols, axis=1)
+            before = state[:, :m].copy()
+            new = move @ before
+            if t == 0:
+                new[:, self.head] = before[:, self.head]
+            new *= shown
+            new /= new.sum(0)
+            kept.append((before, new, shown))
+            state[:, :m] = new
+        start, moves = np.zeros(k), np.zeros((k, k))
+        weights = [np.empty(0)] * len(self.steps)
+        for t in range(len(self.steps) - 1, -1, -1):
+            before, new, shown = kept[t]
+            m = before.shape[1]
+            gamma = new * beta[:, :m]
+            gamma /= gamma.sum(0)
+            weights[t] = gamma
+            ahead = shown * beta[:, :m]
+            back = model.move @ ahead
+            before /= (before * back).sum(0)
             if t == 0:
-                start += gamma[head].sum(0)
-            back = ahead @ model.move.T
-            beta = np.where(on[:, None], back / back.max(1, keepdims=True), beta)
-        seen, weight = np.concatenate(seen), np.concatenate(weight)
-        emit = np.stack([np.bincount(seen, weight[:, j], len(model.emit)) for j in range(k)], axis=1)
-        return np.concatenate([start, move.ravel(), emit.ravel()])
+                before[:, self.head] = 0
+                start += gamma[:, self.head].sum(1)
+            moves += before @ ahead.T
+            back /= back.max(0)
+            beta[:, :m] = back
+        seen, weight = np.concatenate(self.steps), np.concatenate(weights, axis=1)
+        shares = np.stack([np.bincount(seen, w, len(model.emit)) for w in weight], axis=1)
+        return np.concatenate([start, (moves * model.move).ravel(), shares.ravel()])
 
 
 def expectations(counts: Counts, model: Model):
@@ -242,8 +270,7 @@ def expectations(counts: Counts, model: Model):
         total = None
         for batch in hashing.slices(batches):
             tokens, lengths, at = token_arrays(batch.column("text"))
-            _, symbol, _ = counts.look_up(tokens, lengths)
-            found = Segments(symbol, at).expected(model)
+            found = Segments(counts.symbols_of(tokens, lengths), at).expected(model)
             total = found if total is None else total + found
         if total is not None:
             place = np.flatnonzero(total)
