@@ -68,11 +68,12 @@ class Counts:
     tokens: np.ndarray  # sorted
     counts: np.ndarray
     symbol: np.ndarray  # of each head token, -1 beyond the vocabulary
+    vocabulary: int  # number of words that are symbols, 0 .. vocabulary - 1
     rest: np.ndarray  # log10 of the smoothed total of the words of each length that are not symbols
 
     @property
     def symbols(self) -> int:
-        return VOCABULARY + 1 + LENGTHS + 1
+        return self.vocabulary + LENGTHS + 1
 
     def base_log(self, n: np.ndarray) -> np.ndarray:
         return np.log10((n + SMOOTH) / (self.total + SMOOTH * (self.distinct + 1)))
@@ -81,7 +82,7 @@ class Counts:
         """Symbols by the vocabulary alone, which is faster than by the whole head."""
         inside = self.symbol >= 0
         known, symbol = self.tokens[inside], self.symbol[inside]
-        shared = VOCABULARY + 1 + np.minimum(lengths, LENGTHS)
+        shared = self.vocabulary + np.minimum(lengths, LENGTHS)
         if not len(known):
             return shared
         at = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
@@ -97,7 +98,7 @@ class Counts:
         else:
             n = symbol = np.full(len(tokens), -1)
         shared = symbol < 0
-        return n, np.where(shared, VOCABULARY + 1 + np.minimum(lengths, LENGTHS), symbol), shared
+        return n, np.where(shared, self.vocabulary + np.minimum(lengths, LENGTHS), symbol), shared
 
 
 def head_of(counts: DataFrame) -> Counts:
@@ -118,6 +119,7 @@ def head_of(counts: DataFrame) -> Counts:
         np.array([row["token"] for row in by_token], np.int64),
         np.array([row["n"] for row in by_token], np.int64),
         np.array([symbols.get(row["token"], -1) for row in by_token], np.int64),
+        VOCABULARY,
         np.log10(n_of + SMOOTH * (v_of + 1)),
     )
 
@@ -284,7 +286,7 @@ def trained(texts: DataFrame, counts: Counts, rounds: int = ROUNDS) -> Model:
     shares = np.full(counts.symbols, SMOOTH)
     inside = counts.symbol >= 0
     shares[counts.symbol[inside]] += counts.counts[inside]
-    shares[VOCABULARY + 1 :] += 10**counts.rest
+    shares[counts.vocabulary :] += 10**counts.rest
     shares /= shares.sum()
     model = Model.first(shares)
     for _ in range(rounds if counts.total else 0):
