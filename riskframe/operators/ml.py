@@ -352,6 +352,12 @@ def global_importance(attributed: DataFrame) -> DataFrame:
     return long.groupBy(F.col("name").alias("feature")).agg(F.avg(F.abs("value")).alias("mean_abs"))
 
 
+def strongest_features(attributed: DataFrame, k: int = 15) -> list[str]:
+    """The ``k`` features with the largest mean absolute attribution."""
+    ranked = global_importance(attributed).orderBy(F.desc("mean_abs"), "feature").limit(k)
+    return [row["feature"] for row in ranked.toLocalIterator()]
+
+
 def gain_importance(model: PipelineModel, spark, features: Sequence[str] = FEATURES) -> DataFrame:
     gains = model.stages[-1].featureImportances.toArray()
     return spark.createDataFrame([(f, float(g)) for f, g in zip(features, gains)], "feature string, gain double")

@@ -148,7 +148,7 @@ def _train_and_score(spark, d, kind, **params):
 
 @query("ml5_boosted_trees")
 def ml5(spark, d):
-    return _train_and_score(spark, d, "boosted", maxIter=8)
+    return _train_and_score(spark, d, "boosted")
 
 
 @query("ml6_logistic_regression")
@@ -158,7 +158,7 @@ def ml6(spark, d):
 
 @query("ml6_random_forest")
 def ml6_forest(spark, d):
-    return _train_and_score(spark, d, "forest", numTrees=30, maxDepth=6)
+    return _train_and_score(spark, d, "forest")
 
 
 _SCALED = ["rsi_14", "volatility_21d", "sma_cross"]
@@ -190,7 +190,7 @@ def ml7_minmax(spark, d):
 
 @query("ml8_time_series_cv")
 def ml8(spark, d):
-    return rounded(ml.cross_validate(stored(spark, d), "logistic", maxIter=10), 4)
+    return rounded(ml.cross_validate(stored(spark, d), "logistic"), 4)
 
 
 @query(
@@ -279,16 +279,27 @@ def ml12_report(spark, d):
     return rounded(ml.class_report(scored(spark, d)))
 
 
+_FITTED: dict = {}
+
+
+def boosted_on_all(spark, d):
+    """The stored training rows and the boosted model fitted on them, once per session and input."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _FITTED:
+        rows = stored(spark, d)
+        _FITTED[key] = rows, ml.fit(rows, "boosted")
+    return _FITTED[key]
+
+
 @query("ml13_batch_scoring")
 def ml13(spark, d):
-    rows = stored(spark, d)
-    model = ml.fit(rows, "boosted", maxIter=5)
+    _, model = boosted_on_all(spark, d)
     return rounded(ml.score_latest(model, features(spark, d)), 4)
 
 
 def _linear_attributions(spark, d):
     rows = stored(spark, d)
-    model = ml.fit(rows, "logistic", maxIter=10)
+    model = ml.fit(rows, "logistic")
     return ml.linear_attributions(model, ml.latest_features(rows))
 
 
@@ -299,22 +310,21 @@ def ml14(spark, d):
 
 @query("ml14_tree_explanations")
 def ml14_trees(spark, d):
-    rows = stored(spark, d)
-    model = ml.fit(rows, "boosted", maxIter=5)
+    rows, model = boosted_on_all(spark, d)
     return ml.drivers(ml.shape_explanations(ml.tree_attributions(model, ml.latest_features(rows))))
 
 
 @query("ml15_importance_agreement")
 def ml15(spark, d):
-    rows = stored(spark, d)
-    model = ml.fit(rows, "boosted", maxIter=5)
+    rows, model = boosted_on_all(spark, d)
     importance = ml.global_importance(ml.tree_attributions(model, rows))
     return ml.rank_agreement(importance, ml.gain_importance(model, spark))
 
 
 @query("ml16_attribution_heatmap")
 def ml16(spark, d):
-    return ml.attribution_heatmap(_linear_attributions(spark, d), xs.FEATURES[:15])
+    attributed = materialise(_linear_attributions(spark, d), "attributions")
+    return ml.attribution_heatmap(attributed, ml.strongest_features(attributed))
 
 
 @query(
@@ -322,11 +332,11 @@ def ml16(spark, d):
     using(
         "mltarget",
         """SELECT symbol, date, target FROM mltarget WHERE date >= DATE '2001-11-04' - 180
-        ORDER BY md5('42:' || symbol || ':' || CAST(date AS VARCHAR)), symbol, date LIMIT 1000""",
+        ORDER BY md5('42:' || symbol || ':' || CAST(date AS VARCHAR)), symbol, date LIMIT 5000""",
     ),
 )
 def ml17(spark, d):
-    return ml.recent_sample(labelled(spark, d).select("symbol", "date", "target"), AS_OF, k=1000)
+    return ml.recent_sample(labelled(spark, d).select("symbol", "date", "target"), AS_OF)
 
 
 _GRID = ", ".join(f"({a}::DOUBLE, {b}::DOUBLE)" for a in ml.ALPHAS for b in ml.BETAS if a + b < 1)
