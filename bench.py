@@ -1,8 +1,9 @@
 """Time the headline queries; prints one JSON line.
 
 Environment: ``BENCH_SF_DIR`` (default /root/testdata/sf0.1), ``BENCH_CPUS``
-(default 8), ``BENCH_RUNS`` (default 3, the median is reported) and
-``BENCH_QUERIES`` (comma separated names, ``all`` for the whole catalogue).
+(default 8), ``BENCH_RUNS`` (default 3, the median is reported),
+``BENCH_QUERIES`` (comma separated names, ``all`` for the whole catalogue) and
+``BENCH_SHARED_DIR`` (the folder for written steps, a new one by default).
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ import json
 import os
 import statistics
 import sys
+import tempfile
 import time
 
 from riskframe.plans import catalogue
@@ -50,7 +52,8 @@ def main() -> None:
     runs = int(os.environ.get("BENCH_RUNS", "3"))
     chosen = os.environ.get("BENCH_QUERIES", "")
     names = list(catalogue.QUERIES) if chosen == "all" else [n for n in chosen.split(",") if n] or HEADLINE
-    spark = build_session("bench", f"local[{cpus}]", shuffle_partitions=cpus)
+    shared = os.environ.get("BENCH_SHARED_DIR") or tempfile.mkdtemp(prefix="bench-")
+    spark = build_session("bench", f"local[{cpus}]", shuffle_partitions=cpus, **{"spark.checkpoint.dir": shared})
     spark.sparkContext.setLogLevel("ERROR")
     # start the executors and the code generator before the first measurement
     catalogue.QUERIES["src8_weekly_bars"](spark, sf_dir).write.format("noop").mode("overwrite").save()

@@ -144,9 +144,33 @@ def paragraphs(fragment: Column, longer_than: int = 0) -> Column:
     return F.filter(bodies, lambda t: F.length(t) > longer_than)
 
 
+def up_to_close(rest: Column, tag: str) -> Column:
+    """The text up to the tag that closes an element opened just before it, else empty."""
+    pattern = rf"(?i)</?{tag}\b[^>]*>"
+
+    def inner(tags: Column) -> Column:
+        def step(acc: Column, t: Column) -> Column:
+            depth = acc["depth"] + F.when(acc["depth"] == 0, 0).when(F.startswith(t, F.lit("</")), -1).otherwise(1)
+            return F.struct(depth.alias("depth"), (acc["n"] + F.when(acc["depth"] > 0, 1).otherwise(0)).alias("n"))
+
+        start = F.struct(F.lit(1).alias("depth"), F.lit(0).alias("n"))
+        end = F.aggregate(tags, start, step)
+        # the pieces between the tags, with the tags inside the element back in their places
+        pieces = F.split(rest, pattern, -1)
+
+        def body(e: Column) -> Column:
+            within = F.zip_with(F.slice(pieces, 1, e["n"] - 1), F.slice(tags, 1, e["n"] - 1), lambda p, t: F.concat(p, t))
+            return F.concat(F.array_join(within, ""), F.get(pieces, e["n"] - 1))
+
+        return let(end, lambda e: F.when(e["depth"] == 0, body(e)).otherwise(""))
+
+    return let(F.regexp_extract_all(rest, F.lit(pattern), F.lit(0)), inner)
+
+
 def first_element(html: Column, open_tag: str, tag: str) -> Column:
-    """Inner HTML of the first element whose opening tag matches, else empty."""
-    return F.regexp_extract(html, rf"(?is)<{open_tag}[^>]*>(.*?)</{tag}>", 1)
+    """Inner HTML of the first element whose opening tag matches, elements of its own kind inside it included."""
+    opened = F.split(html, rf"(?is)<{open_tag}(?=[\s>])[^>]*>", 2)
+    return let(opened, lambda two: F.when(F.size(two) > 1, up_to_close(F.get(two, F.lit(1)), tag)).otherwise(""))
 
 
 def class_token(name: str) -> str:
@@ -161,9 +185,9 @@ def article_body(html: Column | str, cap: int | None = None) -> Column:
         return F.array_join(paragraphs(fragment, longer_than), " ")
 
     containers = [
-        *[(rf'div[^>]*class="{class_token(c)}"', "div") for c in BODY_CLASSES],
-        ('div[^>]*itemprop="articleBody"', "div"),
-        (rf'div[^>]*class="{class_token(CONTENT_BODY_CLASS)}"', "div"),
+        *[(rf'div\b[^>]*class="{class_token(c)}"', "div") for c in BODY_CLASSES],
+        (r'div\b[^>]*itemprop="articleBody"', "div"),
+        (rf'div\b[^>]*class="{class_token(CONTENT_BODY_CLASS)}"', "div"),
         ("main", "main"),
     ]
 

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from riskframe.functions.numeric import annual
 from riskframe.operators.rolling import forward_vol_sample, log_return, technical_features
 
+# The ranked columns, and the inputs of the model in order.
 RANKED = ["volatility_21d", "return_21d", "beta_63d", "volume_ratio"]
 
-# The model's inputs, in order.
 FEATURES = [
     "volatility_21d", "volatility_63d", "return_5d", "return_10d", "return_21d", "return_63d",
     "rsi_14", "macd_line", "macd_signal", "macd_histogram", "bb_width", "bb_position",

@@ -168,6 +168,7 @@ def fixed_chunks(documents: DataFrame, size: int = 512, overlap: int = 50) -> Da
     return out.withColumn("chunk_no", F.col("chunk_no").cast("bigint"))
 
 
+# Fixed values, tried in this order.
 SEPARATORS = ["\n\n", "\n", ". ", " ", ""]
 
 

@@ -39,6 +39,13 @@ def test_article_cap(spark):
     assert one(spark, page, lambda c: tx.article_body(c, 5000)) == "x" * 5000 + "..."
 
 
+def test_containers_end_where_they_close(spark):
+    page = f"<body><div class=\"story-body\"><div>in</div><p>{LONG}</p><div><div>x</div></div><p>after</p></div><p>{LONG}out</p></body>"
+    assert one(spark, page, tx.article_body) == f"{LONG.strip()} after"
+    assert one(spark, "<article>a<article>b</article>c", lambda c: tx.first_element(c, "article", "article")) == ""
+    assert one(spark, "<ARTICLE x='1'>a<article>b</article>c</article>d", lambda c: tx.first_element(c, "article", "article")) == "a<article>b</article>c"
+
+
 def test_class_names_match_whole(spark):
     page = f"<body><div class='x'></div><div class=\"article-body-ads\"><p>{LONG}ad</p></div><div class=\"wide article-body\"><p>{LONG}</p></div></body>"
     assert one(spark, page, tx.article_body) == LONG.strip()
