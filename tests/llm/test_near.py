@@ -148,15 +148,17 @@ def test_registers_estimate_the_similarity():
     common, a, b = (rng.integers(0, 2**64, n, dtype=np.uint64) for n in (800, 100, 100))
 
     def sketch(value):
-        low = np.array([[(value * m).min() for m in near_dedup.MULTIPLIERS]], np.uint64)
-        return near_dedup.registers(low, None)[0]
+        return near_dedup.registers(np.array([(value * m).min() for m in near_dedup.MULTIPLIERS], np.uint64))
 
     x, y = sketch(np.concatenate([common, a])), sketch(np.concatenate([common, b]))
     assert (np.maximum(x, y) == sketch(np.concatenate([common, a, b]))).all()  # sketches merge
     signs = [(x > y).sum(), (x < y).sum(), (x == y).sum()]
     grid = np.linspace(0.01, 1, 100)
     best = grid[np.argmax([near_dedup.log_likelihood(g, 900.0, 900.0, *signs) for g in grid])]
-    assert abs(best - 0.8) < 0.12
+    assert abs(best - 0.8) < 0.06
+    low = (x & 255 == y & 255).sum(keepdims=True)
+    size = np.array([900.0])
+    assert near_dedup.plausible_bytes(low, size, size, 0.8).all() and not near_dedup.plausible_bytes(low, size, size, 0.9).any()
 
 
 def test_words_and_hashes_do_not_depend_on_the_batch(sample_texts):
