@@ -1,8 +1,9 @@
 """Token ids of many texts at once: each distinct run of white space and word is encoded once per worker.
 
 Byte-level vocabularies split a text at every start of white space before a word, except that the last space of a run
-joins the word. So the ids of a text are those of its units, a unit being the white space before a word together with
-the word, or the white space at the end. Texts with white space beyond ``\\x20`` and ``\\x09``-``\\x0D`` are one unit.
+joins the word; and at every change from a letter or digit to punctuation that ends a word. So the ids of a text are
+those of its units: the white space before a word together with the word, the punctuation after it, the white space at
+the end. Texts with white space beyond ``\\x20`` and ``\\x09``-``\\x0D`` are one unit.
 Units are known by a 64-bit hash of their bytes.
 """
 
@@ -22,6 +23,13 @@ LEADS = np.zeros(256, bool)
 LEADS[[0x1C, 0x1D, 0x1E, 0x1F, 0xC2, 0xE1, 0xE2, 0xE3]] = True
 
 
+ALNUM = np.zeros(256, bool)
+ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
+PUNCTUATION = np.zeros(256, bool)
+PUNCTUATION[33:127] = True
+PUNCTUATION &= ~ALNUM
+
+
 def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """starts[0], starts[0] + 1, ... for lengths[0] places, then the same for the next start."""
     ends = np.cumsum(lengths)
@@ -30,23 +38,33 @@ def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 def units(column: pa.Array) -> hashing.Words:
     words = hashing.split_words(column)
+    data = words.data
     _, at = hashing.text_bytes(column)
-    ends = words.ends
-    if len(words.data):
-        odd = np.zeros(len(column), bool)
-        for i in np.unique(np.searchsorted(at, np.flatnonzero(LEADS[words.data]), "right") - 1):
-            odd[i] = OTHER_SPACE.search(column[int(i)].as_py()) is not None
-        ends = ends[~odd[words.doc()]]
-    cuts = np.unique(np.concatenate([ends, at[1:]]))
-    cuts = cuts[cuts > 0]
-    starts = np.concatenate([np.zeros(1, np.int64), cuts[:-1]]) if len(cuts) else cuts
-    return hashing.Words(words.data, starts, cuts, np.searchsorted(starts, at))
+    cut = np.zeros(len(data) + 1, bool)
+    if len(data):
+        cut[words.ends] = True
+        # A single line break before a word, and ASCII punctuation at the end of a word, stand by themselves: fewer units.
+        after_break = words.starts[words.starts > 1]
+        after_break = after_break[(data[after_break - 1] != 32) & hashing.SPACE[data[after_break - 1]]]
+        cut[after_break[~hashing.SPACE[data[after_break - 2]]]] = True
+        marks = np.flatnonzero(ALNUM[data[:-1]] & PUNCTUATION[data[1:]]) + 1
+        others = np.append(np.flatnonzero(~PUNCTUATION[data]), len(data))
+        after = others[np.searchsorted(others, marks)]
+        cut[marks[(after == len(data)) | hashing.SPACE[data[np.minimum(after, len(data) - 1)]]]] = True
+        odd = [i for i in np.unique(np.searchsorted(at, np.flatnonzero(LEADS[data]), "right") - 1).tolist() if OTHER_SPACE.search(column[i].as_py())]
+        for i in odd:
+            cut[at[i] : at[i + 1]] = False
+        cut[at] = True
+    cut[0] = False
+    ends = np.flatnonzero(cut)
+    starts = np.concatenate([np.zeros(1, np.int64), ends[:-1]]) if len(ends) else ends
+    return hashing.Words(data, starts, ends, np.searchsorted(starts, at))
 
 
 class Encoder:
     """Ids of text columns, with the ids of the units seen so far. At most ``most`` units are kept."""
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], most: int = 800_000):
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], most: int = 600_000):
         self.encode, self.most = encode, most
         self.clear()
 
