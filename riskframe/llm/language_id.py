@@ -161,7 +161,8 @@ def cut(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, owner
 
 
-def train(texts: list[str], labels: list[str], epochs: int = 6, batch: int = 256, rate: float = 0.01) -> Network:
+def train(texts: list[str], labels: list[str], total: int = 400, batch: int = 256, rate: float = 0.01) -> Network:
+    """The network after ``total`` steps of Adam over shuffled batches of runs, as many for any size of the sample."""
     languages = sorted(set(labels))
     network = Network.start(languages)
     column = pa.array(texts, pa.string())
@@ -169,10 +170,10 @@ def train(texts: list[str], labels: list[str], epochs: int = 6, batch: int = 256
     target = np.searchsorted(languages, np.array(labels))[owner]
     rng = np.random.default_rng(5)
     moments = [(np.zeros_like(w), np.zeros_like(w)) for w in network.weights()]
-    steps, total = 0, epochs * -(-len(target) // batch)
-    for _ in range(epochs):
+    steps = 0
+    while steps < total:
         order = rng.permutation(len(target))
-        for begin in range(0, len(order), batch):
+        for begin in range(0, min(len(order), batch * (total - steps)), batch):
             pick = order[begin : begin + batch]
             grads, _ = network.gradient(runs[:, pick].astype(np.intp), target[pick][None, None])
             steps += 1
@@ -193,9 +194,11 @@ def held_out(doc_id: Column, parts: int) -> Column:
 def sample(docs: DataFrame, per_language: int) -> DataFrame:
     """(lang, run): ``RUNS`` runs of about ``per_language`` documents of each language; never of held-out ones."""
     known = docs.where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL").where(~held_out(F.col("doc_id"), 5))
-    share = known.groupBy("lang").agg((F.lit(float(per_language)) / F.count("*")).alias("share"))
-    place = F.xxhash64("doc_id").alias("place")
-    picked = known.select("lang", "text", place).join(share, "lang").where(F.pmod("place", F.lit(1 << 20)) < F.col("share") * (1 << 20))
+    # one number per language, so that no text moves to be sampled
+    share = {row["lang"]: float(per_language) / row["count"] for row in known.groupBy("lang").count().toLocalIterator()}
+    shares = F.create_map(*[F.lit(x) for item in share.items() for x in item]) if share else F.create_map().cast("map<string,double>")
+    rows = known.select("lang", "text", F.xxhash64("doc_id").alias("place"))
+    picked = rows.where(F.pmod("place", F.lit(1 << 20)) < shares[F.col("lang")] * (1 << 20))
     runs = picked.select("lang", "text", F.explode(F.array(*[F.xxhash64("place", F.lit(i)) for i in range(RUNS)])).alias("place"))
     begin = F.pmod("place", F.greatest(F.length("text") - RUN, F.lit(0)) + 1) + 1
     return runs.select("lang", "place", F.substring(F.col("text"), begin.cast("int"), F.lit(RUN)).alias("run")).where("run <> ''")
