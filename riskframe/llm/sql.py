@@ -139,9 +139,9 @@ WITH d AS (SELECT row_number() OVER () AS k, doc_id, source, coalesce(text, '')
 b AS (
   SELECT * FROM ({_spans('assign', 0, _ASSIGN, 2, 12)}) WHERE length(s.value) >= 12
   UNION ALL SELECT * FROM ({_spans('access', 1, 'AKIA[A-Z0-9]+', 0, 18)}) WHERE length(s.value) >= 18
-  UNION ALL SELECT * FROM ({_spans('hex', 2, '[0-9a-f]{{16,}}', 0, 16)}) WHERE length(s.value) >= 16),
+  UNION ALL SELECT * FROM ({_spans('hex', 2, '[0-9a-f]{16,}', 0, 16)}) WHERE length(s.value) >= 16),
 l AS (
-  SELECT k, s FROM ({_spans('live', 3, '[A-Za-z0-9+/_=-]{{20,}}', 0, 20)}) x
+  SELECT k, s FROM ({_spans('live', 3, '[A-Za-z0-9+/_=-]{20,}', 0, 20)}) x
   WHERE length(s.value) >= 20 AND regexp_matches(s.value, '[a-z]') AND regexp_matches(s.value, '[A-Z]') AND regexp_matches(s.value, '[0-9]')
     AND len(list_distinct(string_split(s.value, ''))) >= 10
     AND NOT EXISTS (SELECT 1 FROM b WHERE b.k = x.k AND b.s.start < x.s.start + x.s.len AND x.s.start < b.s.start + b.s.len)),
