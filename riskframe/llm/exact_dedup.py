@@ -8,8 +8,8 @@ Every shuffle of keys carries counts or hashes that were combined in the map tas
 rows costs one row per task.
 
 Defined cases: null text counts as empty, all empty texts are one group. Of equal rows the smallest ``doc_id`` stays; a
-null ``doc_id`` stays only if the group has no other. Rows that repeat a ``doc_id`` get the same verdict, so repeated
-rows of the smallest id all stay. An empty table gives an empty result. Other columns are never read.
+null ``doc_id`` stays only if the group has no other. Equal rows that repeat a ``doc_id`` get the same verdict, so repeated
+rows of the smallest id all stay; different texts of one ``doc_id``, or without any, each get their own. An empty table gives an empty result. Other columns are never read.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from riskframe.llm.tables import row_hash, without_rows
+
 HEAD = 256
 SPACES = "[\\x20\\x09-\\x0D]+"
 
@@ -56,14 +58,15 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     )
 
 
-def exact_dedup(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
-    hashed = docs.select("doc_id", normalised(F.col("text")).alias("t")).select(
-        "doc_id", F.length("t").alias("n"), sha256(F.col("t")).alias("full")
+def verdicts(docs: DataFrame) -> DataFrame:
+    """One row per document: doc_id, row_hash (of the text as it came), keep_id, group_size, kept, text_sha256."""
+    hashed = docs.select("doc_id", row_hash(F.col("text")).alias("row_hash"), normalised(F.col("text")).alias("t")).select(
+        "doc_id", "row_hash", F.length("t").alias("n"), sha256(F.col("t")).alias("full")
     )
     found = hashed.join(exact_groups(docs), ["n", "full"], "left")
     return found.select(
         "doc_id",
+        "row_hash",
         F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1).cast("bigint")).alias("group_size"),
         (F.col("group_size").isNull() | F.col("keep_id").eqNullSafe(F.col("doc_id"))).alias("kept"),
@@ -71,7 +74,11 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     )
 
 
+def exact_dedup(docs: DataFrame) -> DataFrame:
+    """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
+    return verdicts(docs).drop("row_hash")
+
+
 def drop_duplicates(docs: DataFrame) -> DataFrame:
     """The documents that stay, with the columns they came with."""
-    gone = exact_dedup(docs).where("not kept").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone_id"]), "left_anti")
+    return without_rows(docs, verdicts(docs).where("not kept"))

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskframe.llm import hashing
+from riskframe.llm.tables import row_hash, without_rows
 
 RUN = 64
 HIDDEN = 8
@@ -211,7 +212,7 @@ def fitted(docs: DataFrame, per_language: int = 1200) -> Network | None:
 
 
 def predict(docs: DataFrame, network: Network | None) -> DataFrame:
-    """(doc_id, lang_pred, score) of each whole text, from its text alone."""
+    """(doc_id, row_hash, lang_pred, score) of each whole text, from its text alone."""
 
     def run(batches):
         for batch in hashing.slices(batches):
@@ -232,15 +233,16 @@ def predict(docs: DataFrame, network: Network | None) -> DataFrame:
             empty = ~batch.column("lettered").to_numpy(zero_copy_only=False).astype(bool)
             best[empty], score[empty] = len(network.languages), 0.0
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(names[best], pa.string()), pa.array(np.clip(score, 0, 1))],
-                names=["doc_id", "lang_pred", "score"],
+                [batch.column("doc_id"), batch.column("row_hash"), pa.array(names[best], pa.string()), pa.array(np.clip(score, 0, 1))],
+                names=["doc_id", "row_hash", "lang_pred", "score"],
             )
 
     lettered = F.coalesce(F.col("text").rlike("\\p{L}"), F.lit(False)).alias("lettered")
-    rows = docs.select("doc_id", "text", lettered)
+    rows = docs.select("doc_id", row_hash(F.col("text")).alias("row_hash"), "text", lettered)
     if network is None:
-        return rows.select("doc_id", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
+        return rows.select("doc_id", "row_hash", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"doc_id {kind}, row_hash bigint, lang_pred string, score double")
 
 
 def language_id(docs: DataFrame, per_language: int = 1200) -> DataFrame:
@@ -252,5 +254,4 @@ def language_id(docs: DataFrame, per_language: int = 1200) -> DataFrame:
 def keep_identified(docs: DataFrame, least: float = 0.3, per_language: int = 1200) -> DataFrame:
     """The documents whose language was found with a score of ``least`` or more, with the columns they came with."""
     found = predict(docs, fitted(docs, per_language))
-    gone = found.where((F.col("lang_pred") == UNKNOWN) | (F.col("score") < least)).select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone_id"]), "left_anti")
+    return without_rows(docs, found.where((F.col("lang_pred") == UNKNOWN) | (F.col("score") < least)))

@@ -17,7 +17,7 @@ each register, and the share of equal registers grows with the similarity of two
 6. All documents get the component of their class.
 
 Defined cases: null, empty or blank texts have empty sets, link with nothing and stay; fewer words than a shingle form
-one shingle; rows that repeat a ``doc_id`` are one document, whose row each get the result; rows without ``doc_id`` link
+one shingle; rows that repeat a ``doc_id`` each get the result of their own text; rows without ``doc_id`` link
 with nothing and stay; an empty table gives an empty result. Other columns are never read. Shingles are compared by
 64-bit hashes.
 """
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from riskframe.llm import hashing
 from riskframe.llm.components import components
-from riskframe.llm.tables import written
+from riskframe.llm.tables import row_hash, without_rows, written
 
 BANDS, ROWS = 32, 4
 REGISTERS = BANDS * ROWS
@@ -71,7 +71,7 @@ def registers(smallest: np.ndarray) -> np.ndarray:
 
 
 def sketches(size: int):
-    """Rows (doc_id, n_shingles, set_sum, set_mix, sketch) of the documents."""
+    """Rows (doc_id, row_hash, n_shingles, set_sum, set_mix, sketch) of the documents."""
 
     def run(batches):
         for batch in hashing.slices(batches):
@@ -90,12 +90,13 @@ def sketches(size: int):
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
+                    batch.column("row_hash"),
                     pa.array(n.astype(np.int64)),
                     pa.array(total.view(np.int64)),
                     pa.array(mixed.view(np.int64)),
                     pa.array([r.tobytes() for r in rows], pa.binary()),
                 ],
-                names=["doc_id", "n_shingles", "set_sum", "set_mix", "sketch"],
+                names=["doc_id", "row_hash", "n_shingles", "set_sum", "set_mix", "sketch"],
             )
 
     return run
@@ -241,14 +242,15 @@ def confirmed(size: int, percent: int):
 
 
 def near_links(reps: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """(id, label) of the representatives that have a link; reps has id, n_shingles and sketch."""
+    """(id, label) of the representatives that have a link; reps has id, doc_id, row_hash, n_shingles and sketch."""
     buckets = written(reps.select("id", "sketch").mapInArrow(bands, "bucket bigint, id bigint"), "buckets")
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("company")).where("company > 1")
     members = written(buckets.join(shared, "bucket"), "members")
     degree = members.groupBy("id").agg(F.sum("company").alias("degree"))
     met = written(reps.join(degree, "id"), "met")
-    texts = docs.join(met.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    texts = written(texts.select(F.col("doc_id").alias("id"), "text"), "texts")
+    texts = docs.join(met.select("id", "doc_id", "row_hash"), ["doc_id", "row_hash"]).dropDuplicates(["id"])
+    texts = written(texts.select("id", "text"), "texts")
+    met = met.drop("doc_id", "row_hash")
 
     def linked(pairs: DataFrame) -> DataFrame:
         first, second = (texts.select(F.col("id").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
@@ -286,32 +288,44 @@ def near_links(reps: DataFrame, docs: DataFrame, size: int, percent: int) -> Dat
     return components(links.union(more))
 
 
-def near_dedup(docs: DataFrame, size: int = 2, percent: int = 80) -> DataFrame:
-    """One row per document: doc_id, n_shingles, class_id, component_id, kept."""
-    rows = docs.select(F.col("doc_id").cast("bigint"), "text")
+def verdicts(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """One row per document: doc_id, row_hash, n_shingles, class_id, component_id, kept."""
+    rows = docs.select(F.col("doc_id").cast("bigint"), row_hash(F.col("text")).alias("row_hash"), "text")
     all_rows = rows.mapInArrow(
-        sketches(size), "doc_id bigint, n_shingles bigint, set_sum bigint, set_mix bigint, sketch binary"
+        sketches(size), "doc_id bigint, row_hash bigint, n_shingles bigint, set_sum bigint, set_mix bigint, sketch binary"
     )
     all_rows = written(all_rows, "sketches")
     key = ["set_sum", "set_mix", "n_shingles"]
     filled = all_rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = written(filled.groupBy(*key).agg(F.min("doc_id").alias("class_id")), "classes")
-    reps = filled.join(classes.select(F.col("class_id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    reps = written(reps.select(F.col("doc_id").alias("id"), "n_shingles", "sketch"), "reps")
+    # a document's texts may differ: the first set that it represents has its id, any other one an id of its own
+    classes = filled.groupBy(*key).agg(F.min(F.struct("doc_id", "row_hash")).alias("first"))
+    classes = written(classes.select(*key, F.col("first.doc_id").alias("class_id"), F.col("first.row_hash").alias("row_hash")), "classes")
+    firsts = classes.groupBy("class_id").agg(F.min("row_hash").alias("first_hash"))
+    own_id = F.when(F.col("row_hash") == F.col("first_hash"), F.col("class_id")).otherwise(F.xxhash64("class_id", *key))
+    classes = written(classes.join(firsts, "class_id").select(*key, "class_id", "row_hash", own_id.alias("id")), "classes")
+    known = classes.select("id", F.col("class_id").alias("doc_id"), "row_hash")
+    reps = filled.join(known, ["doc_id", "row_hash"]).dropDuplicates(["id"])
+    reps = written(reps.select("id", "doc_id", "row_hash", "n_shingles", "sketch"), "reps")
     labels = near_links(reps, rows, size, percent)
-    component = classes.join(labels, classes["class_id"] == labels["id"], "left").select(
-        *key, "class_id", F.coalesce("label", "class_id").alias("component_id")
+    labelled = classes.select("id", "class_id").join(labels, "id")
+    smallest = labelled.groupBy("label").agg(F.min("class_id").alias("component_id"))
+    component = classes.drop("row_hash").join(labels, "id", "left").join(smallest, "label", "left").select(
+        *key, "class_id", F.coalesce("component_id", "class_id").alias("component_id")
     )
     own = F.when(F.col("doc_id").isNotNull(), F.col("class_id"))
     found = all_rows.drop("sketch").join(component, key, "left").withColumns(
         {"class_id": F.coalesce(own, "doc_id"), "component_id": F.coalesce(F.when(own.isNotNull(), F.col("component_id")), "doc_id")}
     )
     return found.select(
-        "doc_id", "n_shingles", "class_id", "component_id", F.col("component_id").eqNullSafe(F.col("doc_id")).alias("kept")
+        "doc_id", "row_hash", "n_shingles", "class_id", "component_id", F.col("component_id").eqNullSafe(F.col("doc_id")).alias("kept")
     )
 
 
+def near_dedup(docs: DataFrame, size: int = 2, percent: int = 80) -> DataFrame:
+    """One row per document: doc_id, n_shingles, class_id, component_id, kept."""
+    return verdicts(docs, size, percent).drop("row_hash")
+
+
 def drop_near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80) -> DataFrame:
     """The documents that stay, one of each component, with the columns they came with."""
-    gone = near_dedup(docs, size, percent).where("not kept").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+    return without_rows(docs, verdicts(docs, size, percent).where("not kept"))

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from riskframe import session
 
@@ -32,3 +33,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
         return session.materialise(df, name)
     finally:
         conf.set(CLEAN_UP, before)
+
+
+def row_hash(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def without_rows(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are not in gone (doc_id, row_hash), with their columns.
+
+    A row is its ``doc_id``, null or not, together with its text: other texts of the same ``doc_id`` stay.
+    """
+    keys = gone.select(F.col("doc_id").alias("gone_id"), F.col("row_hash").alias("gone_hash")).distinct()
+    same = docs["doc_id"].eqNullSafe(keys["gone_id"]) & (row_hash(docs["text"]) == keys["gone_hash"])
+    return docs.join(keys, same, "left_anti")

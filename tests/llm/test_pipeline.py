@@ -6,7 +6,7 @@ import public_tokenizers
 import pytest
 
 import corpus_pipeline
-from riskframe.llm import language_id, packing
+from riskframe.llm import exact_dedup, language_id, near_dedup, packing
 from riskframe.llm.tables import written
 from tests.llm.test_near import brute_near
 from tests.llm.test_native import ASSIGN
@@ -65,3 +65,29 @@ def test_odd_tables_pass_through(spark, make_docs):
         out = stage(spark, docs, "")
         assert out.columns == docs.columns
         assert stage(spark, docs.limit(0), "").count() == 0
+
+
+def kept_rows(df):
+    return sorted(((r.doc_id, r.text) for r in df.collect()), key=repr)
+
+
+def test_rows_of_one_id_or_none_are_judged_by_their_own_text(make_docs):
+    base = [f"word{i}" for i in range(200)]
+    near = " ".join([*base[:199], "other"])
+    base = " ".join(base)
+    rows = [(3, "a"), (None, "a"), (None, "unique"), (5, "a"), (5, "b"), (6, "a  b"), (6, "a b"), (7, "a b"), (None, None), (None, "")]
+    out = exact_dedup.drop_duplicates(make_docs(rows))
+    assert kept_rows(out) == sorted([(3, "a"), (None, "unique"), (5, "b"), (6, "a  b"), (6, "a b"), (None, None), (None, "")], key=repr)
+    for repeat in ("a text of its own", base.upper()):  # the second has the set of a smaller id
+        rows = [(1, base), (5, near), (5, repeat), (None, near), (9, near + " end")]
+        want = [(1, base), (None, near)] + [(5, repeat)] * (repeat != base.upper())
+        assert kept_rows(near_dedup.drop_near_duplicates(make_docs(rows))) == sorted(want, key=repr)
+
+
+def test_rows_without_a_language_go_alone(spark, make_docs, sample_docs):
+    spoken = [r for r in sample_docs.where("lang IS NOT NULL").orderBy("doc_id").collect() if len(r.text) > 400]
+    rows = [(r.doc_id, r.text, r.lang) for r in spoken[:120]]
+    text = rows[0][1]
+    odd = [(None, "12 34", None), (None, text, None), (7001, "", None), (7001, text, None), (None, None, None)]
+    out = language_id.keep_identified(make_docs(rows + odd))
+    assert {(None, text), (7001, text)} == {x for x in kept_rows(out) if x[0] in (None, 7001)}
