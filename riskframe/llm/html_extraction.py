@@ -5,7 +5,8 @@ sidebars, notices, adverts, forms, reader comments, scripts and styles are set a
 of ``class``, ``id`` and ``role``. Of the others, text length and punctuation are added up per root-to-leaf path and
 divided by the number of its blocks; both ratios are multiplied, smoothed over neighbouring blocks in page order, and
 blocks above a share of the page's mean are content. So a short paragraph stays with the long ones on its path. The
-text is everything that was not set aside in the deepest element that holds nearly all of the content.
+text is everything that was not set aside in the article or main element around the content; without one, in the deepest
+element that holds all blocks whose own path is above the share, with the running text beside it.
 
 Defined cases: null or empty html and pages without content give an empty text; unclosed and stray tags are tolerated;
 rows that repeat are read one by one; an empty table gives an empty result; text without any element is one block.
@@ -38,6 +39,8 @@ PARENTS = frozenset("ul ol dl table tbody thead tfoot body html div article sect
 MAIN = frozenset(("article", "main"))
 WHOLE = frozenset(("", "html", "body"))
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that are a part of running text, not the whole of it.
+PROSE = HEADINGS | frozenset("p blockquote pre ul ol li dl dt dd figure figcaption".split())
 #: Words of class, id and role that mark what is not the article.
 ASIDE_WORDS = frozenset(
     "ad ads adv advert advertisement adverts advertising adsense banner breadcrumb breadcrumbs comment comments consent cookie "
@@ -58,8 +61,6 @@ UNSEEN = re.compile(r"""\bhidden\b(?!\s*=\s*["']?until)|aria-hidden\s*=\s*["']?t
 PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
 #: Blocks whose smoothed ratio is at least this share of the page's mean are content.
 SHARE = 0.1
-#: The article's element holds at least this share of the content.
-HELD = 0.9
 
 
 def set_aside(name: str, rest: str) -> bool:
@@ -85,13 +86,6 @@ class Elements:
         self.kinds.append(kind)
         return len(self.names) - 1
 
-    def ends(self) -> list[int]:
-        """The last element inside each one."""
-        last = list(range(len(self.names)))
-        for i in range(len(last) - 1, 0, -1):
-            last[self.parents[i]] = max(last[self.parents[i]], last[i])
-        return last
-
 
 def blocks(html: str) -> tuple[Elements, list[tuple[int, str]]]:
     """The elements of a page and the text blocks that were not set aside, in page order: element and text."""
@@ -192,21 +186,40 @@ def main_text(html: str | None) -> str:
     smooth = [(fused[max(0, i - 1)] + 2 * fused[i] + fused[min(len(fused) - 1, i + 1)]) / 4 for i in range(len(fused))]
     sizes = [len(text) for _, text in found]
     level = SHARE * sum(s * n for s, n in zip(smooth, sizes)) / sum(sizes)
-    content = [s >= level for s in smooth]
-    held = [0] * len(elements.names)
-    for (element, text), c in zip(found, content):
-        held[element] += len(text) * c
+    names, parents = elements.names, elements.parents
+    held, prose = [0] * len(names), set()
+    for (element, text), f in zip(found, fused):
+        held[element] += len(text) * (f >= level)  # by the ratio of its own path
+        prose.add(parents[element] if names[element] in PROSE else element)
     for i in range(len(held) - 1, 0, -1):
-        held[elements.parents[i]] += held[i]
-    # the deepest element that holds nearly all of the content
-    holder = max(i for i, n in enumerate(held) if n >= HELD * held[0])
-    # of an article in a single paragraph, the rest stands beside it
-    while elements.names[holder] in HEADINGS | {"p"} and elements.names[elements.parents[holder]] not in WHOLE:
-        holder = elements.parents[holder]
-    if elements.names[holder] in WHOLE:
-        return "\n\n".join(text for (_, text), c in zip(found, content) if c)
-    last = elements.ends()[holder]
-    return "\n\n".join(text for element, text in found if holder <= element <= last)
+        held[parents[i]] += held[i]
+    near, outer = [0] * len(names), [0] * len(names)  # the closest and the outermost article around each element
+    for i in range(1, len(names)):
+        near[i] = i if names[i] in MAIN else near[parents[i]]
+        outer[i] = outer[parents[i]] or near[i]
+    # the deepest element that holds all of the content
+    holder = max(i for i, n in enumerate(held) if n == held[0])
+    articles = {outer[element] for (element, _), f in zip(found, fused) if f >= level and outer[element]}
+    if near[holder]:
+        chosen = {near[holder]}
+    elif articles and 2 * sum(held[i] for i in articles) >= held[0]:
+        chosen = articles
+    else:
+        # of an article with one long block or part, the rest stands beside it
+        while names[holder] not in WHOLE and names[parents[holder]] not in WHOLE and (names[holder] in PROSE or parents[holder] in prose):
+            holder = parents[holder]
+        if names[holder] in WHOLE or (names[holder] in PROSE and parents[holder] in prose):
+            keep = [s >= level for s in smooth]
+            for i in range(len(keep) - 2, -1, -1):  # with the headings above
+                keep[i] = keep[i] or (keep[i + 1] and names[found[i][0]] in HEADINGS)
+            return "\n\n".join(text for (_, text), k in zip(found, keep) if k)
+        chosen = {holder}
+        if parents[holder] in prose:  # of the body or of nothing
+            chosen |= {e for e, _ in found if e == parents[holder] or (parents[e] == parents[holder] and names[e] in PROSE)}
+    within = [False] * len(names)
+    for i in range(len(names)):  # a body among them stands for its own text alone
+        within[i] = i in chosen or (i > 0 and within[parents[i]] and names[parents[i]] not in WHOLE)
+    return "\n\n".join(text for element, text in found if within[element])
 
 
 def extract(pages: DataFrame) -> DataFrame:

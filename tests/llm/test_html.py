@@ -78,3 +78,22 @@ def test_rows(spark):
     full = f"Head\n\n{TEXT}"
     assert got == sorted([(1, "u", full, len(full))] * 2 + [(None, None, "", 0), (2, "v", "", 0)], key=repr)
     assert hx.extract(pages.limit(0)).count() == 0
+
+
+SHORT = "<p>One.</p><p>Two.</p>"
+
+
+@pytest.mark.parametrize(
+    "body,want",
+    [
+        (f"<article><header><h1>Title</h1></header><div class='body'>{BODY * 12}</div><p>End.</p></article>", ["Title", *[TEXT] * 12, "End."]),
+        (f"<article><p>Lede.</p><div>{BODY * 12}</div><div>{BODY}</div></article>", ["Lede.", *[TEXT] * 13]),
+        (f"<div class='m'><div>Home</div></div><div class='x'><div>{BODY * 12}</div><div>{BODY}</div></div>", [TEXT] * 13),
+        (f"<div class='m'><a>Home</a></div><div class='x'>{SHORT}<blockquote>{BODY * 12}</blockquote>{SHORT}</div>", ["One.", "Two.", *[TEXT] * 12, "One.", "Two."]),
+        (f"<div class='x'><h1>Title</h1><div class='y'>{BODY * 12}</div><p>End.</p></div>", ["Title", *[TEXT] * 12, "End."]),
+        (f"<h1>Title</h1><div class='y'>{BODY * 12}</div><p>End.</p>", ["Title", *[TEXT] * 12, "End."]),
+        (f"<article>{BODY * 12}</article><article>{BODY}</article>", [TEXT] * 13),
+    ],
+)
+def test_nothing_beside_the_longest_part_goes(body, want):
+    assert hx.main_text(f"<html><body>{body}</body></html>") == "\n\n".join(want)
