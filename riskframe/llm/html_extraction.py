@@ -2,7 +2,7 @@
 
 A page becomes a list of text blocks, each with the path of its block elements. Blocks inside menus, headers, footers,
 sidebars, notices, adverts, forms, reader comments, scripts and styles are set aside by element name and by the words
-of ``class``, ``id`` and ``role``. Of the others, text length and punctuation are added up per root-to-leaf path and
+of ``class``, ``id`` and ``role``, unless such words stand on the element of the article. Of the others, text length and punctuation are added up per root-to-leaf path and
 divided by the number of its blocks; both ratios are multiplied, smoothed over neighbouring blocks in page order, and
 blocks above a share of the page's mean are content. So a short paragraph stays with the long ones on its path. The
 text is everything that was not set aside in the article or main element around the content; without one, in the deepest
@@ -49,6 +49,16 @@ ASIDE_WORDS = frozenset(
     "sponsored subscribe subscription toolbar topbar widget complementary contentinfo search alert".split()
 )
 
+#: Words that a compound of them may have beside: parts of a page and of its making, never of an article.
+PLACE_WORDS = frozenset(
+    "site page global top bottom left right main primary secondary mobile desktop sticky fixed floating box bar block area list links "
+    "link item items wrap wrapper container inner outer section panel row slot unit google js icon icons button buttons form posts "
+    "media count title heading label text message overlay trail".split()
+)
+TALK = frozenset("comment comments disqus replies respond".split())
+#: How an element is set aside: by its name, by its attributes, or as comments.
+BY_NAME, BY_MARK, BY_TALK = 1, 2, 3
+
 # No alternative looks beyond the next "<" but comments, which end their search: a page is read in linear time.
 MARKUP = re.compile(
     r"""<!--.*?(?:-->|\Z)|<[!?][^<>]*+>|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/<>]*+)(?P<rest>(?:[^<>"']++|"[^"<]*+"|'[^'<]*+')*+)>"""
@@ -56,42 +66,62 @@ MARKUP = re.compile(
     re.S,
 )
 RAW_ENDS = {name: re.compile(rf"</{name}\b[^>]*>", re.I) for name in RAW}
-MARKS = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-UNSEEN = re.compile(r"""\bhidden\b(?!\s*=\s*["']?until)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s=/>"']++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]++)))?""")
+UNSEEN = re.compile(r"display\s*:\s*none", re.I)
 PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
 #: Blocks whose smoothed ratio is at least this share of the page's mean are content.
 SHARE = 0.1
 
 
-def set_aside(name: str, rest: str) -> bool:
-    if name in ASIDE or name in HIDDEN:
+def marks_aside(token: str) -> bool:
+    """Whether a token of class, id or role is one of the words, or a compound of them and of words for places."""
+    if token in ASIDE_WORDS:
         return True
+    parts = [x for x in re.split("[_-]+", token) if x]
+    return len(parts) > 1 and any(x in ASIDE_WORDS for x in parts) and all(x in ASIDE_WORDS or x in PLACE_WORDS for x in parts)
+
+
+def set_aside(name: str, rest: str) -> int:
+    """``BY_NAME``, ``BY_MARK`` for attributes that say so, ``BY_TALK`` for those of comments, or 0."""
+    if name in ASIDE or name in HIDDEN:
+        return BY_NAME
     if not rest or name in ("html", "body"):
-        return False
-    words = (w for m in MARKS.finditer(rest) for w in re.split(r"[\s_-]+", (m[1] or m[2] or m[3] or "").lower()))
-    return any(w in ASIDE_WORDS for w in words) or UNSEEN.search(rest) is not None
+        return 0
+    found = 0
+    for m in ATTRIBUTE.finditer(rest):
+        key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").strip().lower()
+        if key in ("class", "id", "role"):
+            tokens = [x for x in value.split() if marks_aside(x)]
+            if tokens:
+                found = max(found, BY_MARK)
+            if any(not TALK.isdisjoint(re.split("[_-]+", x)) for x in tokens):
+                found = BY_TALK
+        elif (key == "hidden" and value != "until-found") or (key == "aria-hidden" and value == "true") or (key == "style" and UNSEEN.search(value)):
+            found = max(found, BY_MARK)
+    return found
 
 
 class Elements:
-    """The block elements of a page in page order: name, parent and the number that stands for the path of names."""
+    """The block elements of a page in page order: name, parent, how set aside, and the number that stands for the path of names."""
 
     def __init__(self) -> None:
-        self.names, self.parents, self.kinds = [""], [-1], [0]
+        self.names, self.parents, self.kinds, self.asides = [""], [-1], [0], [0]
         self.kind_of: dict[tuple[int, str], int] = {}
 
-    def add(self, name: str, parent: int) -> int:
+    def add(self, name: str, parent: int, aside: int) -> int:
         kind = self.kind_of.setdefault((self.kinds[parent], name), len(self.kind_of) + 1)
         self.names.append(name)
         self.parents.append(parent)
         self.kinds.append(kind)
+        self.asides.append(aside)
         return len(self.names) - 1
 
 
 def blocks(html: str) -> tuple[Elements, list[tuple[int, str]]]:
-    """The elements of a page and the text blocks that were not set aside, in page order: element and text."""
+    """The elements of a page and the text blocks that were not set aside by name, in page order: element and text."""
     elements = Elements()
     out: list[tuple[int, str]] = []
-    path: list[tuple[int, bool]] = [(0, False)]  # open elements; whether the element or one above it is set aside
+    path: list[tuple[int, bool]] = [(0, False)]  # open elements; whether the element or one above it is set aside by name
     open_names: defaultdict[str, int] = defaultdict(int)
     text: list[str] = []
     at = 0
@@ -165,15 +195,54 @@ def blocks(html: str) -> tuple[Elements, list[tuple[int, str]]]:
         parent, dropped = path[-1]
         # the heading of an article may stand in a header of its own
         inside = name == "header" and any(open_names[x] for x in MAIN)
-        path.append((elements.add(name, parent), dropped or (not inside and set_aside(name, rest))))
+        aside = set_aside("", rest) if inside else set_aside(name, rest)
+        path.append((elements.add(name, parent, aside), dropped or aside == BY_NAME))
         open_names[name] += 1
     close_block()
     return elements, out
 
 
+def seen(elements: Elements, found: list[tuple[int, str]]) -> list[tuple[int, str]]:
+    """The blocks outside the elements that attributes set aside.
+
+    Attributes do not set aside the element of the article: one that holds an article or main element, when none outside
+    has as much text; or, without any outside, one that holds most of the weight, or as comments all of it.
+    """
+    names, parents, asides = elements.names, elements.parents, elements.asides
+    if not any(a > BY_NAME for a in asides):
+        return found
+    n = len(names)
+    kinds = [elements.kinds[element] for element, _ in found]
+    length, count = defaultdict(int), defaultdict(int)
+    for kind, (_, text) in zip(kinds, found):
+        length[kind] += len(text)
+        count[kind] += 1
+    weight, articles, near, out = [0.0] * n, [0.0] * n, [False] * n, [False] * n
+    for i in range(1, n):
+        near[i] = near[parents[i]] or names[i] in MAIN
+        out[i] = out[parents[i]] or asides[i] > 0
+    outside = 0.0  # weight of articles beyond all that could be set aside
+    for kind, (element, text) in zip(kinds, found):
+        value = len(text) * length[kind] / count[kind]
+        weight[element] += value
+        articles[element] += value * near[element]
+        outside += value * (near[element] and not out[element])
+    for i in range(n - 1, 0, -1):
+        weight[parents[i]] += weight[i]
+        articles[parents[i]] += articles[i]
+    gone = [False] * n
+    for i in range(1, n):
+        gone[i] = gone[parents[i]]
+        if not gone[i] and asides[i] > BY_NAME:
+            most = 2 * weight[i] > weight[0] if asides[i] == BY_MARK else weight[i] >= weight[0] * (1 - 1e-9)
+            gone[i] = not (articles[i] > outside if articles[i] else not outside and most)
+    return [(element, text) for element, text in found if not gone[element]]
+
+
 def main_text(html: str | None) -> str:
     """The article of a page: its blocks, joined by empty lines."""
     elements, found = blocks(html or "")
+    found = seen(elements, found)
     if not found:
         return ""
     kinds = [elements.kinds[element] for element, _ in found]

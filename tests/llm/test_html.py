@@ -97,3 +97,28 @@ SHORT = "<p>One.</p><p>Two.</p>"
 )
 def test_nothing_beside_the_longest_part_goes(body, want):
     assert hx.main_text(f"<html><body>{body}</body></html>") == "\n\n".join(want)
+
+
+@pytest.mark.parametrize(
+    "attribute",
+    [
+        "class='overflow-hidden'", "class='md:hidden'", "aria-hidden='false'", "title='The hidden cost'", "data-x='display:none'", "hidden=until-found",
+        "class='no-sidebar'", "class='has-sidebar'", "class='with-comments'", "class='article-header'", "class='share-price'",
+        "class='sidebar'", "id=banner", "class='comments'", "aria-hidden=true",
+    ],
+)
+@pytest.mark.parametrize("inner", [f"<article>{BODY * 2}</article>", BODY * 2])
+def test_attributes_do_not_set_the_article_aside(attribute, inner):
+    assert hx.main_text(f"<body><div {attribute}>{inner}<div class='ads'>Buy.</div></div></body>") == f"{TEXT}\n\n{TEXT}"
+
+
+@pytest.mark.parametrize("attribute", ["hidden", "HIDDEN=''", "aria-hidden='true'", "style='color: red; display:none'", "class='site-footer big'", "id='top_bar-ad'", "class='comments-area'"])
+def test_marked_elements_go(attribute):
+    assert hx.main_text(f"<body><div class='x'>{BODY * 3}<div {attribute}>{BODY}</div></div></body>") == "\n\n".join([TEXT] * 3)
+    talk = f"<section {attribute}>{BODY}<article><p>Teaser.</p></article></section>"
+    assert hx.main_text(f"<body><article>{BODY * 3}</article>{talk}</body>") == "\n\n".join([TEXT] * 3)
+
+
+def test_parts_of_an_article_with_words_of_marks_stay():
+    inside = "<div class='article-header'><h2>Sub</h2></div><div class='share-price'><p>Up.</p></div><div title='hidden'><p>Cost.</p></div>"
+    assert hx.main_text(page(inside=inside)) == f"Head\n\n{TEXT}\n\nSub\n\nUp.\n\nCost."
