@@ -86,7 +86,7 @@ def pipeline(kind: str, features: Sequence[str] = FEATURES, label: str = "target
     stages = [VectorAssembler(inputCols=list(features), outputCol="raw_features", handleInvalid="keep")]
     common = {"labelCol": label, "weightCol": "weight"}
     if kind == "boosted":
-        given = {"maxDepth": 5, "stepSize": 0.03, "subsamplingRate": 0.7, "maxIter": 50, "seed": 42, **params}
+        given = {"maxDepth": 5, "stepSize": 0.03, "subsamplingRate": 0.7, "maxIter": 500, "seed": 42, **params}
         stages.append(GBTClassifier(featuresCol="raw_features", **common, **given))
     elif kind == "logistic":
         stages.append(StandardScaler(inputCol="raw_features", outputCol="features", withMean=True))

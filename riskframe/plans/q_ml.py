@@ -190,7 +190,7 @@ def ml7_minmax(spark, d):
 
 @query("ml8_time_series_cv")
 def ml8(spark, d):
-    return rounded(ml.cross_validate(stored(spark, d), "logistic"), 4)
+    return rounded(ml.cross_validate(stored(spark, d), "boosted"), 4)
 
 
 @query(

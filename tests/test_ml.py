@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from riskframe.operators import ml
+from riskframe.plans import q_ml
 from tests.conftest import days, wave
 
 COLS = ["f1", "f2", "f3"]
@@ -174,3 +175,14 @@ def test_rolling_forecasts(make_bars):
 def test_run_metadata(table):
     row = ml.run_metadata(ml.temporal_split(table), {"auc": 0.8}).first()
     assert row["train_samples"] + row["test_samples"] == 600 and '"auc":0.8' in row["json"]
+
+
+def test_boosted_models_train_all_rounds_of_the_reference(spark, monkeypatch):
+    stage = ml.pipeline("boosted", COLS).getStages()[-1]
+    assert (stage.getMaxIter(), stage.getStepSize(), stage.getMaxDepth()) == (500, 0.03, 5)
+    kinds = []
+    monkeypatch.setattr(q_ml, "stored", lambda *args: None)
+    monkeypatch.setattr(q_ml, "rounded", lambda df, digits: df)
+    monkeypatch.setattr(ml, "cross_validate", lambda df, kind="boosted", **params: kinds.append((kind, params)))
+    q_ml.ml8(spark, "")
+    assert kinds == [("boosted", {})]
