@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskframe.llm import byte_bpe, exact_dedup, hmm_scoring, html_extraction, language_id, near_dedup, packing, quality_rules, secret_scan, sql, substring_dedup
+from riskframe.llm import byte_bpe, conversation_repair, exact_dedup, hmm_scoring, html_extraction, language_id, near_dedup, packing, quality_rules, secret_scan, sql, substring_dedup
 from riskframe.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,3 +94,9 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_hmm_scoring")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm_scoring.hmm_scores(table(spark, sf_dir, "documents"))
+
+
+@query("op11_conversation_repair", sql.CONVERSATION_REPAIR)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = conversation_repair.damaged(table(spark, sf_dir, "conversations"))
+    return conversation_repair.repair_report(rows, "present")

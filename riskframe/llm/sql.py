@@ -159,3 +159,82 @@ SELECT doc_id, CAST(coalesce(n_assign, 0) AS BIGINT) AS n_assign, CAST(coalesce(
        CAST(coalesce(n_owned, 0) AS BIGINT) AS n_owned
 FROM d LEFT JOIN g USING (k)
 """
+
+CRC = r"""
+crc AS (
+  SELECT list(list_reduce([k, 0, 1, 2, 3, 4, 5, 6, 7], lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)
+              ORDER BY k) AS t
+  FROM (SELECT unnest(generate_series(0, 255)) AS k))"""
+
+#: The checksum of the list of bytes {bytes}, with the table t of ``CRC``.
+CRC_OF = "xor(list_reduce(list_concat([4294967295], {bytes}), lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)])), 4294967295)"
+
+CONVERSATION_REPAIR = r"""
+WITH RECURSIVE""" + CRC + r""",
+raw AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         """ + CRC_OF.format(bytes="list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: ascii(x)::BIGINT)") + r""" % 20 AS kind
+  FROM conversations, crc),
+dam AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM (SELECT *, unnest(CASE kind WHEN 3 THEN [0, 1] ELSE [0] END) AS again FROM raw WHERE kind <> 0)),
+num AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS nth
+  FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM dam)),
+flt AS (
+  SELECT *, left(role, 1) AS ini,
+         CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN nth > 1 THEN 'duplicate'
+              WHEN regexp_matches(text, '[^\x20\x09-\x0D.!?][\x20\x09-\x0D]*$') THEN 'truncated' ELSE '' END AS fault,
+         lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS was,
+         count(*) OVER (PARTITION BY conv_id) AS n
+  FROM num),
+ins(s, s2, ic, il) AS (
+  VALUES (0, 0, 0, ''), (1, 1, 0, ''), (2, 2, 0, ''), (3, 3, 0, ''), (0, 2, 3, 'I'), (0, 3, 6, 'II'), (1, 2, 3, 'I'), (1, 3, 6, 'II'),
+         (2, 3, 3, 'I'), (3, 2, 3, 'I')),
+edit(s2, ini, letter, ec, s3) AS (
+  SELECT s, NULL::VARCHAR, 'D', 4, s FROM (VALUES (0), (1), (2), (3)) AS x(s)
+  UNION ALL SELECT s, NULL::VARCHAR, 'R', 3, CASE s WHEN 2 THEN 3 ELSE 2 END FROM (VALUES (0), (1), (2), (3)) AS x(s)
+  UNION ALL VALUES (0, 's', 'K', 0, 1), (0, 'u', 'K', 0, 2), (1, 'u', 'K', 0, 2), (2, 'a', 'K', 0, 3), (3, 'u', 'K', 0, 2)),
+dp(conv_id, i, s, best) AS (
+  SELECT conv_id, 0::BIGINT, 0, {'cost': 0::BIGINT, 'audit': ''} FROM (SELECT DISTINCT conv_id FROM flt)
+  UNION ALL
+  SELECT f.conv_id, f.i, e.s3,
+         min({'cost': (dp.best.cost + ins.ic + e.ec + CASE WHEN e.letter <> 'D' AND f.fault = 'truncated' THEN 3 ELSE 0 END)::BIGINT,
+              'audit': dp.best.audit || ins.il || e.letter})
+  FROM dp JOIN flt f ON f.conv_id IS NOT DISTINCT FROM dp.conv_id AND f.i = dp.i + 1 JOIN ins ON ins.s = dp.s
+       JOIN edit e ON e.s2 = ins.s2 AND (e.ini IS NULL OR e.ini = f.ini) AND (e.letter = 'D' OR f.fault NOT IN ('blank', 'duplicate'))
+  GROUP BY f.conv_id, f.i, e.s3),
+fin AS (
+  SELECT dp.conv_id, min({'cost': (dp.best.cost + ins.ic)::BIGINT, 'audit': dp.best.audit || ins.il}) AS best
+  FROM dp JOIN ins ON ins.s = dp.s AND ins.s2 IN (0, 3)
+       JOIN (SELECT DISTINCT conv_id, n FROM flt) l ON l.conv_id IS NOT DISTINCT FROM dp.conv_id AND l.n = dp.i
+  GROUP BY dp.conv_id),
+spell AS (
+  SELECT conv_id, best.audit AS a, unnest(generate_series(1, length(best.audit))) AS p FROM fin),
+line AS (
+  SELECT s.conv_id, s.p, substr(s.a, s.p, 1) AS letter, f.role, coalesce(f.text, '') AS text,
+         row_number() OVER (PARTITION BY s.conv_id ORDER BY s.p) AS q,
+         first_value(substr(s.a, s.p, 1) = 'K' AND f.ini = 's') OVER (PARTITION BY s.conv_id ORDER BY s.p) AS sys
+  FROM spell s LEFT JOIN flt f ON f.conv_id IS NOT DISTINCT FROM s.conv_id AND substr(s.a, s.p, 1) <> 'I'
+       AND f.i = length(replace(substr(s.a, 1, s.p), 'I', ''))
+  WHERE substr(s.a, s.p, 1) <> 'D'),
+mended AS (
+  SELECT conv_id, sha256(string_agg(
+           CASE WHEN letter = 'K' THEN role WHEN (q - CASE WHEN sys THEN 1 ELSE 0 END) % 2 = 1 THEN 'user' ELSE 'assistant' END
+           || ':' || text, chr(10) ORDER BY p)) AS h
+  FROM line GROUP BY conv_id),
+cnt AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+         count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+         count(*) FILTER (fault = 'truncated') AS truncated,
+         count(*) FILTER (i > 1 AND was || ini NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM flt GROUP BY conv_id)
+SELECT k.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+       coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(best.cost, 0)::BIGINT AS cost,
+       coalesce(best.audit, '') AS audit, coalesce(h, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) k
+     LEFT JOIN cnt ON cnt.conv_id IS NOT DISTINCT FROM k.conv_id
+     LEFT JOIN fin ON fin.conv_id IS NOT DISTINCT FROM k.conv_id
+     LEFT JOIN mended ON mended.conv_id IS NOT DISTINCT FROM k.conv_id
+"""
