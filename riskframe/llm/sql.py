@@ -238,3 +238,34 @@ FROM (SELECT DISTINCT conv_id FROM conversations) k
      LEFT JOIN fin ON fin.conv_id IS NOT DISTINCT FROM k.conv_id
      LEFT JOIN mended ON mended.conv_id IS NOT DISTINCT FROM k.conv_id
 """
+
+SPELLING_VARIANTS = r"""
+WITH RECURSIVE""" + CRC + r""",
+run AS (
+  SELECT doc_id, translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n
+  FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS x FROM documents WHERE text IS NOT NULL)
+  GROUP BY ALL),
+chk AS (
+  SELECT run, n, """ + CRC_OF.format(bytes="list_transform(range(1, 1 + octet_length(b)), lambda i: ('0x' || substr(hex(b), 2 * i - 1, 2))::BIGINT)") + r""" AS h
+  FROM (SELECT *, encode(coalesce(doc_id::VARCHAR, '') || ':' || run) AS b FROM run), crc),
+w AS (
+  SELECT word, sum(n)::BIGINT AS n
+  FROM (SELECT CASE WHEN h % 199 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM chk)
+  WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+del AS (
+  SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS d FROM (SELECT *, unnest(generate_series(1, length(word))) AS i FROM w)),
+near AS (
+  SELECT a.word AS word, b.word AS near, b.n AS near_n FROM del a JOIN del b ON a.d = b.d AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM del a JOIN w b ON a.d = b.word
+  UNION SELECT b.word, a.word, a.n FROM del a JOIN w b ON a.d = b.word),
+f AS (
+  SELECT w.word, w.n, coalesce(x.n_near, 0) AS n_near, CASE WHEN x.near_n >= 5 * w.n THEN x.near END AS form,
+         CASE WHEN x.near_n >= 5 * w.n THEN x.near_n END AS form_n
+  FROM w LEFT JOIN (
+    SELECT word, count(*) AS n_near, arg_min(near, {'k': -near_n, 'w': near}) AS near, max(near_n) AS near_n FROM near GROUP BY word) x
+  USING (word)),
+r(word, root, more) AS (
+  SELECT word, word, form FROM f
+  UNION ALL SELECT r.word, f.word, f.form FROM r JOIN f ON f.word = r.more)
+SELECT f.word, f.form, r.root, f.n, f.n_near, f.form_n FROM f JOIN r ON r.word = f.word AND r.more IS NULL
+"""
