@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskframe.llm import byte_bpe, conversation_repair, exact_dedup, hmm_scoring, html_extraction, language_id, near_dedup, packing, quality_rules, secret_scan, spelling_variants, sql, substring_dedup
+from riskframe.llm import byte_bpe, conversation_repair, exact_dedup, hmm_scoring, html_extraction, language_id, near_dedup, packing, quality_classifier, quality_rules, secret_scan, spelling_variants, sql, substring_dedup
 from riskframe.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -105,3 +105,8 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_spelling_variants", sql.SPELLING_VARIANTS)
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+@query("op13_quality_classifier")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
