@@ -28,19 +28,21 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(BASE))
-LOWER = BYTE.copy()
-LOWER[65:91] = BYTE[97:123]
+#: Upper-case ASCII letters as lower-case ones.
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+#: The lowest k bytes of a lane.
+MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
-_powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
+_places = mix(np.arange(1, 1 << 10, dtype=np.uint64) * np.uint64(BASE))
 
 
-def _power(kind: str, n: int) -> np.ndarray:
-    if len(_powers[kind]) < n:
-        steps = np.full(max(n, 1 << 16), BASE if kind == "up" else INVERSE, np.uint64)
-        steps[0] = 1
-        _powers[kind] = np.multiply.accumulate(steps)
-    return _powers[kind][:n]
+def _place_keys(n: int) -> np.ndarray:
+    """A number for each of the first ``n`` lanes of a word."""
+    global _places
+    if len(_places) < n:
+        _places = mix(np.arange(1, 2 * n, dtype=np.uint64) * np.uint64(BASE))
+    return _places[:n]
 
 
 @dataclass
@@ -59,11 +61,40 @@ class Words:
         """The document, by its place in the run, of each word."""
         return np.repeat(np.arange(len(self.first) - 1), self.counts())
 
-    def hashes(self, table: np.ndarray = BYTE) -> np.ndarray:
-        n = len(self.data)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(table[self.data] * _power("up", n), out=sums[1:])
-        return mix((sums[self.ends] - sums[self.starts]) * _power("down", n + 1)[self.starts])
+    def lanes(self, table: np.ndarray | None = None) -> "Lanes":
+        """The bytes of each word, eight at a time; ``table`` replaces bytes first."""
+        return Lanes.of(self.data if table is None else table[self.data], self.starts, self.ends)
+
+    def hashes(self, table: np.ndarray | None = None) -> np.ndarray:
+        """One number per word, from its lanes and their places in it, each mixed before they are added up."""
+        if not len(self.starts):
+            return np.zeros(0, np.uint64)
+        lanes = self.lanes(table)
+        mixed = mix(lanes.values ^ _place_keys(int(lanes.number.max()))[lanes.place])
+        sums = mixed if len(mixed) == len(self.starts) else np.add.reduceat(mixed, lanes.first)
+        return mix(sums + (self.ends - self.starts).astype(np.uint64) * np.uint64(BASE))
+
+
+@dataclass
+class Lanes:
+    """Eight bytes each of a run of words: their values, the first lane and the number of lanes of each word."""
+
+    values: np.ndarray
+    place: np.ndarray
+    first: np.ndarray
+    number: np.ndarray
+
+    @staticmethod
+    def of(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> "Lanes":
+        number = (ends - starts + 7) >> 3
+        upto = np.cumsum(number)
+        first = upto - number
+        place = np.arange(upto[-1]) - np.repeat(first, number)
+        at = np.repeat(starts, number) + 8 * place
+        padded = np.concatenate([data, np.zeros(8, np.uint8)])
+        every = np.ndarray((len(data) + 1,), np.dtype("<u8"), padded, strides=(1,))
+        values = every[at] & MASKS[np.minimum(np.repeat(ends, number) - at, 8)]
+        return Lanes(values, place, first, number)
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -4,7 +4,7 @@ Byte-level vocabularies split a text at every start of white space before a word
 joins the word; and at every change from a letter or digit to punctuation that ends a word. So the ids of a text are
 those of its units: the white space before a word together with the word, the punctuation after it, the white space at
 the end. Texts with white space beyond ``\\x20`` and ``\\x09``-``\\x0D`` are one unit.
-Units are known by a 64-bit hash of their bytes.
+Units are known by their bytes; a 64-bit hash only finds the equal ones of a batch, which are then compared.
 """
 
 from __future__ import annotations
@@ -61,6 +61,26 @@ def units(column: pa.Array) -> hashing.Words:
     return hashing.Words(data, starts, ends, np.searchsorted(starts, at))
 
 
+def distinct(parts: hashing.Words) -> tuple[np.ndarray, np.ndarray]:
+    """Places of units that stand for all equal ones, and for each unit the place in that list of the one like it.
+
+    Units of one hash are compared with the one that stands for them; any that differ stand for themselves.
+    """
+    _, sample, inverse = np.unique(parts.hashes(), return_index=True, return_inverse=True)
+    lanes = parts.lanes()
+    like = sample[inverse]
+    length = parts.ends - parts.starts
+    same = length == length[like]
+    checked = np.flatnonzero(same)
+    number = lanes.number[checked]
+    own, other = spread(lanes.first[checked], number), spread(lanes.first[like[checked]], number)
+    differ = lanes.values[own] != lanes.values[other]
+    same[np.repeat(checked, number)[differ]] = False
+    odd = np.flatnonzero(~same)
+    inverse[odd] = len(sample) + np.arange(len(odd))
+    return np.concatenate([sample, odd]), inverse
+
+
 class Encoder:
     """Ids of text columns, with the ids of the units seen so far. At most ``most`` units are kept."""
 
@@ -69,13 +89,13 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.slot: dict[int, int] = {}
+        self.slot: dict[bytes, int] = {}
         self.pool = np.zeros(1 << 16, np.int32)
         self.begin = np.zeros(1 << 14, np.int64)
         self.length = np.zeros(1 << 14, np.int64)
         self.used = 0
 
-    def _add(self, keys: list[int], texts: list[str]) -> None:
+    def _add(self, keys: list[bytes], texts: list[str]) -> None:
         lists = self.encode(texts)
         lengths = np.fromiter(map(len, lists), np.int64, len(lists))
         total, n = int(lengths.sum()), len(self.slot)
@@ -94,18 +114,14 @@ class Encoder:
         parts = units(column)
         if not len(parts.starts):
             return np.zeros(0, np.int32), np.zeros(len(column) + 1, np.int64)
-        known, sample, inverse = np.unique(parts.hashes(), return_index=True, return_inverse=True)
-        if len(self.slot) + len(known) > self.most or self.used > 8 * self.most:
+        sample, inverse = distinct(parts)
+        if len(self.slot) + len(sample) > self.most or self.used > 8 * self.most:
             self.clear()
-        keys = known.tolist()
-        new = [k for k, key in enumerate(keys) if key not in self.slot]
+        raw = parts.data.tobytes()
+        keys = [raw[a:b] for a, b in zip(parts.starts[sample].tolist(), parts.ends[sample].tolist())]
+        new = [key for key in keys if key not in self.slot]
         if new:
-            raw = parts.data.tobytes()
-            at = sample[new]
-            self._add(
-                [keys[k] for k in new],
-                [raw[a:b].decode("utf-8", "replace") for a, b in zip(parts.starts[at].tolist(), parts.ends[at].tolist())],
-            )
+            self._add(new, [key.decode("utf-8", "replace") for key in new])
         slots = np.fromiter(map(self.slot.__getitem__, keys), np.int64, len(keys))[inverse]
         lengths = self.length[slots]
         offsets = np.concatenate([np.zeros(1, np.int64), np.cumsum(lengths)])[parts.first]

@@ -12,7 +12,7 @@ import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
-from riskframe.llm import byte_bpe, packing, units
+from riskframe.llm import byte_bpe, hashing, near_dedup, packing, substring_dedup, units
 
 RANKS = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 JSON = packing.read_vocabulary(public_tokenizers.path("byte_bpe_50k.json"))
@@ -137,3 +137,40 @@ def test_empty_table(make_docs):
     empty = make_docs([(1, "x")]).limit(0)
     assert packing.pack(empty, JSON).count() == 0
     assert byte_bpe.decode(byte_bpe.encode(empty, RANKS, public_tokenizers.PATTERN), RANKS).count() == 0
+
+
+def thue_morse(letters: str, doublings: int = 10) -> str:
+    word = letters[0]
+    for _ in range(doublings):
+        word += word.translate(str.maketrans(letters, letters[::-1]))
+    return word
+
+
+def test_words_that_polynomial_hashes_confuse(spark, make_docs, reference, tokenizer):
+    """Pairs of long words that agree in every polynomial hash modulo 2**64."""
+    pairs = [(thue_morse("ab", k), thue_morse("ba", k)) for k in (10, 11)] + [(thue_morse("xy") + "z", thue_morse("yx") + "z")]
+    for a, b in pairs:
+        got = hashing.split_words(pa.array([f"{a} {b} {a[:8]} {a[:8]}\x00 {a}"])).hashes().tolist()
+        assert got[0] != got[1] and got[2] != got[3] and got[0] == got[4]
+    texts = [(i, w) for i, w in enumerate(w for pair in pairs for w in pair)]
+    encoded = byte_bpe.encode(make_docs(texts).coalesce(1), RANKS, public_tokenizers.PATTERN)
+    for r in byte_bpe.decode(encoded, RANKS).collect():
+        text = dict(texts)[r["doc_id"]]
+        assert bytes(r["decoded"]).decode() == text and list(r["ids"]) == reference.encode_ordinary(text)
+    whole = {i: tokenizer.encode(w, add_special_tokens=False).ids for i, w in texts}
+    for r in packing.pack(make_docs(texts).coalesce(1), JSON).collect():
+        ids = whole[r["doc_id"]] + [0]
+        assert r["ids_crc32"] == zlib.crc32(np.array(ids[r["start"] : r["start"] + r["length"]], "<u4").tobytes())
+    near = near_dedup.near_dedup(make_docs(texts)).collect()
+    assert all(r["component_id"] == r["doc_id"] for r in near)
+    spaced = [(i, " ".join([w] * 14)) for i, w in texts]
+    assert {r["n_removed"] for r in substring_dedup.substring_dedup(make_docs(spaced)).collect()} == {0}
+
+
+def test_units_of_one_hash_are_compared(monkeypatch):
+    monkeypatch.setattr(hashing.Words, "hashes", lambda self, table=None: np.zeros(len(self.starts), np.uint64))
+    encoder = units.Encoder(lambda texts: [list(t.encode()) for t in texts])
+    texts = ["one two, one twice", "", "one two\n", "a" * 40 + " " + "a" * 39 + "b"]
+    for _ in range(2):
+        ids, offsets = encoder.ids(pa.array(texts))
+        assert [bytes(ids[a:b].tolist()).decode() for a, b in zip(offsets, offsets[1:])] == texts
