@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
+from riskframe.operators import boosting
 from riskframe.operators import cross_section as xs
 from riskframe.operators import ml
 from riskframe.operators import rolling as rl
@@ -12,7 +14,7 @@ from riskframe.plans import q_relational as _shared  # noqa: F401 - defines shar
 from riskframe.plans.q_core import latest_features as formula_inputs
 from riskframe.plans.q_windows import W, _ahead_vol, _vol_sql
 from riskframe.plans.sqlkit import cte, query, rounded, sql_cols, using
-from riskframe.session import materialise
+from riskframe.session import materialise, shared_dir
 from riskframe.sources import domain as dom
 from riskframe.sources.domain import AS_OF
 
@@ -148,7 +150,9 @@ def _train_and_score(spark, d, kind, **params):
 
 @query("ml5_boosted_trees")
 def ml5(spark, d):
-    return _train_and_score(spark, d, "boosted")
+    rows = ml.temporal_split(stored(spark, d))
+    model = boosting.fit(rows.where("is_train"), xs.FEATURES)
+    return rounded(ml.binary_metrics(boosting.predict(model, rows.where("NOT is_train"))), 4)
 
 
 @query("ml6_logistic_regression")
@@ -190,7 +194,7 @@ def ml7_minmax(spark, d):
 
 @query("ml8_time_series_cv")
 def ml8(spark, d):
-    return rounded(ml.cross_validate(stored(spark, d), "boosted"), 4)
+    return rounded(ml.boosted_cross_validate(stored(spark, d)), 4)
 
 
 @query(
@@ -279,16 +283,17 @@ def ml12_report(spark, d):
     return rounded(ml.class_report(scored(spark, d)))
 
 
-_FITTED: dict = {}
-
-
 def boosted_on_all(spark, d):
-    """The stored training rows and the boosted model fitted on them, once per session and input."""
-    key = (spark.sparkContext.applicationId, d)
-    if key not in _FITTED:
-        rows = stored(spark, d)
-        _FITTED[key] = rows, ml.fit(rows, "boosted")
-    return _FITTED[key]
+    """The stored training rows and the boosted model fitted on them, kept in the shared folder for rows like these."""
+    rows = stored(spark, d)
+    mark = rows.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64(*rows.columns))).first()
+    path = f"{shared_dir(spark)}/boosted-{mark[0]}-{(mark[1] or 0) & 0xFFFFFFFFFFFFFFFF:016x}"
+    try:
+        return rows, boosting.Boosted.load(spark, path)
+    except AnalysisException:
+        model = boosting.fit(rows, xs.FEATURES)
+        model.save(spark, path)
+        return rows, model
 
 
 @query("ml13_batch_scoring")
@@ -311,19 +316,20 @@ def ml14(spark, d):
 @query("ml14_tree_explanations")
 def ml14_trees(spark, d):
     rows, model = boosted_on_all(spark, d)
-    return ml.drivers(ml.shape_explanations(ml.tree_attributions(model, ml.latest_features(rows))))
+    return ml.drivers(ml.shape_explanations(boosting.attributions(model, ml.latest_features(rows))))
 
 
 @query("ml15_importance_agreement")
 def ml15(spark, d):
     rows, model = boosted_on_all(spark, d)
-    importance = ml.global_importance(ml.tree_attributions(model, rows))
-    return ml.rank_agreement(importance, ml.gain_importance(model, spark))
+    importance = ml.global_importance(boosting.attributions(model, rows))
+    return ml.rank_agreement(importance, boosting.gain_importance(model, spark))
 
 
 @query("ml16_attribution_heatmap")
 def ml16(spark, d):
-    attributed = materialise(_linear_attributions(spark, d), "attributions")
+    rows, model = boosted_on_all(spark, d)
+    attributed = materialise(boosting.attributions(model, ml.latest_features(rows)), "attributions")
     return ml.attribution_heatmap(attributed, ml.strongest_features(attributed))
 
 

@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from riskframe.operators import ml
+from riskframe.operators import boosting, ml
 from riskframe.plans import q_ml
 from tests.conftest import days, wave
 
@@ -177,12 +177,12 @@ def test_run_metadata(table):
     assert row["train_samples"] + row["test_samples"] == 600 and '"auc":0.8' in row["json"]
 
 
-def test_boosted_models_train_all_rounds_of_the_reference(spark, monkeypatch):
+def test_boosted_models_train_all_rounds(monkeypatch):
     stage = ml.pipeline("boosted", COLS).getStages()[-1]
     assert (stage.getMaxIter(), stage.getStepSize(), stage.getMaxDepth()) == (500, 0.03, 5)
-    kinds = []
+    seen = []
     monkeypatch.setattr(q_ml, "stored", lambda *args: None)
     monkeypatch.setattr(q_ml, "rounded", lambda df, digits: df)
-    monkeypatch.setattr(ml, "cross_validate", lambda df, kind="boosted", **params: kinds.append((kind, params)))
-    q_ml.ml8(spark, "")
-    assert kinds == [("boosted", {})]
+    monkeypatch.setattr(ml, "boosted_cross_validate", lambda df, **params: seen.append(params))
+    q_ml.ml8(None, "")
+    assert seen == [{}] and boosting.Parameters().rounds == 500
