@@ -9,7 +9,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riskframe.functions.dates import forecast_dates
@@ -128,9 +128,19 @@ def value_at_risk(
 
 
 def portfolio_var(
-    bars: DataFrame, confidence: float = 0.95, horizon: int = 1, portfolio_value: float = 100_000.0, min_dates: int = 10
+    bars: DataFrame,
+    confidence: float = 0.95,
+    horizon: int = 1,
+    portfolio_value: float = 100_000.0,
+    min_dates: int = 10,
+    as_of: dt.date | None = None,
+    days: int = 90,
 ) -> DataFrame:
-    """VaR and shortfall of the equal-weight portfolio on common dates, and what diversification saves."""
+    """VaR and shortfall of the equal-weight portfolio on common dates, and what diversification saves.
+
+    With ``as_of``, over the bars of the last ``days`` days.
+    """
+    bars = lookback(bars, as_of, days)
     usable = min_history(valid_price(bars), 20)
     port = aligned_returns(usable).groupBy("date").agg(F.avg("ret").alias("ret"))
     df = _tail_measures(port, [], confidence).where(F.col("n") > min_dates)
@@ -163,60 +173,79 @@ def normal(*parts: Column | str) -> Column:
     return radius * F.cos(F.lit(2.0 * math.pi) * uniform(F.lit("a"), *parts))
 
 
-def price_paths(bars: DataFrame, sims: int = 500, horizon: int = 30, seed: int = 42, min_rows: int = 20) -> DataFrame:
-    """Simulated prices (symbol, sim, step, price) under geometric Brownian motion; step 0 is today.
-
-    One row per symbol fans out to its paths; a path is the running sum of its
-    log steps, at most ``horizon`` rows per window. Paths of all symbols share
-    their shocks.
-    """
+def path_parameters(bars: DataFrame, min_rows: int = 20) -> DataFrame:
+    """Drift and deviation of the daily log returns, last close and date per symbol."""
     day = F.datediff("date", F.lit("1970-01-01"))
     logs = valid_price(min_history(bars, min_rows)).withColumn(
         "_lr", F.ln(F.col("close") / F.lag("close").over(by_symbol()))
     )
-    params = logs.groupBy("symbol").agg(
+    return logs.groupBy("symbol").agg(
         F.avg("_lr").alias("mu"),
         F.stddev_pop("_lr").alias("sigma"),
         F.max_by("close", day).alias("last_close"),
         F.max("date").alias("last_date"),
     )
-    grid = params.withColumn("sim", F.explode(F.sequence(F.lit(0), F.lit(sims - 1)))).withColumn(
-        "step", F.explode(F.sequence(F.lit(0), F.lit(horizon)))
-    )
+
+
+def shared_shocks(spark: SparkSession, sims: int, horizon: int, seed: int) -> DataFrame:
+    """Sums of the shocks (sim, step, w) up to each step of each simulation; 0 at step 0. All symbols share them."""
+    steps = spark.range(sims).select(F.col("id").cast("int").alias("sim"), F.explode(F.sequence(F.lit(0), F.lit(horizon))).alias("step"))
     shock = normal(F.lit(str(seed)), F.col("sim").cast("string"), F.col("step").cast("string"))
+    path = Window.partitionBy("sim").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
+    return steps.select("sim", "step", F.sum(F.when(F.col("step") == 0, 0.0).otherwise(shock)).over(path).alias("w"))
+
+
+def _price(w: Column) -> Column:
     drift = F.col("mu") - F.col("sigma") * F.col("sigma") * 0.5
-    move = F.when(F.col("step") == 0, F.lit(0.0)).otherwise(drift + F.col("sigma") * shock)
-    path = Window.partitionBy("symbol", "sim").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
-    return grid.withColumn("_move", move).withColumn(
-        "price", F.col("last_close") * F.exp(F.sum("_move").over(path))
-    ).drop("_move")
+    return F.col("last_close") * F.exp(drift * F.col("step") + F.col("sigma") * w)
+
+
+def price_paths(bars: DataFrame, sims: int = 500, horizon: int = 30, seed: int = 42, min_rows: int = 20) -> DataFrame:
+    """Simulated prices (symbol, mu, sigma, last_close, last_date, sim, step, price) under geometric Brownian motion.
+
+    Step 0 is today. Every path of every symbol is a row here; ``monte_carlo`` does without them.
+    """
+    each = path_parameters(bars, min_rows).withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(horizon))))
+    return each.join(shared_shocks(bars.sparkSession, sims, horizon, seed), "step").select(
+        "symbol", "mu", "sigma", "last_close", "last_date", "sim", "step", _price(F.col("w")).alias("price")
+    )
 
 
 BANDS = {"p5": 0.05, "p25": 0.25, "p50": 0.50, "p75": 0.75, "p95": 0.95}
 
 
-def monte_carlo(bars: DataFrame, sims: int = 500, horizon: int = 30, seed: int = 42) -> DataFrame:
-    """Percentile bands per symbol and forecast weekday.
+def monte_carlo(
+    bars: DataFrame, sims: int = 500, horizon: int = 30, seed: int = 42, as_of: dt.date | None = None, days: int = 90
+) -> DataFrame:
+    """Percentile bands per symbol and forecast weekday, from the bars of the last ``days`` days where ``as_of`` is given.
 
-    A group holds one price per simulation, so its exact percentiles are bounded
-    by ``sims``.
+    A price grows with the sum of its shocks, and all symbols share those sums: each step sorts them once, and a band of a
+    symbol is the price at the sums next to its place. Rows are symbols times steps; a step holds ``sims`` numbers.
     """
-    paths = price_paths(bars, sims, horizon, seed)
-    bands = paths.groupBy("symbol", "step").agg(
-        F.percentile("price", F.array(*[F.lit(q) for q in BANDS.values()])).alias("_p"),
-        F.min("price").alias("min_price"),
-        F.max("price").alias("max_price"),
-        F.avg("price").alias("mean_price"),
-        F.max("last_date").alias("last_date"),
-        F.max("mu").alias("daily_drift"),
-        annual(F.max("sigma")).alias("annual_volatility"),
-    )
-    return bands.select(
+    sums = shared_shocks(bars.sparkSession, sims, horizon, seed)
+    sums = sums.groupBy("step").agg(F.array_sort(F.collect_list("w")).alias("_w"))
+    each = path_parameters(lookback(bars, as_of, days)).withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(horizon))))
+    df = each.join(sums, "step")
+
+    def at(place: int) -> Column:
+        return _price(F.col("_w")[place])
+
+    def band(q: float) -> Column:
+        place = (sims - 1) * q
+        low, high = math.floor(place), math.ceil(place)
+        return at(low) if low == high else F.lit(high - place) * at(low) + F.lit(place - low) * at(high)
+
+    total = F.aggregate("_w", F.lit(0.0), lambda s, w: s + _price(w))
+    return df.select(
         "symbol",
         F.col("step").cast("bigint").alias("step"),
         F.element_at(forecast_dates("last_date", horizon), F.col("step") + 1).alias("date"),
-        *[F.col("_p")[i].alias(name) for i, name in enumerate(BANDS)],
-        "min_price", "max_price", "mean_price", "daily_drift", "annual_volatility",
+        *[band(q).alias(name) for name, q in BANDS.items()],
+        at(0).alias("min_price"),
+        at(sims - 1).alias("max_price"),
+        (total / float(sims)).alias("mean_price"),
+        F.col("mu").alias("daily_drift"),
+        annual(F.col("sigma")).alias("annual_volatility"),
     )
 
 

@@ -6,6 +6,7 @@ row's equity moves with the return of its day when the row before it was in.
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from riskframe.functions.numeric import TRADING_DAYS, annual
 from riskframe.operators.filters import min_history, valid_price
 from riskframe.operators.rolling import by_symbol, rows, rolling
+from riskframe.sources.market import within
 
 Strategy = Callable[[DataFrame, Mapping[str, float], str], DataFrame]
 STRATEGIES: dict[str, Strategy] = {}
@@ -212,9 +214,13 @@ def benchmark_returns(merged: DataFrame, capital: float = 10_000.0) -> DataFrame
 
 
 def backtest(
-    bars: DataFrame, grid: Grid = DEFAULT_GRID, capital: float = 10_000.0
+    bars: DataFrame, grid: Grid = DEFAULT_GRID, capital: float = 10_000.0, as_of: dt.date | None = None, days: int = 365
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Equity curves with benchmark, trades and metrics of every run on every symbol."""
+    """Equity curves with benchmark, trades and metrics of every run on every symbol.
+
+    With ``as_of``, over the bars of the last ``days`` days.
+    """
+    bars = bars if as_of is None else within(bars, as_of, days)
     curves = equity_curves(positions(bars, grid), capital)
     merged = with_benchmark(curves, capital)
     metrics = performance(curves, capital).join(benchmark_returns(merged, capital), ["symbol", "strategy"])

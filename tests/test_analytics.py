@@ -1,3 +1,4 @@
+import datetime as dt
 import math
 
 import numpy as np
@@ -10,7 +11,7 @@ from riskframe.operators import analytics as qa
 from riskframe.operators import backtest as bt
 from riskframe.operators.pairs import covariances, pair_moments
 from riskframe.operators.rolling import add_returns
-from tests.conftest import bars_frame, wave
+from tests.conftest import bars_frame, days, wave
 
 PATHS = {f"S{i}": wave(90, i * 0.7, 20.0 + i) for i in range(11)}
 PATHS["S3"][10] = None
@@ -117,6 +118,40 @@ def test_monte_carlo_bands(make_bars):
     assert (later.dt.dayofweek < 5).all()
 
 
+@pytest.mark.parametrize("sims", [1, 7, 50])
+def test_bands_are_those_of_all_paths(make_bars, sims):
+    bars = make_bars({"A": wave(60), "B": wave(60, 1.0), "flat": [10.0] * 40})
+    got = qa.monte_carlo(bars, sims=sims, horizon=6).toPandas().set_index(["symbol", "step"])
+    paths = qa.price_paths(bars, sims=sims, horizon=6).toPandas()
+    assert len(paths) == 3 * 7 * sims and len(got) == 21
+    for key, part in paths.groupby(["symbol", "step"]):
+        row, prices = got.loc[key], part["price"].to_numpy()
+        for name, q in qa.BANDS.items():
+            assert row[name] == pytest.approx(np.quantile(prices, q))
+        assert (row["min_price"], row["max_price"]) == (pytest.approx(prices.min()), pytest.approx(prices.max()))
+        assert row["mean_price"] == pytest.approx(prices.mean())
+    # a path is the running sum of its moves
+    one = paths[(paths["symbol"] == "A") & (paths["sim"] == 0)].sort_values("step")
+    assert one["price"].iloc[0] == pytest.approx(wave(60)[-1])
+
+
+def test_simulation_rows_are_symbols_times_steps(make_bars):
+    plan = qa.monte_carlo(make_bars({"A": wave(60)}), sims=300, horizon=5)._jdf.queryExecution().optimizedPlan().toString()
+    assert "CartesianProduct" not in plan and plan.count("Generate explode") == 2
+    assert qa.monte_carlo(make_bars({"A": wave(60)}), sims=300, horizon=5).count() == 6
+
+
+def test_lookback_of_simulation_risk_and_backtest(make_bars):
+    bars = make_bars({"A": wave(300), "B": wave(300, 1.0)})
+    as_of = days(300)[-1]
+    recent = bars.where(F.col("date") >= F.lit(as_of - dt.timedelta(days=90)))
+    assert qa.monte_carlo(bars, 20, 3, as_of=as_of).collect() == qa.monte_carlo(recent, 20, 3).collect()
+    assert qa.portfolio_var(bars, as_of=as_of).collect() == qa.portfolio_var(recent).collect()
+    curves, _, metrics = bt.backtest(bars, as_of=as_of, days=90)
+    assert curves.agg(F.min("date")).first()[0] >= as_of - dt.timedelta(days=90)
+    assert metrics.count() == bt.backtest(recent)[2].count()
+
+
 def test_moments_match_pandas(make_bars):
     closes = [1.0, 2.0, 2.5, 6.0, 6.6, 5.0]
     row = agg.return_statistics(add_returns(make_bars({"A": closes}))).first()
