@@ -108,20 +108,32 @@ def matrix(batch: pa.RecordBatch) -> np.ndarray:
     return values.flatten().to_numpy(zero_copy_only=False).reshape(len(values), -1).astype(float)
 
 
+#: Tasks that add up the sums of all other tasks, before one adds up theirs.
+ADDERS = 4
+
+
 def summed(rows: DataFrame, part: Callable[[pa.RecordBatch], np.ndarray], size: int) -> np.ndarray:
-    """The sum over all batches of the ``size`` numbers that ``part`` makes of each."""
+    """The sum over all batches of the ``size`` numbers that ``part`` makes of each; each task passes on one row."""
+
+    def added(one: Callable[[pa.RecordBatch], np.ndarray]):
+        def run(batches: Iterator[pa.RecordBatch]):
+            total, any_row = np.zeros(size), False
+            for batch in batches:
+                if batch.num_rows:
+                    total, any_row = total + one(batch), True
+            if any_row:
+                yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
+
+        return run
 
-    def run(batches: Iterator[pa.RecordBatch]):
-        total = np.zeros(size)
-        for batch in batches:
-            if batch.num_rows:
-                total += part(batch)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(size)), pa.array(total)], names=["k", "v"])
+    def rows_of(batch: pa.RecordBatch) -> np.ndarray:
+        return sum(np.frombuffer(v) for v in batch.column("sums").to_pylist())
 
-    out = np.zeros(size)
-    for r in rows.mapInArrow(run, "k bigint, v double").groupBy("k").agg(F.sum("v").alias("v")).toLocalIterator():
-        out[r["k"]] = r["v"]
-    return out
+    sums = rows.mapInArrow(added(part), "sums binary")
+    for tasks in (ADDERS, 1):
+        sums = sums.repartition(tasks).mapInArrow(added(rows_of), "sums binary")
+    found = sums.collect()
+    return np.frombuffer(found[0]["sums"]) if found else np.zeros(size)
 
 
 @dataclass
@@ -153,6 +165,17 @@ def scaling(rows: DataFrame) -> Model:
     return Model(mean, np.where(deviation > 1e-6, 1 / np.maximum(deviation, 1e-6), 0), np.zeros(WIDTH + 1))
 
 
+def _upper(square: np.ndarray) -> np.ndarray:
+    """The upper triangle of a symmetric matrix."""
+    return square[np.triu_indices(len(square))]
+
+
+def _symmetric(upper: np.ndarray, d: int) -> np.ndarray:
+    out = np.zeros((d, d))
+    out[np.triu_indices(d)] = upper
+    return out + np.triu(out, 1).T
+
+
 def risk_sums(z: np.ndarray, positive: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """Numbers of rows, losses, gradients and curvature of the unlabelled rows ``z`` and the positives among them."""
     g = z @ weights
@@ -164,8 +187,8 @@ def risk_sums(z: np.ndarray, positive: np.ndarray, weights: np.ndarray) -> np.nd
             z.T @ p,
             good.T @ q,
             good.T @ (1 - q),
-            ((z * (p * (1 - p))[:, None]).T @ z).ravel(),
-            ((good * (q * (1 - q))[:, None]).T @ good).ravel(),
+            _upper((z * (p * (1 - p))[:, None]).T @ z),
+            _upper((good * (q * (1 - q))[:, None]).T @ good),
         ]
     )
 
@@ -187,8 +210,9 @@ class Risk:
     def of(sums: np.ndarray, d: int) -> "Risk":
         n, m = max(sums[0], 1), max(sums[1], 1)
         v = sums[5 : 5 + 3 * d].reshape(3, d)
-        h = sums[5 + 3 * d :].reshape(2, d, d)
-        return Risk(sums[2] / n, sums[3] / m, sums[4] / m, v[0] / n, v[1] / m, -v[2] / m, h[0] / n, h[1] / m)
+        h = sums[5 + 3 * d :].reshape(2, -1)
+        curvature, curvature_positive = _symmetric(h[0], d) / n, _symmetric(h[1], d) / m
+        return Risk(sums[2] / n, sums[3] / m, sums[4] / m, v[0] / n, v[1] / m, -v[2] / m, curvature, curvature_positive)
 
 
 def non_negative_fit(risk: Callable[[np.ndarray], Risk], prior: float, d: int, ridge: float, rounds: int) -> tuple[np.ndarray, float]:
@@ -239,7 +263,7 @@ def prior_of(unlabelled: np.ndarray, positive: np.ndarray, doubt: float = 0.1) -
 def fitted(rows: DataFrame, ridge: float = 0.03, rounds: int = 30) -> tuple[Model, float] | None:
     """The model and the estimated prior from rows (half, positive, features) outside the held-out part; None without positives."""
     model, d = scaling(rows), WIDTH + 1
-    size = 5 + 3 * d + 2 * d * d
+    size = 5 + 3 * d + d * (d + 1)
 
     def risk_on(part: DataFrame) -> Callable[[np.ndarray], Risk]:
         def risk(weights: np.ndarray) -> Risk:
