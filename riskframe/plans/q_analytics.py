@@ -90,22 +90,6 @@ def qa3(spark, d):
     return rounded(qa.sector_correlation(dom.daily_bars(spark, d), dom.stocks(spark, d)), 5)
 
 
-@query(
-    "qa4_feature_target_correlation",
-    using(
-        "vol21full fwdvol",
-        " UNION ALL ".join(
-            f"SELECT '{c}' AS feature, {sql_cols(f'corr=corr({c}, fwd); abs_corr=abs(corr({c}, fwd))', 5)} FROM vol21full JOIN fwdvol USING (symbol, date)"
-            for c in ("close", "volume", "ret", "volatility_21d")
-        ),
-    ),
-)
-def qa4(spark, d):
-    df = rl.add_volatility(rl.add_returns(dom.daily_bars(spark, d)), {"volatility_21d": (21, None)})
-    df = df.withColumn("log_ret", rl.log_return()).withColumn("fwd", rl.forward_vol_sample())
-    return rounded(qa.feature_correlation(df, ["close", "volume", "ret", "volatility_21d"], "fwd"), 5)
-
-
 cte(
     "vars",
     """SELECT symbol, max(ret) FILTER (WHERE rn = k) AS v, avg(ret) FILTER (WHERE rn <= k) AS es, stddev_pop(ret) AS s, avg(ret) AS m,

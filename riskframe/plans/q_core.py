@@ -146,9 +146,11 @@ def src6(spark, d):
 
 @query("src7_normalise_wide_bars", using("wbars", f"SELECT {BAR_SELECT} FROM wbars"))
 def src7(spark, d):
-    symbols = [f"Brand#{i}" for i in range(1, 26)]
+    weekly = materialise(dom.weekly_bars(spark, d), "weekly")
+    # a wide frame has columns for each symbol, so their names are few enough to list
+    symbols = sorted(r["symbol"] for r in weekly.select("symbol").distinct().toLocalIterator())
     wide = (
-        dom.weekly_bars(spark, d)
+        weekly
         .groupBy(F.col("date").cast("timestamp").alias("Date"))
         .pivot("symbol", symbols)
         .agg(

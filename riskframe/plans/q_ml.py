@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
+from riskframe.operators import aggregates as agg
+from riskframe.operators import analytics as qa
 from riskframe.operators import boosting
 from riskframe.operators import cross_section as xs
 from riskframe.operators import ml
@@ -165,31 +167,51 @@ def ml6_forest(spark, d):
     return _train_and_score(spark, d, "forest")
 
 
-_SCALED = ["rsi_14", "volatility_21d", "sma_cross"]
+def _scaled_sql(centre: str, spread: str, digits: int) -> str:
+    stats = ", ".join(f"{centre.format(c)} AS {c}_0, {spread.format(c)} AS {c}_1" for c in xs.FEATURES)
+    values = "; ".join(f"{c}=coalesce(({c} - {c}_0) / nullif({c}_1, 0), 0)" for c in xs.FEATURES)
+    return using("mltarget", f"SELECT symbol, date, {sql_cols(values, digits)} FROM mltarget, (SELECT {stats} FROM mltarget)")
+
+
+@query("ml7_standard_scaler", _scaled_sql("avg({0})", "stddev_pop({0})", 4))
+def ml7(spark, d):
+    rows = stored(spark, d).select("symbol", "date", *xs.FEATURES)
+    return rounded(ml.scale_columns(rows, rows, xs.FEATURES), 4)
+
+
+@query("ml7_min_max_scaler", _scaled_sql("min({0})", "max({0}) - min({0})", 5))
+def ml7_minmax(spark, d):
+    rows = stored(spark, d).select("symbol", "date", *xs.FEATURES)
+    return rounded(ml.scale_columns(rows, rows, xs.FEATURES, "minmax"), 5)
 
 
 @query(
-    "ml7_standard_scaler",
+    "qa4_feature_target_correlation",
     using(
         "mltarget",
-        f"SELECT symbol, date, {sql_cols('; '.join(f'{c}=({c} - (SELECT avg({c}) FROM mltarget)) / (SELECT stddev_pop({c}) FROM mltarget)' for c in _SCALED), 4)} FROM mltarget",
+        " UNION ALL ".join(
+            f"SELECT '{c}' AS feature, {sql_cols(f'corr=corr({c}, forward_vol_21d); abs_corr=abs(corr({c}, forward_vol_21d))', 5)} FROM mltarget"
+            for c in xs.FEATURES
+        ),
     ),
 )
-def ml7(spark, d):
-    rows = stored(spark, d).select("symbol", "date", *_SCALED)
-    return rounded(ml.scale_columns(rows, rows, _SCALED), 4)
+def qa4(spark, d):
+    return rounded(qa.feature_correlation(labelled(spark, d), xs.FEATURES, "forward_vol_21d"), 5)
 
 
 @query(
-    "ml7_min_max_scaler",
+    "ag17_class_separation",
     using(
         "mltarget",
-        f"SELECT symbol, date, {sql_cols('; '.join(f'{c}=({c} - (SELECT min({c}) FROM mltarget)) / (SELECT max({c}) - min({c}) FROM mltarget)' for c in _SCALED), 5)} FROM mltarget",
+        " UNION ALL ".join(
+            f"""SELECT '{c}' AS feature, {sql_cols(f'mean_positive=avg({c}) FILTER (WHERE target = 1); mean_negative=avg({c}) FILTER (WHERE target = 0); '
+            f'difference=avg({c}) FILTER (WHERE target = 1) - avg({c}) FILTER (WHERE target = 0)', 5)} FROM mltarget"""
+            for c in xs.FEATURES
+        ),
     ),
 )
-def ml7_minmax(spark, d):
-    rows = stored(spark, d).select("symbol", "date", *_SCALED)
-    return rounded(ml.scale_columns(rows, rows, _SCALED, "minmax"), 5)
+def ag17(spark, d):
+    return rounded(agg.class_separation(labelled(spark, d).select("target", *xs.FEATURES), xs.FEATURES), 5)
 
 
 @query("ml8_time_series_cv")

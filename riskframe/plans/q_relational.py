@@ -468,22 +468,6 @@ def ag16(spark, d):
     return rounded(out)
 
 
-@query(
-    "ag17_class_separation",
-    using(
-        "fwd_dd2 vol21",
-        " UNION ALL ".join(
-            f"""SELECT '{c}' AS feature, {sql_cols(f'mean_positive=avg({c}) FILTER (WHERE target = 1); mean_negative=avg({c}) FILTER (WHERE target = 0); '
-            f'difference=avg({c}) FILTER (WHERE target = 1) - avg({c}) FILTER (WHERE target = 0)', 5)} FROM fwd_dd2 JOIN vol21 USING (symbol, date)"""
-            for c in ("ret", "volatility_21d")
-        ),
-    ),
-)
-def ag17(spark, d):
-    df = rl.add_forward_drawdown(vol21(spark, d))
-    return rounded(agg.class_separation(df, ["ret", "volatility_21d"]), 5)
-
-
 cte("fwdvol", f"SELECT symbol, date, {_ahead_vol(1, 21, 'stddev_samp')} AS fwd FROM retv", "retv")
 
 
