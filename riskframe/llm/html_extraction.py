@@ -33,6 +33,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 HIDDEN = frozenset("script style title noscript template svg textarea iframe object select option canvas math head".split())
 RAW = frozenset("script style title textarea iframe".split())
 ASIDE = frozenset("nav header footer aside form button dialog menu fieldset".split())
+#: Of these, those that may be wrapped around a whole page: set aside like elements whose attributes say so.
+WRAPPERS = frozenset("form fieldset dialog header".split())
 #: An open element of these ends when a sibling or a block begins.
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 PARENTS = frozenset("ul ol dl table tbody thead tfoot body html div article section main blockquote".split())
@@ -82,12 +84,12 @@ def marks_aside(token: str) -> bool:
 
 
 def set_aside(name: str, rest: str) -> int:
-    """``BY_NAME``, ``BY_MARK`` for attributes that say so, ``BY_TALK`` for those of comments, or 0."""
-    if name in ASIDE or name in HIDDEN:
+    """``BY_NAME``, ``BY_MARK`` for wrappers and for attributes that say so, ``BY_TALK`` for those of comments, or 0."""
+    if name in HIDDEN or (name in ASIDE and name not in WRAPPERS):
         return BY_NAME
+    found = BY_MARK if name in WRAPPERS else 0
     if not rest or name in ("html", "body"):
-        return 0
-    found = 0
+        return found
     for m in ATTRIBUTE.finditer(rest):
         key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").strip().lower()
         if key in ("class", "id", "role"):
@@ -203,9 +205,9 @@ def blocks(html: str) -> tuple[Elements, list[tuple[int, str]]]:
 
 
 def seen(elements: Elements, found: list[tuple[int, str]]) -> list[tuple[int, str]]:
-    """The blocks outside the elements that attributes set aside.
+    """The blocks outside the elements that attributes, or the names of wrappers, set aside.
 
-    Attributes do not set aside the element of the article: one that holds an article or main element, when none outside
+    They do not set aside the element of the article: one that holds an article or main element, when none outside
     has as much text; or, without any outside, one that holds most of the weight, or as comments all of it.
     """
     names, parents, asides = elements.names, elements.parents, elements.asides

@@ -122,3 +122,21 @@ def test_marked_elements_go(attribute):
 def test_parts_of_an_article_with_words_of_marks_stay():
     inside = "<div class='article-header'><h2>Sub</h2></div><div class='share-price'><p>Up.</p></div><div title='hidden'><p>Cost.</p></div>"
     assert hx.main_text(page(inside=inside)) == f"Head\n\n{TEXT}\n\nSub\n\nUp.\n\nCost."
+
+
+SENTENCES = "".join(f"<p>Sentence {i} of the article, which goes on for a while, with commas.</p>" for i in range(6))
+
+
+@pytest.mark.parametrize("name", ["form", "fieldset", "dialog", "header"])
+def test_page_inside_one_wrapper(name):
+    """A form around the whole page does not take the article with it; one beside or inside the article goes."""
+    article = f"<article><h1>Head</h1>{SENTENCES}</article>"
+    want = hx.main_text(article)
+    assert want.startswith("Head") and want.count("Sentence") == 6
+    assert hx.main_text(f"<body><{name}><nav>Menu one</nav>{article}<button>Send</button></{name}></body>") == want
+    assert hx.main_text(f"<body><{name}><p>Your name, please, and more.</p></{name}>{article}</body>") == want
+    if name != "header":
+        inside = article.replace("</article>", f"<{name}><p>Write to us, if you like.</p></{name}></article>")
+        assert hx.main_text(inside) == want
+    plain = f"<body><{name}><div>{SENTENCES}</div></{name}></body>"
+    assert hx.main_text(plain).count("Sentence") == 6
