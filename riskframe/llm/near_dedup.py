@@ -321,11 +321,11 @@ def verdicts(docs: DataFrame, size: int, percent: int) -> DataFrame:
     )
 
 
-def near_dedup(docs: DataFrame, size: int = 2, percent: int = 80) -> DataFrame:
+def near_dedup(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: doc_id, n_shingles, class_id, component_id, kept."""
     return verdicts(docs, size, percent).drop("row_hash")
 
 
-def drop_near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """The documents that stay, one of each component, with the columns they came with."""
     return without_rows(docs, verdicts(docs, size, percent).where("not kept"))

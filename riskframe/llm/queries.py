@@ -47,7 +47,7 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op6_near_dedup", sql.NEAR_DEDUP)
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+    return near_dedup.near_dedup(table(spark, sf_dir, "documents"), 2).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 @query("op7_byte_bpe")

@@ -70,7 +70,7 @@ def shingles(t, size):
     return {tuple(w[i : i + size]) for i in range(len(w) - size + 1)} or ({tuple(w)} if w else set())
 
 
-def brute_near(rows, size=2, percent=80):
+def brute_near(rows, size=5, percent=80):
     sets = {d: shingles(t, size) for d, t in rows if d is not None}
     root = {d: d for d in sets}
 
