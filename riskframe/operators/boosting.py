@@ -290,7 +290,7 @@ def fit_models(
     if not any(len(e) for e in edges):
         raise ValueError("no rows with features to train on")
     slots = max(1, spark.sparkContext.defaultParallelism // models)
-    most = max((r["count"] for r in rows.groupBy("model").count().collect()), default=0)
+    most = rows.groupBy("model").count().agg(F.max("count")).first()[0] or 0
     tasks = min(slots, max(1, math.ceil(most / rows_per_task)))
     place = (F.col("model") * tasks + F.pmod("key", F.lit(tasks))).cast("int")
     placed = rows.select(place.alias("place"), F.col("key").cast("bigint").alias("key"), F.col("target").cast("double").alias("y"), F.col("weight").cast("double").alias("w"), F.array(*[F.col(c).cast("double") for c in features]).alias("x"))
@@ -319,7 +319,9 @@ def fit_models(
             if context.partitionId() % tasks == 0:
                 yield pa.RecordBatch.from_pydict({"model": [group], "trees": [Boosted(names, out).to_json()]})
 
-        for r in placed.mapInArrow(run, "model bigint, trees string", barrier=tasks > 1).collect():
+        # written first, so that all tasks run at once; one row per model
+        job = materialise(placed.mapInArrow(run, "model bigint, trees string", barrier=tasks > 1), "trees")
+        for r in job.toLocalIterator():
             found[r["model"]] += Boosted.from_json(r["trees"]).trees
     return [Boosted(names, trees) for trees in found]
 
