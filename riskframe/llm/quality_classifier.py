@@ -132,8 +132,8 @@ def summed(rows: DataFrame, part: Callable[[pa.RecordBatch], np.ndarray], size:
     sums = rows.mapInArrow(added(part), "sums binary")
     for tasks in (ADDERS, 1):
         sums = sums.repartition(tasks).mapInArrow(added(rows_of), "sums binary")
-    found = sums.collect()
-    return np.frombuffer(found[0]["sums"]) if found else np.zeros(size)
+    found = next(iter(sums.toLocalIterator()), None)
+    return np.frombuffer(found["sums"]) if found else np.zeros(size)
 
 
 @dataclass
