@@ -26,6 +26,7 @@ cte(
     """SELECT a.symbol AS a, b.symbol AS b, count(*) AS n, corr(a.ret, b.ret) AS corr, covar_samp(a.ret, b.ret) AS cov
        FROM aret a JOIN aret b USING (date) GROUP BY 1, 2""",
     "aret",
+    materialised=True,
 )
 cte("wr", "SELECT symbol, date, ret FROM wret WHERE ret IS NOT NULL", "wret", materialised=True)
 cte("dr", "SELECT symbol, date, ret FROM ret WHERE ret IS NOT NULL", "ret", materialised=True)
