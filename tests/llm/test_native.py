@@ -86,6 +86,15 @@ def test_exact_dedup(make_docs):
     assert by[5][0].text_sha256 == hashlib.sha256(b"a b").hexdigest()
 
 
+def test_only_shared_lengths_and_heads_are_hashed_whole(make_docs):
+    head = "y" * exact_dedup.HEAD
+    rows = [(1, "ab"), (2, "ba"), (3, "abc"), (4, head + "1"), (5, head + "2"), (6, head + "12"), (7, None), (8, "  "), (9, "")]
+    docs = make_docs(rows)
+    assert sorted(r.n for r in exact_dedup.survivors(docs).collect()) == [0, exact_dedup.HEAD + 1]
+    assert sorted(r.doc_id for r in exact_dedup.whole_hashes(docs).collect()) == [4, 5, 7, 9]
+    assert sorted(r.doc_id for r in exact_dedup.drop_duplicates(docs).collect()) == [1, 2, 3, 4, 5, 6, 7, 8]
+
+
 def test_dropping_copies_keeps_the_columns(make_docs):
     docs = make_docs([(1, "a b"), (2, "a  b"), (3, None), (None, None)])
     out = exact_dedup.drop_duplicates(docs)
