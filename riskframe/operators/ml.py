@@ -20,7 +20,7 @@ from riskframe.operators import boosting
 from riskframe.operators.cross_section import FEATURES, latest_values
 from riskframe.operators.filters import min_history
 from riskframe.operators.rolling import log_return
-from riskframe.scale import computed_once, exact_quantiles, monotone_bucket, prefix_sum, rank_column
+from riskframe.scale import computed_once, exact_quantiles, in_ranges, prefix_sum, rank_column
 from riskframe.session import materialise
 
 EPOCH = "1970-01-01"
@@ -120,13 +120,14 @@ def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
 def threshold_table(scored: DataFrame, score: str = "score", label: str = "target") -> DataFrame:
     """Per distinct score, from high to low: positives and negatives at or above it.
 
-    Running sums over value buckets: no task sorts all scores.
+    Running sums over even ranges of the distinct scores, which often lie close together: no task sorts all of them.
     """
     counts = scored.where(F.col(score).isNotNull()).groupBy(score).agg(
         F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg")
     )
     keyed = counts.withColumns({"_all": F.lit(0), "_order": -F.col(score)})
-    sums = prefix_sum(keyed, ["_all"], monotone_bucket(F.col("_order")), ["_order"], {"pos": "tp", "neg": "fp"})
+    ranged = in_ranges(keyed, ["_order"])
+    sums = prefix_sum(ranged, ["_all"], F.col("_cell"), ["_order"], {"pos": "tp", "neg": "fp"})
     return sums.select(F.col(score).alias("threshold"), "pos", "neg", "tp", "fp")
 
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskframe.scale import latest_by, top_per_key, value_ranks
+from riskframe.scale import latest_by, monotone_bucket, prefix_sum, top_per_key, value_ranks
 
 # Orders offered for the score table; a missing sentiment sorts as 0.
 SCORE_ORDERS = {
@@ -67,16 +67,18 @@ def strongest(entries: Column, k: int = 6) -> Column:
 def every_nth(df: DataFrame, order: str, tie: str, points: int = 50) -> DataFrame:
     """About ``points`` rows evenly spaced in the order of a column.
 
-    Positions come from distributed ranks, ties numbered within their value.
+    Positions come from distributed ranks. Rows of one value are numbered by
+    their numeric ``tie`` in chunks of its buckets, so that a value with a
+    third of all rows does not meet in one task; rows without a tie come first.
     """
     ranks = value_ranks(df, order)
-    within_value = Window.partitionBy(order).orderBy(tie)
+    chunk = F.coalesce(monotone_bucket(F.col(tie)), F.lit(-(2**63)))
+    numbered = prefix_sum(df.withColumn("_one", F.lit(1)), [order], chunk, [tie], {"_one": "_i"})
     return (
-        df.withColumn("_i", F.row_number().over(within_value) - 1)
-        .join(ranks, order)
-        .withColumn("position", F.col("n_less") + F.col("_i"))
+        numbered.join(ranks, order)
+        .withColumn("position", F.col("n_less") + F.col("_i") - 1)
         .where(F.col("position") % F.greatest(F.lit(1), F.floor(F.col("n") / points)) == 0)
-        .drop("_i", "cnt", "n_less", "n")
+        .drop("_one", "_i", "cnt", "n_less", "n")
     )
 
 

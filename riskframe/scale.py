@@ -12,6 +12,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskframe.session import materialise
+
+
 def computed_once(df: DataFrame, name: str, value: Column) -> DataFrame:
     """Add a costly column that lambdas below read many times.
 
@@ -37,40 +40,45 @@ def monotone_bucket(value: Column) -> Column:
     return F.floor(F.signum(x) * F.log1p(F.abs(x) * F.lit(1e9)) * F.lit(BUCKETS_PER_E))
 
 
-def value_ranks(df: DataFrame, value: str, group: Sequence[str] = ()) -> DataFrame:
+def in_ranges(df: DataFrame, order: Sequence[str], out: str = "_cell") -> DataFrame:
+    """``df`` as a written table with the number of the range of ``order`` that a row belongs to.
+
+    Ranges come from a sample of the rows themselves, so they are even however
+    close together the values lie. They differ from run to run, which is why
+    the rows are written together with them before anything counts on them.
+    """
+    ranged = df.repartitionByRange(*order).withColumn(out, F.spark_partition_id())
+    return materialise(ranged, "ranges")
+
+
+def value_ranks(df: DataFrame, value: str, group: Sequence[str] = (), ranged: bool = False) -> DataFrame:
     """One row per distinct value: ``cnt`` rows, ``n_less`` rows below it, ``n`` rows in its group.
 
-    Ties collapse before the shuffle; a group is then split into value buckets
-    that are ordered independently, and bucket totals (few rows) give the
-    offset of each bucket. No task sees more than one bucket of one group.
+    Ties collapse before the shuffle; a group is then split into cells that are
+    ordered independently, and cell totals (few rows) give the offset of each
+    cell. A cell is a bucket of magnitudes that differ by less than half a
+    percent, or, with ``ranged``, an even range of the distinct values, for
+    values that may all lie close together; that costs a written table.
     """
     group = list(group)
-    vals = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*group, value)
-        .agg(F.count(F.lit(1)).alias("cnt"))
-        .withColumn("_bucket", monotone_bucket(F.col(value)))
-    )
+    vals = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("cnt"))
+    if ranged:
+        vals = in_ranges(vals, [*group, value])
+    else:
+        vals = vals.withColumn("_cell", monotone_bucket(F.col(value)))
     over_group = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
+    before = over_group.orderBy("_cell").rowsBetween(Window.unboundedPreceding, 0)
     offsets = (
-        vals.groupBy(*group, "_bucket")
+        vals.groupBy(*group, "_cell")
         .agg(F.sum("cnt").alias("_bn"))
         .withColumn("n", F.sum("_bn").over(over_group))
-        .withColumn(
-            "_off",
-            F.sum("_bn").over(over_group.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0))
-            - F.col("_bn"),
-        )
+        .withColumn("_off", F.sum("_bn").over(before) - F.col("_bn"))
         .drop("_bn")
     )
-    inside = (
-        Window.partitionBy(*group, "_bucket")
-        .orderBy(value)
-        .rowsBetween(Window.unboundedPreceding, 0)
-    )
+    inside = Window.partitionBy(*group, "_cell").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     return (
         vals.withColumn("_in", F.sum("cnt").over(inside) - F.col("cnt"))
-        .join(offsets, [*group, "_bucket"])
+        .join(offsets, [*group, "_cell"])
         .select(*group, value, "cnt", (F.col("_off") + F.col("_in")).alias("n_less"), "n")
     )
 
@@ -102,14 +110,14 @@ def rank_column(
 
 
 def exact_quantiles(
-    df: DataFrame, value: str, probs: Mapping[str, float], group: Sequence[str] = ()
+    df: DataFrame, value: str, probs: Mapping[str, float], group: Sequence[str] = (), ranged: bool = False
 ) -> DataFrame:
     """Exact linearly interpolated quantiles, one column per entry of ``probs``.
 
     Reads the wanted order statistics off :func:`value_ranks`; no buffer holds
     the distinct values of a group.
     """
-    ranks = value_ranks(df, value, group)
+    ranks = value_ranks(df, value, group, ranged)
     aggs = [F.max("n").alias("_n")]
     for name, q in probs.items():
         place = (F.col("n") - F.lit(1)).cast("double") * F.lit(float(q))

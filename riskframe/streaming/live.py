@@ -144,18 +144,31 @@ def daily_scores(updates: DataFrame, late: str = "1 hour") -> DataFrame:
     )
 
 
+DAY_MS = 86_400_000
 SPIKE_SCHEMA = "symbol string, date date, risk_score double, prev_risk_score double, risk_change double, risk_change_pct double"
 
 
 class SpikeProcessor(StatefulProcessor):
-    """Compares a symbol's daily score with the mean of its last ``days`` days, kept as map state."""
+    """Compares a symbol's daily score with the mean of its last ``days`` days, kept as map state.
+
+    A timer on event time empties the state of a symbol once the watermark is ``days`` days past its last day: every
+    score that could still arrive would find those held too old. So silent symbols leave nothing behind.
+    """
 
     def __init__(self, days: int = 30) -> None:
         self.days = days
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.scores = handle.getMapState("scores", "day int", "score double")
 
+    def expire_after(self, day: int) -> None:
+        """One timer per symbol, at the end of the last day whose baseline reads ``day``."""
+        at = (day + self.days + 1) * DAY_MS
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old)
+        self.handle.registerTimer(at)
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         out = []
         new = pd.concat(list(rows)).sort_values("day_end")
@@ -172,11 +185,16 @@ class SpikeProcessor(StatefulProcessor):
                 if change > SPIKE_ABSOLUTE or pct > SPIKE_PERCENT:
                     out.append((key[0], pd.Timestamp(day, unit="D").date(), score, mean, change, pct))
             self.scores.updateValue((day,), (score,))
+        self.expire_after(day)
         if out:
             yield pd.DataFrame(
                 out, columns=["symbol", "date", "risk_score", "prev_risk_score", "risk_change", "risk_change_pct"]
             )
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.scores.clear()
+        return iter(())
+
     def close(self) -> None:
         pass
 
@@ -187,5 +205,5 @@ def spike_alerts(daily: DataFrame, days: int = 30) -> DataFrame:
         statefulProcessor=SpikeProcessor(days),
         outputStructType=SPIKE_SCHEMA,
         outputMode="Append",
-        timeMode="None",
+        timeMode="EventTime",
     )

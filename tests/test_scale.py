@@ -97,3 +97,39 @@ def test_empty_input(spark):
     df = spark.createDataFrame([], "k string, x double")
     assert scale.rank_column(df, "x", "r").count() == 0
     assert scale.latest_by(df, ["k"], ["x"]).count() == 0
+
+
+def test_values_close_together_spread_over_ranges(spark):
+    """20 000 values within 1e-4, half of them within a millionth of that, and two far ends."""
+    rng = np.random.default_rng(3)
+    x = np.concatenate([0.5 + 1e-4 * rng.random(10_000), 0.50005 + 1e-10 * rng.random(10_000), [0.5001, 7.0, -3.0]])
+    df = spark.createDataFrame(pd.DataFrame({"x": x}))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        cells = scale.in_ranges(df, ["x"]).groupBy("_cell").agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+        cells = cells.orderBy("_cell").collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len(cells) == 4 and max(r["n"] for r in cells) < 8_000 and sum(r["n"] for r in cells) == len(x)
+    assert all(a["hi"] < b["lo"] for a, b in zip(cells, cells[1:]))
+    got = {r["x"]: r["n_less"] for r in scale.value_ranks(df, "x", ranged=True).collect()}
+    rank = pd.Series(x).rank(method="min").to_numpy() - 1
+    assert all(got[v] == r for v, r in zip(x, rank))
+
+
+def test_ranges_of_groups(spark):
+    pdf = skewed()
+    got = scale.value_ranks(spark.createDataFrame(pdf), "x", ["g"], ranged=True).toPandas()
+    merged = pdf.assign(want=pdf.groupby("g")["x"].rank(method="min") - 1).merge(got, on=["g", "x"])
+    assert len(merged) == len(pdf) and (merged["want"] == merged["n_less"]).all()
+
+
+def test_every_nth_numbers_the_ties_of_one_value(spark):
+    from riskframe.operators.selection import every_nth
+
+    rows = [(5.0, i) for i in range(700)] + [(5.0, None), (1.0, 9), (9.0, 1), (9.0, 1)]
+    out = every_nth(spark.createDataFrame(rows, "v double, id int"), "v", "id", points=10)
+    got = sorted((r["position"], r["v"], r["id"]) for r in out.collect())
+    ordered = sorted(rows, key=lambda r: (r[0], r[1] is not None, r[1] or 0))
+    step = len(rows) // 10
+    assert got == [(i, *ordered[i]) for i in range(0, len(rows), step)]

@@ -85,6 +85,30 @@ def test_spike_state_matches_brute_force(feed, tmp_path):
     assert got == want and len(want) >= 3
 
 
+def held_scores(spark, checkpoint):
+    """Symbols and days in the state of the spike alerts (the second operator, upstream of the sink, has number 0)."""
+    state = spark.read.format("statestore").option("operatorId", 0).option("stateVarName", "scores").load(checkpoint)
+    return sorted((r["key"]["symbol"], r["user_map_key"]["day"]) for r in state.collect())
+
+
+def test_state_of_a_silent_symbol_expires(spark, feed, tmp_path):
+    day0 = int(at(0).replace(tzinfo=dt.timezone.utc).timestamp() // 86_400)
+    checkpoint = str(tmp_path / "c")
+    feed.add((1, at(1), 1, 10), (2, at(25), 1, 11)).add((3, at(24 * 3 + 2), 2, 1))
+    daily = live.daily_scores(live.score_updates(feed.stream()))
+
+    def run():
+        sinks.drain_to_files(live.spike_alerts(daily, days=3), str(tmp_path / "a"), checkpoint)
+        return held_scores(spark, checkpoint)
+
+    assert run() == [("1", day0), ("1", day0 + 1)]
+    feed.add((4, at(24 * 5 + 2), 2, 1))  # day 4 is over: the last score of symbol 1, of day 1, has had its three days
+    assert run() == [("2", day0 + 3)]
+    feed.add((5, at(24 * 5 + 3), 1, 90), (6, at(24 * 6 + 2), 2, 1))  # a return starts without a baseline
+    assert [s for s, _ in run()] == ["1", "2", "2"]
+    assert sinks.drain_to_files(live.spike_alerts(daily, days=3), str(tmp_path / "a"), checkpoint).count() == 0
+
+
 def test_duplicate_urls_across_batches(feed, tmp_path):
     feed.add((1, at(1), 1, 1), (2, at(1), 2, 1)).add((3, at(2), 1, 1), (4, at(2), 3, 1))
     articles = feed.stream().withColumn("url", F.col("user_id").cast("string"))
