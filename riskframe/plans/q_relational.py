@@ -491,7 +491,7 @@ def ag18_global(spark, d):
     df = dom.daily_bars(spark, d).withColumn("log_ret", rl.log_return()).withColumn("fwd", rl.forward_vol_sample())
     df = df.select("fwd", F.datediff("date", F.lit("1970-01-01")).alias("day"))
     day = exact_quantiles(df, "day", {"day78": 0.78})
-    return rounded(exact_quantiles(df, "fwd", {"q70": 0.70, "q50": 0.50}).withColumn("day78", day.scalar()))
+    return rounded(exact_quantiles(df, "fwd", {"q70": 0.70, "q50": 0.50}, ranged=True).withColumn("day78", day.scalar()))
 
 
 _HIST = f"""SELECT symbol, bin_no, {{center}}, count(ret) AS count FROM (
