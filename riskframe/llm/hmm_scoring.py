@@ -1,14 +1,18 @@
 """Likelihood of texts under a hidden Markov model of their words, and under smoothed word counts.
 
-Words are counted over all training documents. The ``VOCABULARY`` most frequent ones are symbols of the model; any other
-word is the symbol of its length, times its smoothed share among the other words of that length. Baum-Welch runs over
-all training documents: each task sums its expected counts, Spark adds up the sums of the tasks, and the driver holds
-one matrix of ``STATES`` x symbols. The likelihood is exact: texts are cut into segments of ``SEGMENT`` words, whose
-matrix products are computed side by side with scaled forward steps from each state, and then chained.
+Words are counted over all training documents. Baum-Welch first looks for the states with tied emissions: the
+``VOCABULARY`` most frequent words are symbols of their own, any other word shares the symbol of its length. Each task
+sums its expected counts, Spark adds up the sums of the tasks, and rounds go on until one gains less than ``TOLERANCE``
+per token. A last pass then sums the expected state counts of every single word, a table with one row per training word,
+so that each word has emission probabilities of its own, however many there are. A word seen n times has its own state
+shares with weight n and those of its length with weight ``PRIOR``; words never seen have those of their length.
 
-Counts reach the texts in two ways: those of the ``HEAD`` most frequent words, a table of fixed size, go to all tasks;
-those of all others are joined to (document, word, occurrences) rows, and the logarithms are added up per document. A
-frequent word is thus never a hot key, and copies of a document are many small keys.
+The likelihood is exact: texts are cut into segments of ``SEGMENT`` words, whose matrix products are computed side by
+side with scaled forward steps from each state, and then chained.
+
+Counts and emissions reach the texts in two ways: those of the ``HEAD`` most frequent words, a table of fixed size, go
+to all tasks; those of all others are joined to the distinct (text, word) rows and come back to the text as a list, no
+longer than the text itself. A frequent word is thus never a hot key, and copies of a text share their list.
 
 Defined cases: null and empty texts are their end token alone; rows without ``doc_id`` are neither held out nor learned
 from; rows that repeat are scored alike (and each counts in training); an empty table gives an empty result, and with no
@@ -30,11 +34,17 @@ from riskframe.llm.tables import written
 
 STATES = 6
 VOCABULARY = 4096
-HEAD = 65_536
+HEAD = 262_144
 LENGTHS = 16
 SEGMENT = 256
-ROUNDS = 3
+#: Least gain of a round, in log10 per token, after which there is another one.
+TOLERANCE = 0.01
+#: How sticky the states are before the first round; most texts keep to one kind of words, so this saves rounds.
+STAY = 0.95
 SMOOTH = 0.1
+PRIOR = 1.0
+#: Expected counts of single words are summed as integers, in these parts, so that no order of adding matters.
+PARTS = 4096
 #: The end token, by a hash like that of any word (no word has a space).
 END = int(hashing.mix(np.frombuffer(b"the end ", np.uint64)).view(np.int64)[0])
 
@@ -61,13 +71,13 @@ def counted(batches):
 
 @dataclass
 class Counts:
-    """N and V, the head of the counts by token, and what is left per word length."""
+    """N and V, the words that are symbols of their own, and what is left per word length."""
 
     total: int
     distinct: int
-    tokens: np.ndarray  # sorted
+    tokens: np.ndarray  # the symbols' words, sorted
     counts: np.ndarray
-    symbol: np.ndarray  # of each head token, -1 beyond the vocabulary
+    symbol: np.ndarray  # of each of these words
     vocabulary: int  # number of words that are symbols, 0 .. vocabulary - 1
     rest: np.ndarray  # log10 of the smoothed total of the words of each length that are not symbols
 
@@ -79,38 +89,29 @@ class Counts:
         return np.log10((n + SMOOTH) / (self.total + SMOOTH * (self.distinct + 1)))
 
     def symbols_of(self, tokens: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Symbols by the vocabulary alone, which is faster than by the whole head."""
-        inside = self.symbol >= 0
-        known, symbol = self.tokens[inside], self.symbol[inside]
         shared = self.vocabulary + np.minimum(lengths, LENGTHS)
-        if not len(known):
-            return shared
-        at = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
-        return np.where(known[at] == tokens, symbol[at], shared)
-
-    def look_up(self, tokens: np.ndarray, lengths: np.ndarray):
-        """Count (-1 beyond the head), symbol and whether the symbol stands for many words, of each token."""
-        if len(self.tokens):
-            at = np.minimum(np.searchsorted(self.tokens, tokens), len(self.tokens) - 1)
-            inside = self.tokens[at] == tokens
-            n = np.where(inside, self.counts[at], -1)
-            symbol = np.where(inside, self.symbol[at], -1)
-        else:
-            n = symbol = np.full(len(tokens), -1)
-        shared = symbol < 0
-        return n, np.where(shared, self.vocabulary + np.minimum(lengths, LENGTHS), symbol), shared
-
-
-def head_of(counts: DataFrame) -> Counts:
-    """counts has token, length and n. The head and one row per length reach the driver: a fixed size."""
+        inside, at = found_in(self.tokens, tokens)
+        return np.where(inside, self.symbol[at], shared) if len(self.tokens) else shared
+
+
+def found_in(known: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each token is in the sorted array, and where."""
+    if not len(known):
+        return np.zeros(len(tokens), bool), np.zeros(len(tokens), np.int64)
+    at = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
+    return known[at] == tokens, at
+
+
+def symbols_from(counts: DataFrame) -> Counts:
+    """counts has token, length and n. The symbols' words and one row per length reach the driver: a fixed size."""
     total, distinct = next(iter(counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).toLocalIterator()))
-    head = list(counts.orderBy(F.desc("n"), "token").limit(HEAD).toLocalIterator())
-    symbols = {row["token"]: i for i, row in enumerate(head[:VOCABULARY])}
+    head = list(counts.orderBy(F.desc("n"), "token").limit(VOCABULARY).toLocalIterator())
+    symbols = {row["token"]: i for i, row in enumerate(head)}
     by_token = sorted(head, key=lambda row: row["token"])
     n_of, v_of = np.zeros(LENGTHS + 1), np.zeros(LENGTHS + 1)
     for row in counts.groupBy("length").agg(F.sum("n").alias("n"), F.count("*").alias("v")).toLocalIterator():
         n_of[row["length"]], v_of[row["length"]] = row["n"], row["v"]
-    for row in head[:VOCABULARY]:
+    for row in head:
         n_of[row["length"]] -= row["n"]
         v_of[row["length"]] -= 1
     return Counts(
@@ -118,7 +119,7 @@ def head_of(counts: DataFrame) -> Counts:
         distinct,
         np.array([row["token"] for row in by_token], np.int64),
         np.array([row["n"] for row in by_token], np.int64),
-        np.array([symbols.get(row["token"], -1) for row in by_token], np.int64),
+        np.array([symbols[row["token"]] for row in by_token], np.int64),
         VOCABULARY,
         np.log10(n_of + SMOOTH * (v_of + 1)),
     )
@@ -137,7 +138,7 @@ class Model:
         """Sticky states, each of which prefers the symbols that a hash gives it."""
         own = hashing.mix(np.arange(1, len(shares) + 1, dtype=np.uint64)) % np.uint64(states)
         emit = shares[:, None] * (1 + 2.0 * (own[:, None] == np.arange(states)))
-        move = np.full((states, states), 0.3 / states) + 0.7 * np.eye(states)
+        move = np.full((states, states), (1 - STAY) / states) + STAY * np.eye(states)
         return Model(np.full(states, 1 / states), move, emit / emit.sum(0))
 
     @staticmethod
@@ -164,7 +165,8 @@ class Segments:
         begin, length = begin[by_length], length[by_length]
         self.active = np.searchsorted(-length, -np.arange(SEGMENT), "left")
         self.active = self.active[self.active > 0]
-        self.steps = [symbols[begin[:n] + t] for t, n in enumerate(self.active)]
+        self.at = [begin[:n] + t for t, n in enumerate(self.active)]
+        self.steps = [symbols[at] for at in self.at]
         self.head = self.place == 0
         # where each segment of a text stands, by (text, place)
         self.column = np.empty(len(text), np.int64)
@@ -226,10 +228,18 @@ class Segments:
         return after
 
     def expected(self, model: Model) -> np.ndarray:
-        """Expected counts (start, move, emit) of all texts, by a forward and a backward pass through the segments."""
+        """Expected counts (start, move, emit) of all texts."""
+        start, moves, weights, _ = self.passes(model)
+        seen = np.concatenate(self.steps)
+        shares = np.stack([np.bincount(seen, w, len(model.emit)) for w in weights], axis=1)
+        return np.concatenate([start, moves.ravel(), shares.ravel()])
+
+    def passes(self, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Expected starts and moves, the state shares (K, tokens) of the tokens in the order of ``at``, and the log10
+        likelihood of each text, by a forward and a backward pass through the segments."""
         k = len(model.start)
         products, logs = self.products(model)
-        state, _ = self.entering(model, products, logs)
+        state, score = self.entering(model, products, logs)
         beta, kept = self.leaving(products), []
         move, emit = np.ascontiguousarray(model.move.T), np.ascontiguousarray(model.emit.T)
         for t, symbols in enumerate(self.steps):
@@ -260,134 +270,201 @@ class Segments:
             moves += before @ ahead.T
             back /= back.max(0)
             beta[:, :m] = back
-        seen, weight = np.concatenate(self.steps), np.concatenate(weights, axis=1)
-        shares = np.stack([np.bincount(seen, w, len(model.emit)) for w in weight], axis=1)
-        return np.concatenate([start, (moves * model.move).ravel(), shares.ravel()])
+        return start, moves * model.move, np.concatenate(weights, axis=1), score
+
+
+LIKELIHOOD = -1
 
 
 def expectations(counts: Counts, model: Model):
-    """One row (place, value) per expected count that a task has summed over its texts."""
+    """One row (place, value) per expected count that a task has summed over its texts, and their likelihood."""
 
     def run(batches):
-        total = None
+        total, logs = None, 0.0
         for batch in hashing.slices(batches):
             tokens, lengths, at = token_arrays(batch.column("text"))
-            found = Segments(counts.symbols_of(tokens, lengths), at).expected(model)
-            total = found if total is None else total + found
+            segments = Segments(counts.symbols_of(tokens, lengths), at)
+            start, moves, weights, score = segments.passes(model)
+            seen = np.concatenate(segments.steps)
+            shares = np.stack([np.bincount(seen, w, counts.symbols) for w in weights], axis=1)
+            found = np.concatenate([start, moves.ravel(), shares.ravel()])
+            total, logs = found if total is None else total + found, logs + score.sum()
         if total is not None:
             place = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(place.astype(np.int32)), pa.array(total[place])], names=["place", "value"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.append(place, LIKELIHOOD).astype(np.int32)), pa.array(np.append(total[place], logs))], names=["place", "value"]
+            )
 
     return run
 
 
-def trained(texts: DataFrame, counts: Counts, rounds: int = ROUNDS) -> Model:
-    """The model after ``rounds`` of Baum-Welch over all texts."""
+def trained(texts: DataFrame, counts: Counts, rounds: int | None = None) -> tuple[Model, np.ndarray]:
+    """The model after Baum-Welch over all texts, and the shares of the states in each length of the words that share a symbol.
+
+    Rounds go on until the gain is small, or for ``rounds`` rounds if given.
+    """
     shares = np.full(counts.symbols, SMOOTH)
-    inside = counts.symbol >= 0
-    shares[counts.symbol[inside]] += counts.counts[inside]
+    shares[counts.symbol] += counts.counts
     shares[counts.vocabulary :] += 10**counts.rest
     shares /= shares.sum()
-    model = Model.first(shares)
-    for _ in range(rounds if counts.total else 0):
+    model, tied = Model.first(shares), np.ones((LENGTHS + 1, STATES))
+    last, done, gain = -np.inf, 0, np.inf
+    while counts.total and (gain >= TOLERANCE if rounds is None else done < rounds):
         sums = texts.mapInArrow(expectations(counts, model), "place int, value double").groupBy("place").agg(F.sum("value").alias("value"))
-        values = np.zeros(STATES + STATES * STATES + counts.symbols * STATES)
+        values, logs = np.zeros(STATES + STATES * STATES + counts.symbols * STATES), 0.0
         for row in sums.toLocalIterator():  # one row per parameter at most
-            values[row["place"]] = row["value"]
+            if row["place"] == LIKELIHOOD:
+                logs = row["value"]
+            else:
+                values[row["place"]] = row["value"]
         model = Model.from_counts(values, shares)
-    return model
+        tied = values.reshape(-1, STATES)[-LENGTHS - 1 :] + SMOOTH
+        last, done, gain = logs, done + 1, (logs - last) / counts.total
+    return model, tied / tied.sum(1, keepdims=True)
+
 
+PLACES = [f"s{i}" for i in range(STATES)]
 
-def scored(counts: Counts, model: Model):
-    """Rows (doc_id, row_hash, held_out, n_tokens, n_known, base_score, score): without what only the join knows."""
+
+def word_states(counts: Counts, model: Model):
+    """Rows (token, length, n, s0, s1, ...): occurrences and expected state counts of the words that are no symbols."""
 
     def run(batches):
         for batch in hashing.slices(batches):
             tokens, lengths, at = token_arrays(batch.column("text"))
-            n, symbol, shared = counts.look_up(tokens, lengths)
-            segments = Segments(symbol, at)
-            _, score = segments.entering(model, *segments.products(model))
-            head = n >= 0
-            base = np.where(head, counts.base_log(np.maximum(n, 0)), 0.0)
-            # the share of a word among the words of its symbol; its own count beyond the head comes from the join
-            within = np.where(shared, np.where(head, np.log10(np.maximum(n, 0) + SMOOTH), 0.0) - counts.rest[np.minimum(lengths, LENGTHS)], 0.0)
-            begin = at[:-1]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *(batch.column(c) for c in ("doc_id", "row_hash", "held_out")),
-                    pa.array(np.diff(at)),
-                    pa.array(np.add.reduceat(head.astype(np.int64), begin)),
-                    pa.array(np.add.reduceat(base, begin)),
-                    pa.array(score + np.add.reduceat(within, begin)),
-                ],
-                names=["doc_id", "row_hash", "held_out", "n_tokens", "n_known", "base_score", "score"],
-            )
+            symbols = counts.symbols_of(tokens, lengths)
+            segments = Segments(symbols, at)
+            _, _, weights, _ = segments.passes(model)
+            place = np.concatenate(segments.at)
+            shared = symbols[place] >= counts.vocabulary
+            place, weights = place[shared], weights[:, shared]
+            known, sample, owner, n = np.unique(tokens[place], return_index=True, return_inverse=True, return_counts=True)
+            parts = [np.rint(np.bincount(owner, w, len(known)) * PARTS).astype(np.int64) for w in weights]
+            length = np.minimum(lengths[place[sample]], LENGTHS).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (known, length, n, *parts)], names=["token", "length", "n", *PLACES])
 
     return run
 
 
-def beyond_head(counts: Counts):
-    """Rows (row_hash, token, n) of the tokens beyond the head, and one with n = 0 for each text, by which copies are known."""
+def emissions(texts: DataFrame, counts: Counts, model: Model, tied: np.ndarray) -> tuple[DataFrame, np.ndarray]:
+    """(token, n, e): how likely each state shows each training word that is no symbol; and, per length, one never seen.
+
+    Within the share of its length, a word weighs its smoothed count in a state; the weights of all words of the length
+    and of one unseen word add up to that share.
+    """
+    schema = "token bigint, length int, n bigint, " + ", ".join(f"{s} bigint" for s in PLACES)
+    sums = texts.mapInArrow(word_states(counts, model), schema).groupBy("token")
+    words = written(sums.agg(F.max("length").alias("length"), F.sum("n").alias("n"), *[F.sum(s).alias(s) for s in PLACES]), "words")
+
+    def of_length(values: np.ndarray, k: int):
+        return F.get(F.lit([float(x) for x in values[:, k]]), F.col("length"))
+
+    def weight(k: int):
+        own = F.col(PLACES[k]) / PARTS + PRIOR * of_length(tied, k)
+        return (F.col("n") + SMOOTH) * own / (F.col("n") + PRIOR)
+
+    whole = SMOOTH * tied
+    for row in words.groupBy("length").agg(*[F.sum(weight(k)).alias(s) for k, s in enumerate(PLACES)]).toLocalIterator():
+        whole[row["length"]] += [row[s] for s in PLACES]  # one row per length
+    share = model.emit[counts.vocabulary :] / whole
+    return words.select("token", "n", F.array(*[weight(k) * of_length(share, k) for k in range(STATES)]).alias("e")), SMOOTH * tied * share
+
+
+@dataclass
+class Known:
+    """Counts and emissions of the words that all tasks have."""
+
+    tokens: np.ndarray  # sorted
+    n: np.ndarray
+    emit: np.ndarray  # one row per token
+
+    @staticmethod
+    def sorted(tokens: np.ndarray, n: np.ndarray, emit: np.ndarray) -> "Known":
+        order = np.argsort(tokens, kind="stable")
+        return Known(tokens[order], n[order], emit[order])
+
+
+def head_of(counts: Counts, model: Model, words: DataFrame) -> Known:
+    """The symbols' words and the ``HEAD`` most frequent others: a fixed size."""
+    head = words.orderBy(F.desc("n"), "token").limit(HEAD)
+    rows = [(row["token"], row["n"], row["e"]) for row in head.toLocalIterator()]
+    return Known.sorted(
+        np.concatenate([counts.tokens, np.array([r[0] for r in rows], np.int64)]),
+        np.concatenate([counts.counts, np.array([r[1] for r in rows], np.int64)]),
+        np.concatenate([model.emit[counts.symbol], np.array([r[2] for r in rows], float).reshape(-1, STATES)]),
+    )
+
+
+def beyond_head(head: np.ndarray):
+    """Rows (row_hash, token): the distinct words of each text that are not in the head."""
 
     def run(batches):
         for batch in hashing.slices(batches):
-            tokens, lengths, at = token_arrays(batch.column("text"))
-            n, _, _ = counts.look_up(tokens, lengths)
-            owner = np.repeat(np.arange(batch.num_rows), np.diff(at))[n < 0]
-            tokens = tokens[n < 0]
+            tokens, _, at = token_arrays(batch.column("text"))
+            inside, _ = found_in(head, tokens)
+            owner, tokens = np.repeat(np.arange(batch.num_rows), np.diff(at))[~inside], tokens[~inside]
             order = np.lexsort((tokens, owner))
             tokens, owner = tokens[order], owner[order]
-            new = np.flatnonzero(np.concatenate([np.ones(min(1, len(tokens)), bool), (tokens[1:] != tokens[:-1]) | (owner[1:] != owner[:-1])]))
-            times = np.diff(np.append(new, len(tokens)))
-            rows = np.concatenate([owner[new], np.arange(batch.num_rows)])
-            token = pa.concat_arrays([pa.array(tokens[new], pa.int64()), batch.column("row_hash")])
+            new = np.ones(len(tokens), bool)
+            new[1:] = (tokens[1:] != tokens[:-1]) | (owner[1:] != owner[:-1])
+            yield pa.RecordBatch.from_arrays([batch.column("row_hash").take(pa.array(owner[new])), pa.array(tokens[new])], names=["row_hash", "token"])
+
+    return run
+
+
+def scored(counts: Counts, model: Model, head: Known, unseen: np.ndarray):
+    """Rows (doc_id, held_out, n_tokens, n_known, base_score, score) of texts that carry the rest of their words in ``rest``."""
+
+    def run(batches):
+        for batch in hashing.slices(batches):
+            tokens, lengths, at = token_arrays(batch.column("text"))
+            rest = batch.column("rest").flatten()
+            token, n, emit = (rest.field(i) for i in range(3))
+            token, first = np.unique(token.to_numpy(zero_copy_only=False).astype(np.int64), return_index=True)
+            more_n = n.to_numpy(zero_copy_only=False).astype(np.int64)[first]
+            more = emit.flatten().to_numpy(zero_copy_only=False).reshape(-1, STATES)[first]
+            # symbols of this slice: the head, the rest of its words, then words never seen by length
+            table = np.concatenate([head.emit, more, unseen])
+            in_head, place = found_in(head.tokens, tokens)
+            in_rest, other = found_in(token, tokens)
+            symbol = np.where(
+                in_head, place, np.where(in_rest, len(head.tokens) + other, len(head.tokens) + len(token) + np.minimum(lengths, LENGTHS))
+            )
+            seen = np.concatenate([head.n, more_n, np.zeros(LENGTHS + 1, np.int64)])[symbol]
+            segments, here = Segments(symbol, at), Model(model.start, model.move, table)
+            _, score = segments.entering(here, *segments.products(here))
+            begin = at[:-1]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("row_hash").take(pa.array(rows)), token, pa.array(np.concatenate([times, np.zeros(batch.num_rows, np.int64)]))],
-                names=["row_hash", "token", "n"],
+                [
+                    *(batch.column(c) for c in ("doc_id", "held_out")),
+                    pa.array(np.diff(at)),
+                    pa.array(np.add.reduceat((seen > 0).astype(np.int64), begin)),
+                    pa.array(np.add.reduceat(counts.base_log(seen), begin)),
+                    pa.array(score),
+                ],
+                names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"],
             )
 
     return run
 
 
-def hmm_scores(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def hmm_scores(docs: DataFrame, rounds: int | None = None) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10)."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), held_out(F.col("doc_id"), 10).alias("held_out"))
     rows = rows.withColumn("row_hash", F.xxhash64("text"))
     texts = rows.where("NOT held_out AND doc_id IS NOT NULL").select("text")
     tokens = texts.mapInArrow(counted, "token bigint, length int, n bigint")
     table = written(tokens.groupBy("token").agg(F.max("length").alias("length"), F.sum("n").alias("n")), "counts")
-    counts = head_of(table)
-    model = trained(texts, counts, rounds)
-
-    tail = rows.select("row_hash", "text").mapInArrow(beyond_head(counts), "row_hash bigint, token bigint, n bigint")
-    known = table.select("token", F.col("n").alias("seen"))
-    zero = float(counts.total + SMOOTH * (counts.distinct + 1))
-    log = F.log10(F.coalesce("seen", F.lit(0)) + F.lit(SMOOTH))
-    sums = (
-        tail.join(known, "token", "left")
-        .groupBy("row_hash")
-        .agg(
-            F.count(F.when(F.col("n") == 0, 1)).alias("copies"),
-            F.sum(F.when(F.col("seen").isNotNull(), F.col("n"))).alias("known_more"),
-            F.sum(F.col("n") * log).alias("logs"),
-            F.sum("n").alias("more"),
-        )
-    )
-    sums = sums.select(
-        "row_hash",
-        F.coalesce(F.col("known_more") / F.col("copies"), F.lit(0)).cast("bigint").alias("known_more"),
-        (F.col("logs") / F.col("copies")).alias("logs"),
-        (F.col("more") / F.col("copies")).alias("more"),
-    )
+    counts = symbols_from(table)
+    model, tied = trained(texts, counts, rounds)
+    words, unseen = emissions(texts, counts, model, tied)
+    head = head_of(counts, model, words)
+
+    tail = rows.select("row_hash", "text").mapInArrow(beyond_head(head.tokens), "row_hash bigint, token bigint").distinct()
+    rest = tail.join(words, "token").groupBy("row_hash").agg(F.collect_list(F.struct("token", "n", "e")).alias("rest"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, row_hash bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double"
-    found = rows.mapInArrow(scored(counts, model), schema).join(sums, "row_hash")
-    return found.select(
-        "doc_id",
-        "held_out",
-        "n_tokens",
-        (F.col("n_known") + F.col("known_more")).alias("n_known"),
-        F.lit(counts.total).cast("bigint").alias("train_tokens"),
-        (F.col("base_score") + F.col("logs") - F.col("more") * F.lit(float(np.log10(zero)))).alias("base_score"),
-        (F.col("score") + F.col("logs")).alias("score"),
+    schema = f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double"
+    found = rows.join(rest, "row_hash", "left").select("doc_id", "held_out", "text", "rest")
+    return found.mapInArrow(scored(counts, model, head, unseen), schema).select(
+        "doc_id", "held_out", "n_tokens", "n_known", F.lit(counts.total).cast("bigint").alias("train_tokens"), "base_score", "score"
     )

@@ -148,6 +148,77 @@ def test_scores(make_docs, sample_texts, monkeypatch):
         assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def test_whole_texts_by_plain_recursion(make_docs, sample_texts, monkeypatch):
+    """Every word has emissions of its own, learned from its expected counts, wherever its emissions come from."""
+    monkeypatch.setattr(hmm_scoring, "HEAD", 40)
+    monkeypatch.setattr(hmm_scoring, "VOCABULARY", 30)
+    monkeypatch.setattr(hmm_scoring, "SEGMENT", 50)
+    some = sorted(sample_texts.items())[:60]
+    docs = make_docs([*some, (7000, "neverseen " * 120 + "Alsoneverseen"), (7001, None), some[0]])
+    rows = [(r.doc_id, r.text or "") for r in docs.collect()]
+    learned = [t for d, t in rows if zlib.crc32(str(d).encode()) % 10]
+    texts = docs.sparkSession.createDataFrame([(t,) for t in learned], "text string")
+    table = texts.mapInArrow(hmm_scoring.counted, "token bigint, length int, n bigint").groupBy("token").agg({"length": "max", "n": "sum"})
+    counts = hmm_scoring.symbols_from(table.toDF("token", "length", "n"))
+    model, tied = hmm_scoring.trained(texts, counts, 2)
+    words, unseen = hmm_scoring.emissions(texts, counts, model, tied)
+    emit = {r.token: np.array(r.e) for r in words.collect()}
+    assert len(emit) == counts.distinct - 30
+    # expected counts of single words by a plain forward and backward recursion over whole texts
+    wanted, seen, length_of = {}, Counter(), {}
+    for text in learned:
+        tokens, lengths, _ = hmm_scoring.token_arrays(pa.array([text]))
+        symbols = counts.symbols_of(tokens, lengths)
+        alpha, beta = np.zeros((len(tokens), 6)), np.ones((len(tokens), 6))
+        for t, x in enumerate(symbols):
+            alpha[t] = (model.start if t == 0 else alpha[t - 1] @ model.move) * model.emit[x]
+            alpha[t] /= alpha[t].sum()
+        for t in range(len(tokens) - 2, -1, -1):
+            beta[t] = model.move @ (model.emit[symbols[t + 1]] * beta[t + 1])
+            beta[t] /= beta[t].sum()
+        gamma = alpha * beta
+        gamma /= gamma.sum(1, keepdims=True)
+        for token, length, x, g in zip(tokens.tolist(), lengths.tolist(), symbols, gamma):
+            if x >= 30:
+                wanted[token] = wanted.get(token, 0) + g
+                seen[token] += 1
+                length_of[token] = min(length, hmm_scoring.LENGTHS)
+    weight = {w: (seen[w] + 0.1) * (c + tied[length_of[w]]) / (seen[w] + 1) for w, c in wanted.items()}
+    for length in set(length_of.values()):
+        same = [w for w in weight if length_of[w] == length]
+        whole = sum(weight[w] for w in same) + 0.1 * tied[length]
+        for w in same:
+            assert emit[w] == pytest.approx(model.emit[30 + length] * weight[w] / whole, rel=0.01, abs=1e-9)
+        assert sum(emit[w] for w in same) + unseen[length] == pytest.approx(model.emit[30 + length])
+    got = {r.doc_id: r.score for r in hmm_scoring.hmm_scores(docs, 2).collect()}
+    by_word = {**emit, **{w: model.emit[i] for w, i in zip(counts.tokens.tolist(), counts.symbol)}}
+    for doc_id, text in rows:
+        tokens, lengths, _ = hmm_scoring.token_arrays(pa.array([text]))
+        state, score = model.start, 0.0
+        for t, (token, length) in enumerate(zip(tokens.tolist(), lengths)):
+            state = (state if t == 0 else state @ model.move) * by_word.get(token, unseen[min(length, hmm_scoring.LENGTHS)])
+            score, state = score + math.log10(state.sum()), state / state.sum()
+        assert got[doc_id] == pytest.approx(score, rel=1e-6)
+
+
+def test_what_is_gathered_grows_with_the_texts(make_docs, monkeypatch):
+    """Two contexts with words of equal length and count: their rare words come to prefer different states."""
+    monkeypatch.setattr(hmm_scoring, "VOCABULARY", 9)
+    own = lambda side, i: f"{side}{chr(97 + i // 26)}{chr(97 + i % 26)}"
+    text = {side: " ".join(f"{side}1 {side}2 {own(side, i)} {side}3 {side}4" for i in range(300)) for side in "xy"}
+    texts = make_docs([(i, text["xy"[i % 2]]) for i in range(40)]).select("text")
+    table = texts.mapInArrow(hmm_scoring.counted, "token bigint, length int, n bigint").groupBy("token").agg({"length": "max", "n": "sum"})
+    counts = hmm_scoring.symbols_from(table.toDF("token", "length", "n"))
+    model, tied = hmm_scoring.trained(texts, counts)
+    words, _ = hmm_scoring.emissions(texts, counts, model, tied)
+    emit = {r.token: np.array(r.e) for r in words.collect()}
+    assert len(emit) == counts.distinct - 9 == 600
+    token = lambda word: hmm_scoring.token_arrays(pa.array([word]))[0][0]
+    sides = {side: np.mean([emit[token(own(side, i))] for i in range(300)], axis=0) for side in "xy"}
+    # the words of one side are far likelier in some state than those of the other
+    assert max(sides["x"] / sides["y"]) > 5 and max(sides["y"] / sides["x"]) > 5
+
+
 def test_scores_without_training(make_docs):
     docs = make_docs([(None, "a b"), (None, None)])
     got = hmm_scoring.hmm_scores(docs).collect()
