@@ -44,7 +44,7 @@ STAY = 0.95
 SMOOTH = 0.1
 PRIOR = 1.0
 #: Expected counts of single words are summed as integers, in these parts, so that no order of adding matters.
-PARTS = 4096
+PARTS = 1 << 20
 #: The end token, by a hash like that of any word (no word has a space).
 END = int(hashing.mix(np.frombuffer(b"the end ", np.uint64)).view(np.int64)[0])
 
