@@ -138,7 +138,8 @@ def shared_hashes(rows: DataFrame) -> DataFrame:
 
 
 def per_document(rows: DataFrame, name: str) -> DataFrame:
-    return rows.groupBy("doc_id", "row_hash").agg(F.collect_list("pos").alias(name))
+    """The distinct places of each text, which rows that repeat do not lengthen."""
+    return rows.groupBy("doc_id", "row_hash").agg(F.collect_set("pos").alias(name))
 
 
 def repeated_windows(rows: DataFrame, size: int = 13) -> DataFrame:

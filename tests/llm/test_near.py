@@ -6,6 +6,7 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from riskframe.llm import components, hashing, near_dedup, substring_dedup
 
@@ -168,3 +169,13 @@ def test_words_and_hashes_do_not_depend_on_the_batch(sample_texts):
     parts = [hashing.split_words(pa.array(texts)[i : i + 7]).hashes() for i in range(0, len(texts), 7)]
     assert (np.concatenate(parts) == whole.hashes()).all()
     assert hashlib.sha256(whole.hashes().tobytes()).hexdigest() == hashlib.sha256(np.concatenate(parts).tobytes()).hexdigest()
+
+
+def test_repeated_rows_do_not_lengthen_lists(make_docs):
+    text = " ".join(f"w{i}" for i in range(100))
+    docs = make_docs([(1, text), *[(2, text)] * 30, *[(2, "other " + text)] * 3])
+    rows = docs.select(F.col("doc_id").cast("bigint"), "text", F.xxhash64("text").alias("row_hash"))
+    starts = {r.row_hash: r.starts for r in substring_dedup.repeated_windows(rows).collect()}
+    assert sorted(len(x) for x in starts.values()) == [88, 88] and all(len(set(x)) == len(x) for x in starts.values())
+    got = [(r.doc_id, r.n_removed) for r in substring_dedup.substring_dedup(docs).collect()]
+    assert sorted(got) == [(1, 0), *[(2, 100)] * 33]
