@@ -145,19 +145,22 @@ def placed(numbered: DataFrame, steps: np.ndarray) -> DataFrame:
 
 
 def numbered_by_length(cut: DataFrame, histogram: DataFrame) -> DataFrame:
-    """Adds number: 0, 1, ... within each length. histogram has length and pieces."""
+    """Adds number: 0, 1, ... within each length. histogram has length and pieces.
+
+    Rows that are equal in all columns differ in ``salt``, which goes, so they spread over the chunks like any others.
+    """
     chunks = F.ceil(F.col("pieces") / CHUNK)
-    rows = cut.join(histogram, "length").withColumn("chunk", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), chunks)).drop("pieces")
+    rows = cut.join(histogram, "length").withColumn("chunk", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "salt"), chunks)).drop("pieces")
     sizes = rows.groupBy("length", "chunk").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1))
     begins = sizes.select(F.col("length"), F.col("chunk"), F.coalesce(before, F.lit(0)).alias("begin"))
-    within = F.row_number().over(Window.partitionBy("length", "chunk").orderBy("doc_id", "piece", "ids_crc32")) - 1
-    return rows.join(begins, ["length", "chunk"]).withColumn("number", F.col("begin") + within).drop("chunk", "begin")
+    within = F.row_number().over(Window.partitionBy("length", "chunk").orderBy("doc_id", "piece", "ids_crc32", "salt")) - 1
+    return rows.join(begins, ["length", "chunk"]).withColumn("number", F.col("begin") + within).drop("chunk", "begin", "salt")
 
 
 def pack(docs: DataFrame, vocabulary: str, capacity: int = 2048, with_ids: bool = False) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, ids if asked for, sequence_id and offset."""
-    cut = written(pieces(docs, vocabulary, capacity, with_ids), "pieces")
+    cut = written(pieces(docs, vocabulary, capacity, with_ids).withColumn("salt", F.monotonically_increasing_id()), "pieces")
     histogram = written(cut.groupBy("length").agg(F.count("*").alias("pieces")), "lengths")
     counts = np.zeros(capacity + 1, np.int64)
     for row in histogram.toLocalIterator():  # at most ``capacity`` rows

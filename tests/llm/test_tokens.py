@@ -10,6 +10,7 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from riskframe.llm import byte_bpe, hashing, near_dedup, packing, substring_dedup, units
@@ -174,3 +175,17 @@ def test_units_of_one_hash_are_compared(monkeypatch):
     for _ in range(2):
         ids, offsets = encoder.ids(pa.array(texts))
         assert [bytes(ids[a:b].tolist()).decode() for a, b in zip(offsets, offsets[1:])] == texts
+
+
+def test_equal_pieces_spread_over_chunks(spark, monkeypatch):
+    monkeypatch.setattr(packing, "CHUNK", 10)
+    same = spark.range(1000).select(
+        F.lit(None).cast("bigint").alias("doc_id"), F.lit(0).alias("piece"), F.lit(7).cast("bigint").alias("length"),
+        F.lit(5).cast("bigint").alias("ids_crc32"), F.col("id").alias("salt"),
+    )
+    histogram = same.groupBy("length").agg(F.count("*").alias("pieces"))
+    got = packing.numbered_by_length(same, histogram)
+    assert set(got.columns) == {"length", "doc_id", "piece", "ids_crc32", "number"}
+    assert sorted(r.number for r in got.collect()) == list(range(1000))
+    chunks = same.select(F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "salt"), F.lit(100)).alias("c")).groupBy("c").count()
+    assert chunks.agg(F.max("count")).first()[0] < 40
