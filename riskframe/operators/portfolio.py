@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskframe.scale import prefix_sum
+from riskframe.session import materialise
 
 KEY = ["user_id", "symbol"]
 ORDER = ["date", "ord", "price", "quantity"]
@@ -44,11 +45,12 @@ def cost_today() -> Column:
 def mark_ledgers(tx: DataFrame) -> DataFrame:
     """Quantity held after each transaction if every sale were accepted, and the ledger's lowest.
 
-    One exchange by ledger; the fold of sound ledgers below keeps its partitioning.
+    One exchange by ledger, of the transactions as they are; what folds or
+    replays the marked rows keeps its partitioning and reads it again.
     """
     ledger = Window.partitionBy(*KEY)
     so_far = ledger.orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0)
-    rows = tx.withColumn("_signed", signed_quantity()).withColumn("held", F.sum("_signed").over(so_far))
+    rows = by_ledger(tx).withColumn("_signed", signed_quantity()).withColumn("held", F.sum("_signed").over(so_far))
     return rows.withColumn("_low", F.min("held").over(ledger))
 
 
@@ -79,20 +81,45 @@ def running_quantity(tx: DataFrame) -> DataFrame:
     return prefix_sum(rows, KEY, chunk(), ORDER, {"_signed": "held"})
 
 
-def split_by_size(tx: DataFrame, hot_rows: int) -> tuple[DataFrame, DataFrame]:
-    """Valid transactions of usual ledgers and of those with more than ``hot_rows`` rows.
+def by_ledger(rows: DataFrame) -> DataFrame:
+    return rows.repartition(*[F.col(k) for k in KEY])
 
-    The hot ledgers are few by construction (at most all rows over
-    ``hot_rows``), so the transactions meet them without being shuffled.
+
+#: Ledgers share this many counters when the large ones are looked for.
+COUNTERS = 2**16
+
+
+def crowded_counters(rows: DataFrame, hot_rows: int) -> DataFrame:
+    """One row: for each counter, whether the ledgers that share it have more than ``hot_rows`` rows in all."""
+    counts = rows.groupBy(counter().alias("c")).agg(F.count(F.lit(1)).alias("n"))
+    every = counts.unionByName(rows.sparkSession.range(COUNTERS).select(F.col("id").cast("int").alias("c"), F.lit(0).cast("bigint").alias("n")))
+    sums = every.groupBy("c").agg((F.sum("n") > hot_rows).alias("crowded"))
+    in_order = F.array_sort(F.collect_list(F.struct("c", "crowded")))
+    return sums.agg(F.transform(in_order, lambda x: x["crowded"]).alias("crowded"))
+
+
+def counter() -> Column:
+    return F.pmod(F.hash(*KEY), F.lit(COUNTERS))
+
+
+def split_by_size(valid: DataFrame, hot_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Valid, written transactions of usual ledgers and of those with more than ``hot_rows`` rows.
+
+    A hash of the ledger is counted first, which leaves few rows per map task.
+    Only the ledgers of a counter above ``hot_rows`` are counted one by one and
+    compared with the large ones, so the others are not moved for that.
     """
-    valid = tx.where(is_valid())
-    hot = valid.groupBy(*KEY).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows).select(*KEY)
-    return valid.join(hot, KEY, "left_anti"), valid.join(hot, KEY, "left_semi")
+    flags = materialise(crowded_counters(valid, hot_rows), "crowded_counters")
+    is_crowded = F.get(flags.scalar(), counter())
+    crowded = materialise(valid.where(is_crowded), "crowded_ledgers")
+    hot = crowded.groupBy(*KEY).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows).select(*KEY)
+    usual = valid.where(~is_crowded).unionByName(crowded.join(hot, KEY, "left_anti"))
+    return usual, crowded.join(hot, KEY, "left_semi")
 
 
 def split_ledgers(tx: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Transactions of ledgers without and with an oversold position."""
-    rows = running_quantity(tx)
+    rows = materialise(running_quantity(tx), "hot_ledgers")
     low = rows.groupBy(*KEY).agg(F.min("held").alias("_low"))
     marked = rows.join(low, KEY)
     return marked.where("_low >= 0").drop("_low"), marked.where("_low < 0").drop("_low")
@@ -166,17 +193,13 @@ def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def replay(rows: DataFrame) -> DataFrame:
-    """Ledgers replayed in order.
+    """Ledgers replayed in order; each must lie whole in one partition.
 
     Which sale is rejected depends on every row before it. The rows are sorted
     by Spark (spilling as needed) and streamed through with the state of one
     account in memory; no ledger is gathered.
     """
-    ordered = (
-        rows.select(*KEY, "date", "ord", "action", "quantity", "price")
-        .repartition(*[F.col(k) for k in KEY])
-        .sortWithinPartitions(*KEY, *ORDER)
-    )
+    ordered = rows.select(*KEY, "date", "ord", "action", "quantity", "price").sortWithinPartitions(*KEY, *ORDER)
     types = dict(ordered.dtypes)
     return ordered.mapInPandas(
         _walk,
@@ -184,6 +207,11 @@ def replay(rows: DataFrame) -> DataFrame:
     )
 
 
+def replay_refusing(marked: DataFrame, oversold: DataFrame) -> DataFrame:
+    """Replay of the marked usual ledgers that sell too much, where they lie, and of such hot ledgers."""
+    return replay(marked.where("_low < 0")).unionByName(replay(by_ledger(oversold)))
+
+
 HOT_ROWS = 1_000_000
 
 
@@ -192,13 +220,14 @@ def holdings_from_transactions(tx: DataFrame, hot_rows: int = HOT_ROWS) -> DataF
 
     A ledger in which every sale is covered folds into sums: by windows when it
     has a usual size, by chunked running sums when it is so large that one task
-    should not hold it. Only ledgers with refused sales are replayed.
+    should not hold it. Only ledgers with refused sales are replayed. The
+    transactions are written once, as several steps read them, and moved to
+    their ledgers once.
     """
-    usual, hot = split_by_size(tx, hot_rows)
+    usual, hot = split_by_size(materialise(tx.where(is_valid()), "transactions"), hot_rows)
     marked = mark_ledgers(usual)
     sound, oversold = split_ledgers(hot)
-    refused = marked.where("_low < 0").select(*tx.columns).unionByName(oversold.select(*tx.columns))
-    replayed = replay(refused).where("kind = 'holding'")
+    replayed = replay_refusing(marked, oversold).where("kind = 'holding'")
     folded = fold_windows(marked.where("_low >= 0")).unionByName(fold_sound(sound))
     return folded.unionByName(
         replayed.select(*KEY, "quantity", F.col("price").alias("avg_price"), F.col("date").alias("opened"))
@@ -207,14 +236,14 @@ def holdings_from_transactions(tx: DataFrame, hot_rows: int = HOT_ROWS) -> DataF
 
 def rejected_transactions(tx: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Transactions the ledger refuses: non-positive quantity or price, or a sale beyond the holding."""
+    tx = materialise(tx, "transactions")
     bad = tx.where(~is_valid()).select(
         *KEY, "date", "ord", "quantity", "price",
         F.when(F.col("quantity") <= 0, "quantity must be positive").otherwise("price must be positive").alias("reason"),
     )
-    usual, hot = split_by_size(tx, hot_rows)
+    usual, hot = split_by_size(tx.where(is_valid()), hot_rows)
     _, oversold = split_ledgers(hot)
-    doubtful = mark_ledgers(usual).where("_low < 0").select(*tx.columns)
-    refused = replay(doubtful.unionByName(oversold.select(*tx.columns))).where("kind = 'oversold'")
+    refused = replay_refusing(mark_ledgers(usual), oversold).where("kind = 'oversold'")
     return bad.unionByName(
         refused.select(*KEY, "date", "ord", "quantity", "price", F.lit("sale exceeds holding").alias("reason"))
     )

@@ -1,4 +1,5 @@
 import datetime as dt
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -66,6 +67,34 @@ def test_refused_rows(spark, hot_rows):
     assert got == {(1, "sale exceeds holding"), (2, "quantity must be positive"), (3, "price must be positive")}
 
 
+def ledger_moves(df):
+    """Exchanges by ledger that a finished run made, those read again counted once."""
+    df.collect()
+    final = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    kept = [line for line in final.splitlines() if "Exchange hashpartitioning(user_id" in line]
+    return len({re.search(r"plan_id=(\d+)", line)[1] for line in kept if "Reused" not in line})
+
+
+@pytest.mark.parametrize("step", [pf.holdings_from_transactions, pf.rejected_transactions])
+def test_transactions_are_computed_once_and_moved_once(spark, tmp_path, step):
+    """Sound and refusing ledgers read one exchange; the source is read only to write the transactions."""
+    source = str(tmp_path / "tx")
+    entries = [(user, *s) for user, (steps, _) in enumerate(CASES.values()) for s in steps]
+    ledger(spark, *entries).write.parquet(source)
+    df = step(spark.read.parquet(source))
+    assert not [f for f in df.inputFiles() if source in f]
+    assert ledger_moves(df) == 1
+
+
+def test_large_ledgers_are_told_from_their_neighbours(spark, monkeypatch):
+    """Ledgers that share a counter with a large one, and ledgers without a user, stay usual."""
+    monkeypatch.setattr(pf, "COUNTERS", 2)
+    sizes = {1: 2, 2: 5, 3: 3, 4: 4, 5: 1, None: 6}
+    tx = ledger(spark, *[(user, "BUY", 1, 1) for user, n in sizes.items() for _ in range(n)])
+    usual, hot = ({r["user_id"]: r["count"] for r in x.groupBy("user_id").count().collect()} for x in pf.split_by_size(tx, 3))
+    assert hot == {2: 5, 4: 4} and usual == {1: 2, 3: 3, 5: 1, None: 6}
+
+
 def test_summary_of_worthless_cost(spark):
     df = spark.createDataFrame([(1, 5.0, 0.0), (2, 30.0, 20.0)], "user_id bigint, current_value double, cost_basis double")
     got = {r["user_id"]: r["total_gain_loss_pct"] for r in pf.portfolio_summary(df).collect()}
