@@ -269,10 +269,13 @@ def portfolio_summary(valued: DataFrame) -> DataFrame:
 
 
 def default_symbols(users: DataFrame, requested: DataFrame, holdings: DataFrame, stocks: DataFrame, k: int = 10) -> DataFrame:
-    """Symbols to analyse per user: those requested, else those held, else the first active stocks."""
+    """Symbols to analyse per user: those requested, else those held, else the first active stocks.
+
+    Requested and held symbols are written, as they are read twice, so holdings are computed once.
+    """
     asked = requested.select("user_id", "symbol").distinct()
     held = holdings.select("user_id", "symbol").distinct().join(asked.select("user_id").distinct(), "user_id", "left_anti")
-    chosen = asked.unionByName(held)
+    chosen = materialise(asked.unionByName(held), "chosen_symbols")
     first = stocks.where("is_active").select("symbol").orderBy("symbol").limit(k)
     fallback = first.agg(F.array_sort(F.collect_list("symbol")).alias("s"))
     rest = (

@@ -126,6 +126,16 @@ def test_default_symbols(spark):
     assert got == {(1, "Z"), (2, "X"), (3, "A"), (3, "C")}
 
 
+def test_default_symbols_compute_holdings_once(spark, tmp_path):
+    users = spark.createDataFrame([(1,), (2,)], "user_id bigint")
+    source = str(tmp_path / "held")
+    spark.createDataFrame([(1, "Y")], "user_id bigint, symbol string").write.parquet(source)
+    stocks = spark.createDataFrame([("A", True)], "symbol string, is_active boolean")
+    df = pf.default_symbols(users, users.limit(0).withColumn("symbol", F.lit("Z")), spark.read.parquet(source), stocks)
+    assert not [f for f in df.inputFiles() if source in f]
+    assert {tuple(r) for r in df.collect()} == {(1, "Y"), (2, "A")}
+
+
 # ---- bands and scores ------------------------------------------------------------------
 
 
