@@ -7,8 +7,8 @@ per token. A last pass then sums the expected state counts of every single word,
 so that each word has emission probabilities of its own, however many there are. A word seen n times has its own state
 shares with weight n and those of its length with weight ``PRIOR``; words never seen have those of their length.
 
-The likelihood is exact: texts are cut into segments of ``SEGMENT`` words, whose matrix products are computed side by
-side with scaled forward steps from each state, and then chained.
+The likelihood is exact: texts are cut into segments of ``SEGMENT`` words, computed side by side: the first one of a text
+by scaled forward steps from its start, later ones as matrix products by such steps from each state, and then chained.
 
 Counts and emissions reach the texts in two ways: those of the ``HEAD`` most frequent words, a table of fixed size, go
 to all tasks; those of all others are joined to the distinct (text, word) rows and come back to the text as a list, no
@@ -168,31 +168,49 @@ class Segments:
         self.at = [begin[:n] + t for t, n in enumerate(self.active)]
         self.steps = [symbols[at] for at in self.at]
         self.head = self.place == 0
+        self.heads, self.later = np.flatnonzero(self.head), np.flatnonzero(~self.head)
+        self.product = np.cumsum(~self.head) - 1  # which of the later segments a segment is
         # where each segment of a text stands, by (text, place)
         self.column = np.empty(len(text), np.int64)
         self.column[by_length] = np.arange(len(text))
         self.first = np.cumsum(pieces) - pieces
 
     def at_place(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The columns of the segments that are number k of their text, and those of the segments before them."""
+        """The columns of the segments that are number k > 0 of their text, and those of the segments before them."""
         now = np.flatnonzero(self.place == k)
-        return now, self.column[self.first[self.text[now]] + k - 1] if k else now
+        return now, self.column[self.first[self.text[now]] + k - 1]
 
-    def products(self, model: Model) -> tuple[np.ndarray, np.ndarray]:
-        """(K before, K after, n) products of the steps of each segment, scaled, and the log10 of the scales.
+    def openings(self, model: Model) -> tuple[np.ndarray, np.ndarray]:
+        """(K, texts) state probabilities after the first segment of each text, and its log10 likelihood.
 
-        The first symbol of a text is emitted without a move.
+        Where a text begins is known, so one forward pass does. The first symbol is emitted without a move.
         """
-        k, n = len(model.start), len(self.text)
+        active = np.searchsorted(self.heads, self.active)
+        state, logs = np.repeat(model.start[:, None], len(self.heads), axis=1), np.zeros(len(self.heads))
+        move, emit = np.ascontiguousarray(model.move.T), np.ascontiguousarray(model.emit.T)
+        for t, (symbols, m) in enumerate(zip(self.steps, active)):
+            if not m:
+                break
+            new = move @ state[:, :m] if t else state
+            new = new * np.take(emit, symbols[self.heads[:m]], axis=1)
+            scale = new.sum(0)
+            new /= scale
+            logs[:m] += np.log10(scale)
+            state[:, :m] = new
+        return state, logs
+
+    def products(self, model: Model) -> tuple[np.ndarray, np.ndarray]:
+        """(K before, K after, n) products of the steps of each later segment, scaled, and the log10 of the scales."""
+        active = np.searchsorted(self.later, self.active)
+        k, n = len(model.start), len(self.later)
         state = np.repeat(np.eye(k)[:, :, None], n, axis=2)
         logs = np.zeros(n)
         move, emit = np.ascontiguousarray(model.move.T), np.ascontiguousarray(model.emit.T)
-        for t, symbols in enumerate(self.steps):
-            m = len(symbols)
+        for symbols, m in zip(self.steps, active):
+            if not m:
+                break
             new = move @ state[:, :, :m]
-            if t == 0:
-                new[:, :, self.head] = np.eye(k)[:, :, None]
-            new *= np.take(emit, symbols, axis=1)
+            new *= np.take(emit, symbols[self.later[:m]], axis=1)
             scale = new.max((0, 1))
             new /= scale
             logs[:m] += np.log10(scale)
@@ -208,22 +226,22 @@ class Segments:
         score = np.zeros(self.texts)
         before[:, self.head] = model.start[:, None]  # of the first symbol, which has no move before it
         after = np.zeros_like(before)
-        for k in range(int(self.place.max(initial=-1)) + 1):
+        after[:, self.heads], score[self.text[self.heads]] = self.openings(model)
+        for k in range(1, int(self.place.max(initial=-1)) + 1):
             now, last = self.at_place(k)
-            if k:
-                before[:, now] = after[:, last]
-            out = np.einsum("kn,kjn->jn", before[:, now], products[:, :, now])
+            before[:, now] = after[:, last]
+            out = np.einsum("kn,kjn->jn", before[:, now], products[:, :, self.product[now]])
             total = out.sum(0)
             after[:, now] = out / total
-            score[self.text[now]] += np.log10(total) + logs[now]
+            score[self.text[now]] += np.log10(total) + logs[self.product[now]]
         return before, score
 
     def leaving(self, products: np.ndarray) -> np.ndarray:
         """(K, n) likelihood, up to scale, of what follows each segment, by the state at its end."""
-        after = np.ones(products.shape[1:])
+        after = np.ones((len(products), len(self.text)))
         for k in range(int(self.place.max(initial=-1)), 0, -1):
             now, last = self.at_place(k)
-            back = np.einsum("kjn,jn->kn", products[:, :, now], after[:, now])
+            back = np.einsum("kjn,jn->kn", products[:, :, self.product[now]], after[:, now])
             after[:, last] = back / back.max(0)
         return after
 

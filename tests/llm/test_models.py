@@ -111,6 +111,16 @@ def test_recursions_by_brute_force(monkeypatch):
     assert segments.expected(model) == pytest.approx(np.concatenate([start, move.ravel(), emit.ravel()]), abs=1e-9)
 
 
+def test_hmm_products_only_of_later_segments(monkeypatch):
+    """Where a text begins is known, so its first segment needs one forward pass, not one from each state."""
+    monkeypatch.setattr(hmm_scoring, "SEGMENT", 7)
+    segments = hmm_scoring.Segments(np.arange(25) % 4, np.array([0, 3, 10, 25]))  # 1, 1 and 3 segments
+    model = hmm_scoring.Model.first(np.full(4, 0.25), 2)
+    products, logs = segments.products(model)
+    assert products.shape == (2, 2, 2) and logs.shape == (2,)
+    assert segments.openings(model)[0].shape == (2, 3)
+
+
 def test_baum_welch_raises_the_likelihood():
     model, rng = small_model(2, 20)
     symbols = np.concatenate([rng.integers(0, 10, 300), rng.integers(10, 20, 300)] * 4)
