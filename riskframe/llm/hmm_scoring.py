@@ -8,7 +8,8 @@ so that each word has emission probabilities of its own, however many there are.
 shares with weight n and those of its length with weight ``PRIOR``; words never seen have those of their length.
 
 The likelihood is exact: texts are cut into segments of ``SEGMENT`` words, computed side by side: the first one of a text
-by scaled forward steps from its start, later ones as matrix products by such steps from each state, and then chained.
+by forward steps from its start, later ones as matrix products by such steps from each state, and then chained. Both are
+scaled every ``SCALED`` steps.
 
 Counts and emissions reach the texts in two ways: those of the ``HEAD`` most frequent words, a table of fixed size, go
 to all tasks; those of all others are joined to the distinct (text, word) rows and come back to the text as a list, no
@@ -21,7 +22,9 @@ training documents the model is uniform. Other columns are never read. Words are
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -37,12 +40,16 @@ VOCABULARY = 4096
 HEAD = 262_144
 LENGTHS = 16
 SEGMENT = 256
+#: Steps after which probabilities are scaled; a step keeps more than 1e-30 of them.
+SCALED = 8
 #: Least gain of a round, in log10 per token, after which there is another one.
 TOLERANCE = 0.01
 #: How sticky the states are before the first round; most texts keep to one kind of words, so this saves rounds.
 STAY = 0.95
 SMOOTH = 0.1
 PRIOR = 1.0
+#: Rows that a task adds up by token before it hands them on.
+PENDING = 1 << 18
 #: Expected counts of single words are summed as integers, in these parts, so that no order of adding matters.
 PARTS = 1 << 20
 #: The end token, by a hash like that of any word (no word has a space).
@@ -58,15 +65,38 @@ def token_arrays(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tokens, lengths, words.first + np.arange(len(words.first))
 
 
+def summed(rows: Iterator[list[np.ndarray]], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Rows (token, length, sums): those of one token added up, ``PENDING`` rows at a time."""
+
+    def together(pieces):
+        token, length, *sums = (np.concatenate(x) for x in zip(*pieces))
+        order = np.argsort(token, kind="stable")
+        token = token[order]
+        first = np.flatnonzero(np.append(True, token[1:] != token[:-1])[: len(token)])
+        columns = [token[first], length[order[first]].astype(np.int32), *(np.add.reduceat(x[order], first) if len(x) else x for x in sums)]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=names)
+
+    pending, size = [], 0
+    for piece in rows:
+        pending.append(piece)
+        size += len(piece[0])
+        if size >= PENDING:
+            yield together(pending)
+            pending, size = [], 0
+    if pending:
+        yield together(pending)
+
+
 def counted(batches):
     """Rows (token, length, n): the tokens of some texts."""
-    for batch in hashing.slices(batches):
-        tokens, lengths, _ = token_arrays(batch.column("text"))
-        known, sample, n = np.unique(tokens, return_index=True, return_counts=True)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(known), pa.array(np.minimum(lengths[sample], LENGTHS).astype(np.int32)), pa.array(n)],
-            names=["token", "length", "n"],
-        )
+
+    def rows():
+        for batch in hashing.slices(batches):
+            tokens, lengths, _ = token_arrays(batch.column("text"))
+            known, sample, n = np.unique(tokens, return_index=True, return_counts=True)
+            yield [known, np.minimum(lengths[sample], LENGTHS), n]
+
+    yield from summed(rows(), ["token", "length", "n"])
 
 
 @dataclass
@@ -88,10 +118,13 @@ class Counts:
     def base_log(self, n: np.ndarray) -> np.ndarray:
         return np.log10((n + SMOOTH) / (self.total + SMOOTH * (self.distinct + 1)))
 
+    @cached_property
+    def lookup(self) -> "Lookup":
+        return Lookup(self.tokens[np.argsort(self.symbol)])  # frequent words first, each at the place of its symbol
+
     def symbols_of(self, tokens: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        shared = self.vocabulary + np.minimum(lengths, LENGTHS)
-        inside, at = found_in(self.tokens, tokens)
-        return np.where(inside, self.symbol[at], shared) if len(self.tokens) else shared
+        inside, at = self.lookup.find(tokens)
+        return np.where(inside, at, self.vocabulary + np.minimum(lengths, LENGTHS))
 
 
 def found_in(known: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -102,6 +135,46 @@ def found_in(known: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndar
     return known[at] == tokens, at
 
 
+class Lookup:
+    """Finds tokens among some distinct ones by their highest bits, which are as good as random.
+
+    Of known tokens with the same bits the first is in the table, so frequent words should come first; the others are
+    searched for in a sorted array.
+    """
+
+    def __init__(self, known: np.ndarray):
+        self.known = known
+        bits = max(1, (2 * len(known)).bit_length())
+        self.shift = np.uint64(64 - bits)
+        slots, first = np.unique(self.slot(known), return_index=True)
+        self.table = np.zeros(1 << bits, np.int32)
+        self.table[slots] = first
+        other = np.ones(len(known), bool)
+        other[first] = False
+        other = np.flatnonzero(other)
+        self.place = other[np.argsort(known[other], kind="stable")]
+        self.rest = known[self.place]
+        self.several = np.zeros(1 << bits, bool)
+        self.several[self.slot(self.rest)] = True
+
+    def slot(self, tokens: np.ndarray) -> np.ndarray:
+        return (tokens.view(np.uint64) >> self.shift).view(np.int64)
+
+    def find(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each token is known, and its place, which says nothing where it is not."""
+        if not len(self.known):
+            return np.zeros(len(tokens), bool), np.zeros(len(tokens), np.int64)
+        slot = self.slot(tokens)
+        at = self.table[slot].astype(np.int64)
+        inside = self.known[at] == tokens
+        left = np.flatnonzero(~inside)
+        left = left[self.several[slot[left]]]
+        hit, place = found_in(self.rest, tokens[left])
+        left = left[hit]
+        at[left], inside[left] = self.place[place[hit]], True
+        return inside, at
+
+
 def symbols_from(counts: DataFrame) -> Counts:
     """counts has token, length and n. The symbols' words and one row per length reach the driver: a fixed size."""
     total, distinct = next(iter(counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).toLocalIterator()))
@@ -187,37 +260,43 @@ class Segments:
         """
         active = np.searchsorted(self.heads, self.active)
         state, logs = np.repeat(model.start[:, None], len(self.heads), axis=1), np.zeros(len(self.heads))
+        buffer = np.empty_like(state)
         move, emit = np.ascontiguousarray(model.move.T), np.ascontiguousarray(model.emit.T)
         for t, (symbols, m) in enumerate(zip(self.steps, active)):
             if not m:
                 break
-            new = move @ state[:, :m] if t else state
-            new = new * np.take(emit, symbols[self.heads[:m]], axis=1)
-            scale = new.sum(0)
-            new /= scale
-            logs[:m] += np.log10(scale)
-            state[:, :m] = new
-        return state, logs
+            now = state[:, :m]
+            new = np.matmul(move, now, out=buffer[:, :m]) if t else now
+            np.multiply(new, np.take(emit, symbols[self.heads[:m]], axis=1), out=now)
+            if t % SCALED == SCALED - 1:
+                scale = now.sum(0)
+                now /= scale
+                logs[:m] += np.log10(scale)
+        scale = state.sum(0)
+        return state / scale, logs + np.log10(scale)
 
     def products(self, model: Model) -> tuple[np.ndarray, np.ndarray]:
         """(K before, K after, n) products of the steps of each later segment, scaled, and the log10 of the scales."""
         active = np.searchsorted(self.later, self.active)
         k, n = len(model.start), len(self.later)
         state = np.repeat(np.eye(k)[:, :, None], n, axis=2)
+        buffer = np.empty_like(state)
         logs = np.zeros(n)
         move, emit = np.ascontiguousarray(model.move.T), np.ascontiguousarray(model.emit.T)
-        for symbols, m in zip(self.steps, active):
+        for t, (symbols, m) in enumerate(zip(self.steps, active)):
             if not m:
                 break
-            new = move @ state[:, :, :m]
-            new *= np.take(emit, symbols[self.later[:m]], axis=1)
-            scale = new.max((0, 1))
-            new /= scale
-            logs[:m] += np.log10(scale)
-            if m == n:
-                state = new
-            else:
-                state[:, :, :m] = new
+            now = state[:, :, :m]
+            new = np.matmul(move, now, out=buffer[:, :, :m])
+            np.multiply(new, np.take(emit, symbols[self.later[:m]], axis=1), out=now)
+            if t % SCALED == SCALED - 1:
+                scale = now.max((0, 1))
+                now /= scale
+                logs[:m] += np.log10(scale)
+        if n:
+            scale = state.max((0, 1))
+            state /= scale
+            logs += np.log10(scale)
         return state, logs
 
     def entering(self, model: Model, products: np.ndarray, logs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -254,41 +333,51 @@ class Segments:
 
     def passes(self, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Expected starts and moves, the state shares (K, tokens) of the tokens in the order of ``at``, and the log10
-        likelihood of each text, by a forward and a backward pass through the segments."""
+        likelihood of each text, by a forward and a backward pass through the segments.
+
+        The backward pass divides by the scales of the forward one, so that a product of both is a probability as it is.
+        """
         k = len(model.start)
         products, logs = self.products(model)
         state, score = self.entering(model, products, logs)
-        beta, kept = self.leaving(products), []
+        beta = self.leaving(products)
         move, emit = np.ascontiguousarray(model.move.T), np.ascontiguousarray(model.emit.T)
+        begin = np.concatenate([[0], np.cumsum(self.active)]).astype(np.int64)
+        shares = np.empty((k, begin[-1]))  # after each step, first by the symbols so far, then by all
+        kept = []
+        before = state
         for t, symbols in enumerate(self.steps):
             m = len(symbols)
-            shown = np.take(emit, symbols, axis=1)
-            before = state[:, :m].copy()
-            new = move @ before
+            before = before[:, :m]
+            new = np.matmul(move, before, out=shares[:, begin[t] : begin[t + 1]])
             if t == 0:
                 new[:, self.head] = before[:, self.head]
+            shown = np.take(emit, symbols, axis=1)
             new *= shown
-            new /= new.sum(0)
-            kept.append((before, new, shown))
-            state[:, :m] = new
+            scale = new.sum(0)
+            new /= scale
+            shown /= scale
+            kept.append(shown)
+            before = new
         start, moves = np.zeros(k), np.zeros((k, k))
-        weights = [np.empty(0)] * len(self.steps)
         for t in range(len(self.steps) - 1, -1, -1):
-            before, new, shown = kept[t]
-            m = before.shape[1]
-            gamma = new * beta[:, :m]
-            gamma /= gamma.sum(0)
-            weights[t] = gamma
-            ahead = shown * beta[:, :m]
-            back = model.move @ ahead
-            before /= (before * back).sum(0)
+            m = self.active[t]
+            new, back = shares[:, begin[t] : begin[t + 1]], beta[:, :m]
+            ended = self.active[t + 1] if t + 1 < len(self.active) else 0
+            if ended < m:  # what follows the segments that end here, so that the shares add up to 1
+                back[:, ended:] /= (new[:, ended:] * back[:, ended:]).sum(0)
+            ahead = kept.pop()
+            ahead *= back
+            new *= back
             if t == 0:
-                before[:, self.head] = 0
-                start += gamma[:, self.head].sum(1)
+                start += new[:, self.head].sum(1)
+                state[:, self.head] = 0
+                before = state
+            else:
+                before = shares[:, begin[t - 1] : begin[t - 1] + m]
+                np.matmul(model.move, ahead, out=back)
             moves += before @ ahead.T
-            back /= back.max(0)
-            beta[:, :m] = back
-        return start, moves * model.move, np.concatenate(weights, axis=1), score
+        return start, moves * model.move, shares, score
 
 
 LIKELIHOOD = -1
@@ -347,21 +436,20 @@ PLACES = [f"s{i}" for i in range(STATES)]
 def word_states(counts: Counts, model: Model):
     """Rows (token, length, n, s0, s1, ...): occurrences and expected state counts of the words that are no symbols."""
 
-    def run(batches):
+    def rows(batches):
         for batch in hashing.slices(batches):
             tokens, lengths, at = token_arrays(batch.column("text"))
             symbols = counts.symbols_of(tokens, lengths)
             segments = Segments(symbols, at)
             _, _, weights, _ = segments.passes(model)
             place = np.concatenate(segments.at)
-            shared = symbols[place] >= counts.vocabulary
-            place, weights = place[shared], weights[:, shared]
+            shared = np.flatnonzero(symbols[place] >= counts.vocabulary)
+            place = place[shared]
             known, sample, owner, n = np.unique(tokens[place], return_index=True, return_inverse=True, return_counts=True)
-            parts = [np.rint(np.bincount(owner, w, len(known)) * PARTS).astype(np.int64) for w in weights]
-            length = np.minimum(lengths[place[sample]], LENGTHS).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (known, length, n, *parts)], names=["token", "length", "n", *PLACES])
+            parts = [np.rint(np.bincount(owner, w[shared], len(known)) * PARTS).astype(np.int64) for w in weights]
+            yield [known, np.minimum(lengths[place[sample]], LENGTHS), n, *parts]
 
-    return run
+    return lambda batches: summed(rows(batches), ["token", "length", "n", *PLACES])
 
 
 def emissions(texts: DataFrame, counts: Counts, model: Model, tied: np.ndarray) -> tuple[DataFrame, np.ndarray]:
@@ -390,26 +478,22 @@ def emissions(texts: DataFrame, counts: Counts, model: Model, tied: np.ndarray)
 
 @dataclass
 class Known:
-    """Counts and emissions of the words that all tasks have."""
+    """Counts and emissions of the words that all tasks have, frequent ones first."""
 
-    tokens: np.ndarray  # sorted
+    tokens: np.ndarray
     n: np.ndarray
-    emit: np.ndarray  # one row per token
-
-    @staticmethod
-    def sorted(tokens: np.ndarray, n: np.ndarray, emit: np.ndarray) -> "Known":
-        order = np.argsort(tokens, kind="stable")
-        return Known(tokens[order], n[order], emit[order])
+    emit: np.ndarray  # one column per token
 
 
 def head_of(counts: Counts, model: Model, words: DataFrame) -> Known:
     """The symbols' words and the ``HEAD`` most frequent others: a fixed size."""
     head = words.orderBy(F.desc("n"), "token").limit(HEAD)
     rows = [(row["token"], row["n"], row["e"]) for row in head.toLocalIterator()]
-    return Known.sorted(
-        np.concatenate([counts.tokens, np.array([r[0] for r in rows], np.int64)]),
-        np.concatenate([counts.counts, np.array([r[1] for r in rows], np.int64)]),
-        np.concatenate([model.emit[counts.symbol], np.array([r[2] for r in rows], float).reshape(-1, STATES)]),
+    by_symbol = np.argsort(counts.symbol)
+    return Known(
+        np.concatenate([counts.tokens[by_symbol], np.array([r[0] for r in rows], np.int64)]),
+        np.concatenate([counts.counts[by_symbol], np.array([r[1] for r in rows], np.int64)]),
+        np.concatenate([model.emit[counts.symbol[by_symbol]], np.array([r[2] for r in rows], float).reshape(-1, STATES)]).T.copy(),
     )
 
 
@@ -417,9 +501,10 @@ def beyond_head(head: np.ndarray):
     """Rows (row_hash, token): the distinct words of each text that are not in the head."""
 
     def run(batches):
+        lookup = Lookup(head)
         for batch in hashing.slices(batches):
             tokens, _, at = token_arrays(batch.column("text"))
-            inside, _ = found_in(head, tokens)
+            inside, _ = lookup.find(tokens)
             owner, tokens = np.repeat(np.arange(batch.num_rows), np.diff(at))[~inside], tokens[~inside]
             order = np.lexsort((tokens, owner))
             tokens, owner = tokens[order], owner[order]
@@ -434,30 +519,35 @@ def scored(counts: Counts, model: Model, head: Known, unseen: np.ndarray):
     """Rows (doc_id, held_out, n_tokens, n_known, base_score, score) of texts that carry the rest of their words in ``rest``."""
 
     def run(batches):
+        lookup, known = Lookup(head.tokens), len(head.tokens)
+        # symbols of a slice: the head, the rest of its words, then words never seen by length
+        emit, base = head.emit, counts.base_log(head.n)
         for batch in hashing.slices(batches):
             tokens, lengths, at = token_arrays(batch.column("text"))
             rest = batch.column("rest").flatten()
-            token, n, emit = (rest.field(i) for i in range(3))
+            token, n, own = (rest.field(i) for i in range(3))
             token, first = np.unique(token.to_numpy(zero_copy_only=False).astype(np.int64), return_index=True)
-            more_n = n.to_numpy(zero_copy_only=False).astype(np.int64)[first]
-            more = emit.flatten().to_numpy(zero_copy_only=False).reshape(-1, STATES)[first]
-            # symbols of this slice: the head, the rest of its words, then words never seen by length
-            table = np.concatenate([head.emit, more, unseen])
-            in_head, place = found_in(head.tokens, tokens)
-            in_rest, other = found_in(token, tokens)
-            symbol = np.where(
-                in_head, place, np.where(in_rest, len(head.tokens) + other, len(head.tokens) + len(token) + np.minimum(lengths, LENGTHS))
-            )
-            seen = np.concatenate([head.n, more_n, np.zeros(LENGTHS + 1, np.int64)])[symbol]
-            segments, here = Segments(symbol, at), Model(model.start, model.move, table)
+            learned = known + len(token)
+            if emit.shape[1] < learned + LENGTHS + 1:
+                emit = np.concatenate([head.emit, np.empty((STATES, 2 * len(token) + LENGTHS + 1))], axis=1)
+                base = np.concatenate([base[:known], np.empty(emit.shape[1] - known)])
+            emit[:, known:learned] = own.flatten().to_numpy(zero_copy_only=False).reshape(-1, STATES)[first].T
+            emit[:, learned : learned + LENGTHS + 1] = unseen.T
+            base[known:learned] = counts.base_log(n.to_numpy(zero_copy_only=False).astype(np.int64)[first])
+            base[learned : learned + LENGTHS + 1] = counts.base_log(np.zeros(LENGTHS + 1))
+            inside, symbol = lookup.find(tokens)
+            other = np.flatnonzero(~inside)
+            in_rest, place = found_in(token, tokens[other])
+            symbol[other] = np.where(in_rest, known + place, learned + np.minimum(lengths[other], LENGTHS))
+            segments, here = Segments(symbol, at), Model(model.start, model.move, emit.T)
             _, score = segments.entering(here, *segments.products(here))
             begin = at[:-1]
             yield pa.RecordBatch.from_arrays(
                 [
                     *(batch.column(c) for c in ("doc_id", "held_out")),
                     pa.array(np.diff(at)),
-                    pa.array(np.add.reduceat((seen > 0).astype(np.int64), begin)),
-                    pa.array(np.add.reduceat(counts.base_log(seen), begin)),
+                    pa.array(np.add.reduceat((symbol < learned).astype(np.int64), begin)),
+                    pa.array(np.add.reduceat(base[symbol], begin)),
                     pa.array(score),
                 ],
                 names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"],

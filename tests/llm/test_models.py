@@ -121,6 +121,42 @@ def test_hmm_products_only_of_later_segments(monkeypatch):
     assert segments.openings(model)[0].shape == (2, 3)
 
 
+def test_lookup_finds_what_a_search_finds():
+    """Known tokens are found by their highest bits in one step, also those that share them with others."""
+    rng = np.random.default_rng(0)
+    known = rng.integers(-(2**63), 2**63, 3000)
+    for some in (known, np.append(known, known[:500] ^ 1), np.arange(-40, 40), known[:1], known[:0]):
+        lookup = hmm_scoring.Lookup(rng.permutation(some))
+        asked = np.concatenate([some, rng.integers(-(2**63), 2**63, 3000), some[::-1] ^ 2, np.arange(100)])
+        inside, at = lookup.find(asked)
+        assert inside.tolist() == np.isin(asked, some).tolist()
+        assert lookup.known[at[inside]].tolist() == asked[inside].tolist()
+    assert len(hmm_scoring.Lookup(known).rest) < 0.25 * len(known)  # few are left to a search
+
+
+def test_scaling_now_and_then(monkeypatch):
+    """Words that are very unlikely in every state, or in all but one, leave no zero between two scalings."""
+    monkeypatch.setattr(hmm_scoring, "SEGMENT", 50)
+    rng = np.random.default_rng(0)
+    emit = 10.0 ** rng.uniform(-30, -25, (40, 3))
+    emit[:10] = np.where(np.arange(3) == np.arange(10)[:, None] % 3, 0.1, 1e-30)
+    move = np.array([[1, 1e-9, 1e-9], [1e-9, 1, 1e-9], [1e-9, 1e-9, 1]])
+    model = hmm_scoring.Model(np.full(3, 1 / 3), move / move.sum(1), emit)
+    at = np.array([0, 1, 40, 49, 300])
+    symbols = rng.integers(0, 40, at[-1])
+    segments = hmm_scoring.Segments(symbols, at)
+    start, moves, weights, score = segments.passes(model)
+    for i in range(len(at) - 1):
+        state, log = model.start, 0.0
+        for t, x in enumerate(symbols[at[i] : at[i + 1]]):
+            state = (state @ move if t else state) * emit[x]
+            log, state = log + math.log10(state.sum()), state / state.sum()
+        assert score[i] == pytest.approx(log, rel=1e-9)
+    assert segments.entering(model, *segments.products(model))[1] == pytest.approx(score)
+    assert weights.sum(0) == pytest.approx(np.ones(at[-1])) and (weights >= 0).all()
+    assert start.sum() == pytest.approx(4) and moves.sum() == pytest.approx(at[-1] - 4)
+
+
 def test_baum_welch_raises_the_likelihood():
     model, rng = small_model(2, 20)
     symbols = np.concatenate([rng.integers(0, 10, 300), rng.integers(10, 20, 300)] * 4)
