@@ -48,6 +48,8 @@ TOLERANCE = 0.01
 STAY = 0.95
 SMOOTH = 0.1
 PRIOR = 1.0
+#: Tokens of texts, written as symbols, that are computed at once.
+RUN = 1 << 18
 #: Rows that a task adds up by token before it hands them on.
 PENDING = 1 << 18
 #: Expected counts of single words are summed as integers, in these parts, so that no order of adding matters.
@@ -115,6 +117,11 @@ class Counts:
     def symbols(self) -> int:
         return self.vocabulary + LENGTHS + 1
 
+    @property
+    def kind(self) -> np.dtype:
+        """The smallest type of number that holds any symbol."""
+        return np.min_scalar_type(self.symbols)
+
     def base_log(self, n: np.ndarray) -> np.ndarray:
         return np.log10((n + SMOOTH) / (self.total + SMOOTH * (self.distinct + 1)))
 
@@ -383,14 +390,41 @@ class Segments:
 LIKELIHOOD = -1
 
 
+def encoded(counts: Counts):
+    """Rows (symbols): those of each text, as bytes."""
+
+    def run(batches):
+        for batch in hashing.slices(batches):
+            tokens, lengths, at = token_arrays(batch.column("text"))
+            symbols = counts.symbols_of(tokens, lengths).astype(counts.kind)
+            buffers = [None, pa.py_buffer((at * counts.kind.itemsize).astype(np.int32)), pa.py_buffer(symbols)]
+            yield pa.RecordBatch.from_arrays([pa.Array.from_buffers(pa.binary(), batch.num_rows, buffers)], names=["symbols"])
+
+    return run
+
+
+def symbol_runs(batches, kind: np.dtype) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The symbols of about ``RUN`` tokens of whole texts at a time, and the n + 1 offsets of the texts."""
+    for batch in batches:
+        column = batch.column("symbols").cast(pa.large_binary())
+        if not len(column):
+            continue
+        _, ends, data = column.buffers()
+        at = np.frombuffer(ends, np.int64)[column.offset : column.offset + len(column) + 1] // kind.itemsize
+        symbols, begin = np.frombuffer(data, kind, at[-1]), 0
+        while begin < len(column):
+            end = max(begin + 1, int(np.searchsorted(at, at[begin] + RUN, "right")) - 1)
+            yield symbols[at[begin] : at[end]].astype(np.int64), at[begin : end + 1] - at[begin]
+            begin = end
+
+
 def expectations(counts: Counts, model: Model):
     """One row (place, value) per expected count that a task has summed over its texts, and their likelihood."""
 
     def run(batches):
         total, logs = None, 0.0
-        for batch in hashing.slices(batches):
-            tokens, lengths, at = token_arrays(batch.column("text"))
-            segments = Segments(counts.symbols_of(tokens, lengths), at)
+        for symbols, at in symbol_runs(batches, counts.kind):
+            segments = Segments(symbols, at)
             start, moves, weights, score = segments.passes(model)
             seen = np.concatenate(segments.steps)
             shares = np.stack([np.bincount(seen, w, counts.symbols) for w in weights], axis=1)
@@ -408,7 +442,7 @@ def expectations(counts: Counts, model: Model):
 def trained(texts: DataFrame, counts: Counts, rounds: int | None = None) -> tuple[Model, np.ndarray]:
     """The model after Baum-Welch over all texts, and the shares of the states in each length of the words that share a symbol.
 
-    Rounds go on until the gain is small, or for ``rounds`` rounds if given.
+    Rounds go on until the gain is small, or for ``rounds`` rounds if given. They read the texts as symbols, written once.
     """
     shares = np.full(counts.symbols, SMOOTH)
     shares[counts.symbol] += counts.counts
@@ -416,8 +450,10 @@ def trained(texts: DataFrame, counts: Counts, rounds: int | None = None) -> tupl
     shares /= shares.sum()
     model, tied = Model.first(shares), np.ones((LENGTHS + 1, STATES))
     last, done, gain = -np.inf, 0, np.inf
+    if counts.total:
+        symbols = written(texts.mapInArrow(encoded(counts), "symbols binary"), "symbols")
     while counts.total and (gain >= TOLERANCE if rounds is None else done < rounds):
-        sums = texts.mapInArrow(expectations(counts, model), "place int, value double").groupBy("place").agg(F.sum("value").alias("value"))
+        sums = symbols.mapInArrow(expectations(counts, model), "place int, value double").groupBy("place").agg(F.sum("value").alias("value"))
         values, logs = np.zeros(STATES + STATES * STATES + counts.symbols * STATES), 0.0
         for row in sums.toLocalIterator():  # one row per parameter at most
             if row["place"] == LIKELIHOOD:
@@ -569,7 +605,10 @@ def hmm_scores(docs: DataFrame, rounds: int | None = None) -> DataFrame:
     head = head_of(counts, model, words)
 
     tail = rows.select("row_hash", "text").mapInArrow(beyond_head(head.tokens), "row_hash bigint, token bigint").distinct()
-    rest = tail.join(words, "token").groupBy("row_hash").agg(F.collect_list(F.struct("token", "n", "e")).alias("rest"))
+    # moved to their texts as flat rows, which take less room than lists begun before they move
+    flat = tail.join(words, "token").select("row_hash", "token", "n", *[F.get("e", F.lit(k)).alias(s) for k, s in enumerate(PLACES)])
+    word = F.struct("token", "n", F.array(*PLACES).alias("e"))
+    rest = flat.repartition("row_hash").groupBy("row_hash").agg(F.collect_list(word).alias("rest"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double"
     found = rows.join(rest, "row_hash", "left").select("doc_id", "held_out", "text", "rest")

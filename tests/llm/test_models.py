@@ -157,6 +157,27 @@ def test_scaling_now_and_then(monkeypatch):
     assert start.sum() == pytest.approx(4) and moves.sum() == pytest.approx(at[-1] - 4)
 
 
+def test_rounds_read_symbols(sample_texts, monkeypatch):
+    """Rounds of Baum-Welch take written symbols, however they are cut, and split no text into words again."""
+    monkeypatch.setattr(hmm_scoring, "VOCABULARY", 30)
+    texts = pa.array([*list(sample_texts.values())[:50], None, "", " a  B "])
+    tokens, lengths, at = hmm_scoring.token_arrays(texts)
+    known, n = np.unique(tokens, return_counts=True)
+    top = np.sort(np.argsort(-n, kind="stable")[:30])
+    counts = hmm_scoring.Counts(len(tokens), len(known), known[top], n[top], np.argsort(np.argsort(-n[top])), 30, np.zeros(hmm_scoring.LENGTHS + 1))
+    model = hmm_scoring.Model.first(np.full(counts.symbols, 1 / counts.symbols))
+    want = hmm_scoring.Segments(counts.symbols_of(tokens, lengths), at).expected(model)
+    rows = [b for k in (0, 20) for b in hmm_scoring.encoded(counts)(iter([pa.record_batch([texts[k : k + 20 if not k else None]], ["text"])]))]
+    assert [len(x.as_py()) for b in rows for x in b.column(0)] == (np.diff(at) * counts.kind.itemsize).tolist()
+    monkeypatch.setattr(hmm_scoring, "token_arrays", None)
+    for run in (hmm_scoring.RUN, 500, 1):
+        monkeypatch.setattr(hmm_scoring, "RUN", run)
+        (found,) = hmm_scoring.expectations(counts, model)(iter([rows[0].slice(0, 3), rows[0].slice(3), rows[0].slice(0, 0), *rows[1:]]))
+        got = np.zeros(len(want))
+        got[found.column("place").to_numpy()[:-1]] = found.column("value").to_numpy()[:-1]
+        assert got == pytest.approx(want, rel=1e-9, abs=1e-12)
+
+
 def test_baum_welch_raises_the_likelihood():
     model, rng = small_model(2, 20)
     symbols = np.concatenate([rng.integers(0, 10, 300), rng.integers(10, 20, 300)] * 4)
