@@ -1,9 +1,9 @@
 """Likelihood of texts under a hidden Markov model of their words, and under smoothed word counts.
 
 Words are counted over all training documents. Baum-Welch first looks for the states with tied emissions: the
-``VOCABULARY`` most frequent words are symbols of their own, any other word shares the symbol of its length. Each task
-sums its expected counts, Spark adds up the sums of the tasks, and rounds go on until one gains less than ``TOLERANCE``
-per token. A last pass then sums the expected state counts of every single word, a table with one row per training word,
+``VOCABULARY`` most frequent words are symbols of their own, any other word shares the symbol of its length. The texts
+are written once as symbols, which every round reads. Each task sums its expected counts, Spark adds up the sums of the
+tasks, and rounds go on until one gains less than ``TOLERANCE`` per token. A last pass then sums the expected state counts of every single word, a table with one row per training word,
 so that each word has emission probabilities of its own, however many there are. A word seen n times has its own state
 shares with weight n and those of its length with weight ``PRIOR``; words never seen have those of their length.
 
@@ -12,8 +12,8 @@ by forward steps from its start, later ones as matrix products by such steps fro
 scaled every ``SCALED`` steps.
 
 Counts and emissions reach the texts in two ways: those of the ``HEAD`` most frequent words, a table of fixed size, go
-to all tasks; those of all others are joined to the distinct (text, word) rows and come back to the text as a list, no
-longer than the text itself. A frequent word is thus never a hot key, and copies of a text share their list.
+to all tasks; those of all others are joined to (text, word) rows, made distinct there, and come back to the text as a
+list, no longer than the text itself. A frequent word is thus never a hot key, and copies of a text share their list.
 
 Defined cases: null and empty texts are their end token alone; rows without ``doc_id`` are neither held out nor learned
 from; rows that repeat are scored alike (and each counts in training); an empty table gives an empty result, and with no
@@ -534,19 +534,20 @@ def head_of(counts: Counts, model: Model, words: DataFrame) -> Known:
 
 
 def beyond_head(head: np.ndarray):
-    """Rows (row_hash, token): the distinct words of each text that are not in the head."""
+    """Rows (row_hash, token): the distinct words of each text that are not in the head, once for copies in one slice."""
 
     def run(batches):
         lookup = Lookup(head)
         for batch in hashing.slices(batches):
             tokens, _, at = token_arrays(batch.column("text"))
             inside, _ = lookup.find(tokens)
-            owner, tokens = np.repeat(np.arange(batch.num_rows), np.diff(at))[~inside], tokens[~inside]
+            hashes = batch.column("row_hash").to_numpy()
+            owner, tokens = np.repeat(hashes, np.diff(at))[~inside], tokens[~inside]
             order = np.lexsort((tokens, owner))
             tokens, owner = tokens[order], owner[order]
             new = np.ones(len(tokens), bool)
             new[1:] = (tokens[1:] != tokens[:-1]) | (owner[1:] != owner[:-1])
-            yield pa.RecordBatch.from_arrays([batch.column("row_hash").take(pa.array(owner[new])), pa.array(tokens[new])], names=["row_hash", "token"])
+            yield pa.RecordBatch.from_arrays([pa.array(owner[new]), pa.array(tokens[new])], names=["row_hash", "token"])
 
     return run
 
@@ -604,9 +605,10 @@ def hmm_scores(docs: DataFrame, rounds: int | None = None) -> DataFrame:
     words, unseen = emissions(texts, counts, model, tied)
     head = head_of(counts, model, words)
 
-    tail = rows.select("row_hash", "text").mapInArrow(beyond_head(head.tokens), "row_hash bigint, token bigint").distinct()
-    # moved to their texts as flat rows, which take less room than lists begun before they move
+    tail = rows.select("row_hash", "text").mapInArrow(beyond_head(head.tokens), "row_hash bigint, token bigint")
+    # copies of a text meet where its words are joined; flat rows take less room on their way than lists begun before
     flat = tail.join(words, "token").select("row_hash", "token", "n", *[F.get("e", F.lit(k)).alias(s) for k, s in enumerate(PLACES)])
+    flat = flat.dropDuplicates(["row_hash", "token"])
     word = F.struct("token", "n", F.array(*PLACES).alias("e"))
     rest = flat.repartition("row_hash").groupBy("row_hash").agg(F.collect_list(word).alias("rest"))
     kind = rows.schema["doc_id"].dataType.simpleString()

@@ -286,6 +286,16 @@ def test_what_is_gathered_grows_with_the_texts(make_docs, monkeypatch):
     assert max(sides["x"] / sides["y"]) > 5 and max(sides["y"] / sides["x"]) > 5
 
 
+def test_words_beyond_the_head_once_for_copies():
+    """Copies of a text in one slice hand on their words once; equal words of other texts are rows of their own."""
+    texts = ["the rare Rarer rare", "the rare", "the rare Rarer rare", "the", ""]
+    head = hmm_scoring.token_arrays(pa.array(["the"]))[0]
+    batch = pa.record_batch([pa.array([7, -8, 7, 9, 10]), pa.array(texts)], ["row_hash", "text"])
+    (found,) = hmm_scoring.beyond_head(head)(iter([batch]))
+    rare, rarer = (int(hmm_scoring.token_arrays(pa.array([w]))[0][0]) for w in ("rare", "rarer"))
+    assert sorted(map(tuple, (r.values() for r in found.to_pylist()))) == sorted([(7, rare), (7, rarer), (-8, rare)])
+
+
 def test_scores_without_training(make_docs):
     docs = make_docs([(None, "a b"), (None, None)])
     got = hmm_scoring.hmm_scores(docs).collect()
